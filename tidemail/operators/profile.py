@@ -17,7 +17,7 @@ third of all rows collapses to one row per map task before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,8 +136,9 @@ def token_stats(df: DataFrame, text_col: str, group_col: str | None = None, digi
                  F.round(F.stddev_samp("n_tokens"), digits).alias("tokens_stddev"))
 
 
-def generation_yield(df: DataFrame, target: int) -> DataFrame:
-    """A10: records made, target and their ratio."""
+def generation_yield(df: DataFrame, target) -> DataFrame:
+    """A10: records made, target (an int or a scalar Column) and their ratio."""
+    t = target if isinstance(target, Column) else F.lit(int(target))
     return df.agg(F.count(F.lit(1)).cast("bigint").alias("num_records")).select(
-        "num_records", F.lit(int(target)).cast("bigint").alias("target_num_records"),
-        F.round(F.col("num_records") / F.lit(float(target)), 6).alias("yield_ratio"))
+        "num_records", t.cast("bigint").alias("target_num_records"),
+        F.round(F.col("num_records") / t.cast("double"), 6).alias("yield_ratio"))
