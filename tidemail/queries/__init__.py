@@ -1,3 +1,3 @@
 """Registered queries (one module per area); importing registers them."""
 
-from tidemail.queries import corpus, generator, intake, metrics, profiles  # noqa: F401
+from tidemail.queries import corpus, generator, intake, metrics, profiles, tokens  # noqa: F401
