@@ -8,7 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-VERDICT_COLS = ["phish", "accuracy", "upr"]
+VERDICT_COLS = ["phish", "accuracy", "trusted"]
 
 
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
@@ -26,7 +26,7 @@ def read_pages(spark: SparkSession, path: str, wholetext: bool = False) -> DataF
 
 
 def write_verdicts(df: DataFrame, path: str, keep: list[str] | None = None, mode: str = "overwrite") -> None:
-    """``{phish, accuracy, upr}`` records as JSON lines (plus ``keep`` ids)."""
+    """``{phish, accuracy, trusted}`` records as JSON lines (plus ``keep`` ids)."""
     df.select(*(keep or []), *VERDICT_COLS).write.mode(mode).json(path)
 
 
