@@ -1,3 +1,3 @@
 """Registered queries (one module per area); importing registers them."""
 
-from tidemail.queries import corpus, generator, html, intake, metrics, profiles, tokens, verdicts  # noqa: F401
+from tidemail.queries import corpus, generator, html, intake, metrics, profiles, stream, tokens, verdicts  # noqa: F401
