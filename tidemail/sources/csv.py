@@ -25,8 +25,9 @@ from pyspark.sql import types as T
 from tidemail.functions.text import NA_TOKENS, body_text, na_to_null, training_text
 
 CORRUPT = "_corrupt_record"
-# A quoted CSV field (with doubled quotes inside).
-_QUOTED = r'"(?:[^"]|"")*"'
+# A quoted CSV field (with doubled quotes inside); possessive runs keep Java's
+# regex engine from recursing once per character on long fields.
+_QUOTED = r'"(?:[^"]++|"")*+"'
 
 READ_OPTS = dict(header="true", multiLine="true", quote='"', escape='"', encoding="UTF-8",
                  mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT,

@@ -27,8 +27,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def emails_from(documents: DataFrame, labels: DataFrame | None,
-                domain: str = TEST_DOMAIN) -> DataFrame:
-    d = documents.select("doc_id", "text", "source")
+                domain: str = TEST_DOMAIN, keep: tuple[str, ...] = ()) -> DataFrame:
+    d = documents.select("doc_id", "text", "source", *keep)
     nl = F.instr(F.col("text"), "\n")
     first_line = F.substring_index(F.col("text"), "\n", 1)
     rest = F.when(nl > 0, F.expr("substring(text, instr(text, '\n') + 1)"))
@@ -45,6 +45,7 @@ def emails_from(documents: DataFrame, labels: DataFrame | None,
         rest.alias("body"),
         sender.alias("sender"),
         F.col("source"),
+        *keep,
     )
     if labels is None:
         return out.withColumn("label", F.lit(None).cast("int"))
@@ -53,8 +54,9 @@ def emails_from(documents: DataFrame, labels: DataFrame | None,
     return out.join(lab, "mail_id", "left")
 
 
-def emails(spark: SparkSession, sf_dir: str, domain: str = TEST_DOMAIN) -> DataFrame:
-    return emails_from(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), domain)
+def emails(spark: SparkSession, sf_dir: str, domain: str = TEST_DOMAIN,
+           keep: tuple[str, ...] = ()) -> DataFrame:
+    return emails_from(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), domain, keep)
 
 
 # DuckDB twin of ``emails`` (FROM-clause fragment) used by the oracles.
