@@ -387,7 +387,10 @@ class Plan:
             else:
                 df = df.withColumn(s.name, smp.column(u, ctx))
             if isinstance(smp, Structured):
-                df = df.withColumn(s.name, F.from_json(F.col(s.name), smp.schema))
+                # text that is not a JSON object gives null (not a struct of nulls)
+                ok = F.coalesce(F.expr(f"schema_of_variant(try_parse_json(`{s.name}`)) LIKE 'OBJECT%'"),
+                                F.lit(False))
+                df = df.withColumn(s.name, F.when(ok, F.from_json(F.col(s.name), smp.schema)))
         return df
 
     def create_from(self, base: DataFrame, key: str, seed: int = 42,

@@ -124,5 +124,6 @@ def merge_csv(spark: SparkSession, parts_dir: str, out: str, order: list[str],
         df = df.select(F.col("__index").alias(""), *[c for c in df.columns if c != "__index"])
     if single_file:
         df = df.coalesce(1)
-    df.write.mode(mode).options(**WRITE_OPTS).csv(out)
+    # like to_csv: empty strings (and the index header) written bare, not as ""
+    df.write.mode(mode).options(**WRITE_OPTS).option("emptyValue", "").csv(out)
     return df
