@@ -112,3 +112,26 @@ def test_structured_column(spark):
     r = t.collect()
     assert [(x["row_id"], x["s"]["name"], x["s"]["price"]) for x in r] == [(1, "x", 2.5)]
     assert rej.count() == 2
+
+
+def test_profile_document_and_artifacts(spark, tmp_dir):
+    import json
+    import os
+
+    from tidemail.plans.report import profile_document
+    from tidemail.sources.sinks import write_artifacts
+    plan = offer_mail_plan("example.edu", segment_col="seg")
+    base = spark.range(300).select(F.col("id").alias("k"), F.lit("X").alias("seg"))
+    built = plan.build(base, "k", 5).filter(F.col("body").isNotNull())
+    doc = profile_document(plan, built, 300)
+    table, _ = plan.create_from(base, "k", 5)
+    write_artifacts(table, doc, os.path.join(tmp_dir, "art"))
+    back = spark.read.json(os.path.join(tmp_dir, "art", "analysis")).first().asDict(recursive=True)
+    assert back["target_num_records"] == 300
+    assert back["num_records"] == table.count() == spark.read.parquet(os.path.join(tmp_dir, "art", "dataset")).count()
+    assert back["side_effect_column_names"] == ["victim", "domain"]
+    stats = {c["column_name"]: c for c in back["column_statistics"]}
+    dist = json.loads(stats["offer"]["distribution"])
+    assert sum(dist["histogram"]["counts"]) == back["num_records"]
+    assert dist["most_common_value"] == dist["histogram"]["categories"][0]
+    assert stats["body"]["completion_tokens_mean"] > 0

@@ -172,3 +172,13 @@ def staff_email(spark, sf_dir):
                     F.lower(tx.word_at("subject", 1)).alias("second_word"),
                     tx.word_at("subject", -1).alias("last_word"),
                     tx.staff_email("subject", TEST_DOMAIN).alias("contact"))
+
+
+@register("gen_profile")
+def gen_profile(spark, sf_dir):
+    """A5–A10 as one profile document of the generated table (the S9 artifact)."""
+    from tidemail.plans.report import profile_document
+    base = table(spark, sf_dir, "customer").select(KEY, "c_mktsegment")
+    plan = offer_mail_plan(TEST_DOMAIN)
+    built = plan.build(base, KEY, 42).filter(F.col("body").isNotNull())
+    return profile_document(plan, built, base.select(F.count(F.lit(1))).scalar(), max_bins=50)
