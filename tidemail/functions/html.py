@@ -135,14 +135,15 @@ def _matches(chain, stack) -> bool:
 
 
 class _SelectParser(HTMLParser):
-    def __init__(self, chain):
+    """One pass over a document for any number of selectors."""
+
+    def __init__(self, chains):
         super().__init__(convert_charrefs=True)
-        self.chain = chain
+        self.chains = chains
         self.stack: list[tuple[str, dict]] = []
-        self.open: list[list] = []  # per stack level: collector or None
-        self.found: list[tuple[int, list]] = []
+        self.open: list[list[list[str]]] = []  # per stack level: collectors started there
+        self.found: list[list[list[str]]] = [[] for _ in chains]
         self.skip = 0
-        self.n = 0
 
     def handle_starttag(self, tag, attrs):
         if tag in SKIP:
@@ -150,12 +151,13 @@ class _SelectParser(HTMLParser):
         if tag in VOID:
             return
         self.stack.append((tag, dict(attrs)))
-        col = None
-        if _matches(self.chain, self.stack):
-            col = []
-            self.found.append((self.n, col))
-            self.n += 1
-        self.open.append(col)
+        started = []
+        for i, chain in enumerate(self.chains):
+            if _matches(chain, self.stack):
+                col: list[str] = []
+                self.found[i].append(col)
+                started.append(col)
+        self.open.append(started)
 
     def handle_startendtag(self, tag, attrs):
         pass
@@ -172,25 +174,39 @@ class _SelectParser(HTMLParser):
     def handle_data(self, data):
         if self.skip:
             return
-        for col in self.open:
-            if col is not None:
+        for level in self.open:
+            for col in level:
                 col.append(data)
 
 
-def select_texts(html: str | None, selector: str) -> list[str] | None:
+def select_texts_many(html: str | None, selectors: list[str]) -> list[list[str]] | None:
+    """Texts of the elements matching each selector, in document order."""
     if html is None:
         return None
-    p = _SelectParser(parse_selector(selector))
+    p = _SelectParser([parse_selector(x) for x in selectors])
     p.feed(html)
     p.close()
-    return ["".join(col) for _, col in sorted(p.found, key=lambda x: x[0])]
+    return [["".join(col) for col in found] for found in p.found]
+
+
+def select_texts(html: str | None, selector: str) -> list[str] | None:
+    out = select_texts_many(html, [selector])
+    return None if out is None else out[0]
 
 
 def select_text(c, selector: str) -> Column:
     """``array<string>`` of the texts of elements matching ``selector``."""
-    parse_selector(selector)  # fail early on the driver
+    return select_text_many(c, [selector])[0]
+
+
+def select_text_many(c, selectors: list[str]) -> Column:
+    """F13 for several selectors with one parse per document:
+    ``array<array<string>>``, one inner array per selector."""
+    for x in selectors:
+        parse_selector(x)  # fail early on the driver
+    sels = list(selectors)
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
     def _sel(s: pd.Series) -> pd.Series:
-        return s.map(lambda h: select_texts(h, selector))
+        return s.map(lambda h: select_texts_many(h, sels))
     return _sel(_c(c))

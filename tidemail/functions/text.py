@@ -50,12 +50,20 @@ def or_default(c, text: str) -> Column:
     return F.coalesce(F.nullif(_c(c), F.lit("")), F.lit(text))
 
 
+# The same class as a plain character set, for set-wise trimming.
+JS_WS_CHARS = ("\t\n\x0b\f\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+               + "\u2028\u2029\u202f\u205f\u3000\ufeff")
+
+
 def js_trim(c) -> Column:
-    return F.regexp_replace(_c(c), rf"^{JS_WS}+|{JS_WS}+\z", "")
+    """JS ``trim``: strip the whitespace class at both ends (set-wise, no regex)."""
+    return F.trim(_c(c), F.lit(JS_WS_CHARS))
 
 
 def collapse_newlines(c) -> Column:
-    return F.regexp_replace(_c(c), r"\n{2,}", "\n")
+    col = _c(c)
+    # the regex pass only runs on values that hold a blank line
+    return F.when(F.instr(col, "\n\n") > 0, F.regexp_replace(col, r"\n{2,}", "\n")).otherwise(col)
 
 
 def collapse_ws(c) -> Column:

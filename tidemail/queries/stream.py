@@ -20,7 +20,7 @@ def _run(spark, sf_dir):
     intake_json(spark, sf_dir).select("payload").write.mode("overwrite").text(f"{base}/in")
     model = _trained(spark, sf_dir)
     q = score_stream(spark, f"{base}/in", model, f"{base}/out", f"{base}/rejected", f"{base}/ckpt",
-                     TEST_DOMAIN, available_now=True, max_files_per_trigger=2)
+                     TEST_DOMAIN, available_now=True)
     q.awaitTermination()
     return base
 

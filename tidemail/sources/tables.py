@@ -22,8 +22,23 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 TEST_DOMAIN = "example.edu"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a scan over the cluster when it has too few splits.
+
+    A table stored as one unsplittable unit (a single Parquet row group, a
+    multi-line CSV) is read by one task, and every per-row expression after
+    it runs on one core.  When the scan has fewer than half the cluster's
+    default parallelism, redistribute it once; a large table that already has
+    thousands of splits is returned unchanged (no shuffle).
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    have = df.rdd.getNumPartitions()
+    return df.repartition(want) if have * 2 <= want else df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, parallel: bool = True) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if parallel else df
 
 
 def emails_from(documents: DataFrame, labels: DataFrame | None,
