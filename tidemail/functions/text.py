@@ -82,10 +82,15 @@ def na_to_null(c, tokens: list[str] | None = None) -> Column:
 
 
 # ---------------------------------------------------------------- F14/F17
+# The same class as a plain character set, for set-wise trimming.
+PY_WS_CHARS = ("\t\n\x0b\f\r\x1c\x1d\x1e\x1f \u0085\u00a0\u1680"
+               + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def words(c) -> Column:
     """``str.split()``: runs of whitespace, no empty words at either end."""
-    t = F.regexp_replace(_c(c), rf"^{PY_WS}+|{PY_WS}+\z", "")
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, PY_WS + "+"))
+    t = F.trim(_c(c), F.lit(PY_WS_CHARS))
+    return F.array_remove(F.split(t, PY_WS + "+"), "")
 
 
 def word_at(c, i: int) -> Column:
@@ -93,7 +98,7 @@ def word_at(c, i: int) -> Column:
     w = words(c)
     if i >= 0:
         return F.get(w, i)
-    return F.when(F.size(w) >= -i, F.element_at(w, i))
+    return F.try_element_at(w, F.lit(i))
 
 
 def staff_email(c, domain: str) -> Column:

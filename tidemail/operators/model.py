@@ -27,11 +27,11 @@ from tidemail.functions.text import TOKEN_RE
 
 @dataclass
 class TrainParams:
-    num_features: int = 1 << 18
+    num_features: int = 1 << 16
     min_doc_freq: int = 1
     reg_param: float = 0.01
     elastic_net: float = 0.0
-    max_iter: int = 50
+    max_iter: int = 20
     classifier: str = "logistic"     # or "naive_bayes"
     text_col: str = "text"
     label_col: str = "label"

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from tidemail.functions.rand import uniform
 from tidemail.functions.templates import Template
+from tidemail.operators.rows import keep_rows  # noqa: F401  (re-exported)
 
 
 class PlanError(ValueError):
@@ -407,7 +408,7 @@ class Plan:
             ok = ok & F.col(c).isNotNull()
         full = full.withColumn("__ok", ok)
         kept = [key] + list(keep or []) + [s.name for s in self.specs if not s.drop]
-        table = full.filter("__ok").select(*kept)
+        table = keep_rows(full, F.col("__ok"), kept)
         failed = [F.when(F.col(c).isNull(), F.lit(c)) for c in gen]
         rejected = full.filter(~F.col("__ok")).select(
             key, F.array_compact(F.array(*failed)).alias("failed_columns"))

@@ -39,10 +39,20 @@ def _tok_stats(df: DataFrame, cols: dict[str, tuple[Column, Column]]) -> DataFra
     return lng.groupBy("column_name").agg(*st("completion"), *st("prompt"))
 
 
-def profile_document(plan: Plan, built: DataFrame, target, max_bins: int = 50) -> DataFrame:
+def profile_document(plan: Plan, built: DataFrame, target, max_bins: int = 50,
+                     materialize: bool = True) -> DataFrame:
     """``built``: the generated rows that were kept, with helper columns still
     present (``Plan.build`` filtered by the caller, or ``create_from`` output
-    when no prompt statistics are needed)."""
+    when no prompt statistics are needed).
+
+    The profile reads its input several times (counts, histograms, numerical
+    and token statistics); ``materialize`` cuts the lineage once with a
+    reliable checkpoint in the shared checkpoint folder, so the generation is
+    not recomputed per pass and survives executor loss."""
+    if materialize:
+        from tidemail.session import checkpoint_dir
+        checkpoint_dir(built.sparkSession)
+        built = built.checkpoint(eager=True)
     kept = [s.name for s in plan.specs if not s.drop and s.name in built.columns]
     kinds = {s.name: s.sampler.kind for s in plan.specs}
     spark = built.sparkSession

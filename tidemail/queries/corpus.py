@@ -18,7 +18,7 @@ E = s.EMAILS_SQL
 def mail_split_summary(spark, sf_dir):
     """Flagship: emails → training text → JS cleaning → sender trust → M1 split
     → counts per split × trusted × label (map-side partial aggregation)."""
-    e = emails(spark, sf_dir)
+    e = emails(spark, sf_dir, parallel=True)
     t = (e.select("mail_id", "label", "sender",
                   tx.clean_body(tx.training_text("subject", "body")).alias("clean"))
          .withColumn("trusted", snd.is_trusted("sender", TEST_DOMAIN)))
@@ -68,7 +68,7 @@ FROM {E} e
 """)
 def mail_clean(spark, sf_dir):
     """F1–F4 as the capture step applies them (subject fallback text kept as given)."""
-    e = emails(spark, sf_dir)
+    e = emails(spark, sf_dir, parallel=True)
     return e.select(
         "mail_id",
         tx.js_trim(tx.or_default("subject", "Sender not found")).alias("subject_clean"),

@@ -180,5 +180,6 @@ def gen_profile(spark, sf_dir):
     from tidemail.plans.report import profile_document
     base = table(spark, sf_dir, "customer").select(KEY, "c_mktsegment")
     plan = offer_mail_plan(TEST_DOMAIN)
-    built = plan.build(base, KEY, 42).filter(F.col("body").isNotNull())
+    full = plan.build(base, KEY, 42)
+    built = g.keep_rows(full, F.col("body").isNotNull(), full.columns)
     return profile_document(plan, built, base.select(F.count(F.lit(1))).scalar(), max_bins=50)

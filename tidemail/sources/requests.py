@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemail.operators.rows import keep_rows
+
 REQUIRED = ("subject", "sender", "body")
 OPTIONAL = ("timestamp", "url")
 
@@ -34,10 +36,11 @@ def parse_requests(df: DataFrame, json_col: str, keep: list[str] | None = None,
     bad = F.concat_ws(",", *[F.when(~_is_string(v, f), F.lit(f)) for f in required])
     parsed = parsed.withColumn("__reason", F.when(~is_obj, F.lit("invalid json")).otherwise(
         F.when(bad != "", F.concat(F.lit("bad field: "), bad))))
-    valid = parsed.filter(F.col("__reason").isNull()).select(
+    # keep_rows: the JSON is parsed once per record, not again inside the filter
+    valid = keep_rows(parsed, F.col("__reason").isNull(), [
         *keep,
         *[F.expr(f"variant_get({v}, '$.{f}', 'string')").alias(f) for f in required],
-        *[F.expr(f"try_variant_get({v}, '$.{f}', 'string')").alias(f) for f in optional])
-    rejected = parsed.filter(F.col("__reason").isNotNull()).select(
-        *keep, F.col("__reason").alias("reason"), F.col("__raw").alias("payload"))
+        *[F.expr(f"try_variant_get({v}, '$.{f}', 'string')").alias(f) for f in optional]])
+    rejected = keep_rows(parsed, F.col("__reason").isNotNull(), [
+        *keep, F.col("__reason").alias("reason"), F.col("__raw").alias("payload")])
     return valid, rejected

@@ -36,7 +36,10 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(want) if have * 2 <= want else df
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, parallel: bool = True) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, parallel: bool = False) -> DataFrame:
+    """Read one driver table; ``parallel=True`` spreads an under-split scan
+    (for CPU-heavy per-row work only — light queries are faster without the
+    extra exchange)."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return spread(df) if parallel else df
 
@@ -70,8 +73,9 @@ def emails_from(documents: DataFrame, labels: DataFrame | None,
 
 
 def emails(spark: SparkSession, sf_dir: str, domain: str = TEST_DOMAIN,
-           keep: tuple[str, ...] = ()) -> DataFrame:
-    return emails_from(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), domain, keep)
+           keep: tuple[str, ...] = (), parallel: bool = False) -> DataFrame:
+    return emails_from(table(spark, sf_dir, "documents", parallel), table(spark, sf_dir, "labels"),
+                       domain, keep)
 
 
 # DuckDB twin of ``emails`` (FROM-clause fragment) used by the oracles.
