@@ -374,24 +374,39 @@ class Plan:
 
     # G11
     def build(self, base: DataFrame, key: str, seed: int = 42) -> DataFrame:
-        """All columns (helpers included) on top of ``base``; no rows dropped."""
+        """All columns (helpers included) on top of ``base``; no rows dropped.
+
+        Columns are added one dependency level at a time — all specs whose
+        inputs exist already go into a single projection — so the plan has a
+        handful of Project nodes instead of one per column."""
         order = self.validate(set(base.columns))
+        names = {s.name for s in self.specs}
+        level: dict[str, int] = {}
+        for s in order:
+            deps = [level[r] for r in s.sampler.refs() if r in names]
+            level[s.name] = 1 + max(deps) if deps else 0
         df = base
         keycol = F.col(key)
-        for s in order:
-            u = uniform(seed, s.name, keycol)
-            ctx = {"name": s.name, "seed": seed, "key": keycol}
-            smp = s.sampler
-            if isinstance(smp, Text) and smp.generator is not None:
-                df = df.withColumn(f"__prompt_{s.name}", smp.prompt_column())
-                df = _generate_text(df, s.name, smp)
-            else:
-                df = df.withColumn(s.name, smp.column(u, ctx))
-            if isinstance(smp, Structured):
+        for lv in sorted(set(level.values())):
+            batch = {}
+            for s in (x for x in order if level[x.name] == lv):
+                smp = s.sampler
+                if isinstance(smp, Text) and smp.generator is not None:
+                    df = df.withColumn(f"__prompt_{s.name}", smp.prompt_column())
+                    df = _generate_text(df, s.name, smp)
+                    continue
+                ctx = {"name": s.name, "seed": seed, "key": keycol}
+                batch[s.name] = smp.column(uniform(seed, s.name, keycol), ctx)
+            if batch:
+                df = df.withColumns(batch)
+            structured = {}
+            for s in (x for x in order if level[x.name] == lv and isinstance(x.sampler, Structured)):
                 # text that is not a JSON object gives null (not a struct of nulls)
                 ok = F.coalesce(F.expr(f"schema_of_variant(try_parse_json(`{s.name}`)) LIKE 'OBJECT%'"),
                                 F.lit(False))
-                df = df.withColumn(s.name, F.when(ok, F.from_json(F.col(s.name), smp.schema)))
+                structured[s.name] = F.when(ok, F.from_json(F.col(s.name), s.sampler.schema))
+            if structured:
+                df = df.withColumns(structured)
         return df
 
     def create_from(self, base: DataFrame, key: str, seed: int = 42,
