@@ -21,67 +21,86 @@ def accuracy(df: DataFrame, y: str = "label", p: str = "prediction") -> DataFram
     return df.agg(F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("n_rows"))
 
 
+def _cell_row(df: DataFrame, y: str, p: str) -> DataFrame:
+    """One row: ``cells`` (array of (y, p, n), k² entries at most) and ``labels``
+    (sorted union of both columns).  The only pass over the data is the
+    partial-aggregated ``groupBy(y, p)``; everything after works on k² values."""
+    cells = _cells(df, y, p).agg(F.collect_list(F.struct("y", "p", "n")).alias("cells"))
+    labels = F.array_sort(F.array_distinct(F.flatten(F.transform("cells", lambda c: F.array(c["y"], c["p"])))))
+    return cells.select("cells", labels.alias("labels"))
+
+
 def confusion_matrix(df: DataFrame, y: str = "label", p: str = "prediction") -> DataFrame:
     """A3: long form ``(true_label, pred_label, n)``; labels are the sorted union
     of both columns and zero cells are kept (k² rows)."""
-    cells = _cells(df, y, p)
-    labels = cells.agg(F.array_sort(F.array_distinct(
-        F.flatten(F.collect_list(F.array("y", "p"))))).alias("labels"))
-    grid = (labels.select(F.explode("labels").alias("true_label"), "labels")
-            .select("true_label", F.explode("labels").alias("pred_label")))
-    return (grid.join(cells, (grid.true_label == cells.y) & (grid.pred_label == cells.p), "left")
-            .select("true_label", "pred_label", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+    row = _cell_row(df, y, p)
+    def key(a, b):
+        return F.struct(a.alias("y"), b.alias("p"))
+    lookup = F.map_from_entries(F.transform("cells", lambda c: F.struct(key(c["y"], c["p"]).alias("k"),
+                                                                         c["n"].alias("v"))))
+    grid = F.flatten(F.transform("labels", lambda t: F.transform("labels", lambda q: F.struct(
+        t.alias("true_label"), q.alias("pred_label"),
+        F.coalesce(F.element_at(lookup, key(t, q)), F.lit(0)).cast("bigint").alias("n")))))
+    return row.select(F.inline(grid))
 
 
 def per_class(df: DataFrame, y: str = "label", p: str = "prediction") -> DataFrame:
     """Per class: support (true count), predicted count, true positives."""
-    cells = _cells(df, y, p)
-    z = F.lit(0).cast("bigint")
-    rows = F.explode(F.array(
-        F.struct(F.col("y").alias("cls"), F.col("n").alias("support"), z.alias("predicted"),
-                 F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(z).alias("tp")),
-        F.struct(F.col("p").alias("cls"), z.alias("support"), F.col("n").alias("predicted"), z.alias("tp"))))
-    return (cells.select(rows.alias("r")).select("r.*").groupBy("cls")
-            .agg(F.sum("support").alias("support"), F.sum("predicted").alias("predicted"),
-                 F.sum("tp").alias("tp")))
+    return _cell_row(df, y, p).select(F.inline(_per_class_array()))
 
 
-def _div(a, b):
-    return F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
+def _per_class_array():
+    def total(cond):
+        return F.aggregate(F.filter("cells", cond), F.lit(0).cast("bigint"), lambda acc, c: acc + c["n"])
+    return F.transform("labels", lambda lab: F.struct(
+        lab.alias("cls"),
+        total(lambda c: c["y"] == lab).alias("support"),
+        total(lambda c: c["p"] == lab).alias("predicted"),
+        total(lambda c: (c["y"] == lab) & (c["p"] == lab)).alias("tp")))
 
 
-def _row(name, p, r, f):
-    return F.struct(F.lit(name).alias("label"), F.col(p).alias("precision"), F.col(r).alias("recall"),
-                    F.col(f).alias("f1_score"), F.col("total").alias("support"))
+def _div(a, b):
+    return F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
 
 
 def classification_report(df: DataFrame, y: str = "label", p: str = "prediction",
                           digits: int = 6) -> DataFrame:
     """A4: precision, recall, F1 and support per class, then ``accuracy``,
-    ``macro avg`` and ``weighted avg`` rows; 0/0 counts as 0.0."""
-    pc = per_class(df, y, p)
-    prec = _div(F.col("tp").cast("double"), F.col("predicted"))
-    rec = _div(F.col("tp").cast("double"), F.col("support"))
-    cls = pc.select(F.col("cls").cast("string").alias("label"), prec.alias("precision"),
-                    rec.alias("recall"), "support", "tp")
-    cls = cls.withColumn("f1_score", _div(2 * F.col("precision") * F.col("recall"),
-                                          F.col("precision") + F.col("recall")))
-    tot = F.sum("support")
-    summary = cls.agg(
-        (F.sum("tp") / tot).alias("acc"),
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1_score").alias("mf"),
-        (F.sum(F.col("precision") * F.col("support")) / tot).alias("wp"),
-        (F.sum(F.col("recall") * F.col("support")) / tot).alias("wr"),
-        (F.sum(F.col("f1_score") * F.col("support")) / tot).alias("wf"),
-        tot.alias("total"))
-    nul = F.lit(None).cast("double")
-    summ = summary.select(F.explode(F.array(
-        F.struct(F.lit("accuracy").alias("label"), nul.alias("precision"), nul.alias("recall"),
-                 F.col("acc").alias("f1_score"), F.col("total").alias("support")),
-        _row("macro avg", "mp", "mr", "mf"),
-        _row("weighted avg", "wp", "wr", "wf"),
-    )).alias("r")).select("r.*")
-    out = cls.select("label", "precision", "recall", "f1_score", "support").unionByName(summ)
+    ``macro avg`` and ``weighted avg`` rows; 0/0 counts as 0.0.
+
+    One pass over the data (the cell counts); the per-class and summary rows
+    are computed on that single bounded row."""
+    row = _cell_row(df, y, p).select(_per_class_array().alias("pc"))
+
+    def scores(c):
+        prec = _div(c["tp"].cast("double"), c["predicted"])
+        rec = _div(c["tp"].cast("double"), c["support"])
+        return F.struct(c["cls"].cast("string").alias("label"), prec.alias("precision"), rec.alias("recall"),
+                        _div(2 * prec * rec, prec + rec).alias("f1_score"), c["support"].alias("support"),
+                        c["tp"].alias("tp"))
+    row = row.select(F.transform("pc", scores).alias("cls"))
+    tot = F.aggregate("cls", F.lit(0).cast("bigint"), lambda a, c: a + c["support"])
+    tp = F.aggregate("cls", F.lit(0).cast("bigint"), lambda a, c: a + c["tp"])
+    k = F.size("cls").cast("double")
+
+    def mean(f):
+        return F.aggregate("cls", F.lit(0.0), lambda a, c: a + c[f]) / k
+
+    def weighted(f):
+        return F.aggregate("cls", F.lit(0.0), lambda a, c: a + c[f] * c["support"]) / tot
+
+    def line(label, prec, rec, f1, sup):
+        return F.struct(label.alias("label"), prec.cast("double").alias("precision"),
+                        rec.cast("double").alias("recall"), f1.cast("double").alias("f1_score"),
+                        sup.cast("bigint").alias("support"))
+    nul = F.lit(None)
+    summary = F.array(
+        line(F.lit("accuracy"), nul, nul, tp / tot, tot),
+        line(F.lit("macro avg"), mean("precision"), mean("recall"), mean("f1_score"), tot),
+        line(F.lit("weighted avg"), weighted("precision"), weighted("recall"), weighted("f1_score"), tot))
+    per = F.transform("cls", lambda c: line(c["label"], c["precision"], c["recall"], c["f1_score"],
+                                            c["support"]))
+    out = row.select(F.inline(F.concat(per, summary)))
     return out.select("label", *[F.round(c, digits).alias(c) for c in ("precision", "recall", "f1_score")],
                       F.col("support").cast("bigint").alias("support"))
 
