@@ -48,7 +48,7 @@ FROM {E} e
 """)
 def mail_text(spark, sf_dir):
     """P2 / P3 / P5 with F1 fallbacks ahead of the scoring text."""
-    e = emails(spark, sf_dir)
+    e = emails(spark, sf_dir, labelled=False)
     return e.select(
         "mail_id",
         tx.training_text("subject", "body").alias("text"),
@@ -68,7 +68,7 @@ FROM {E} e
 """)
 def mail_clean(spark, sf_dir):
     """F1–F4 as the capture step applies them (subject fallback text kept as given)."""
-    e = emails(spark, sf_dir, parallel=True)
+    e = emails(spark, sf_dir, parallel=True, labelled=False)
     return e.select(
         "mail_id",
         tx.js_trim(tx.or_default("subject", "Sender not found")).alias("subject_clean"),
@@ -90,7 +90,7 @@ FROM {E} e
 """)
 def sender_rules(spark, sf_dir):
     """F5 / F6 (and the strict variant) per mail."""
-    e = emails(spark, sf_dir)
+    e = emails(spark, sf_dir, labelled=False)
     return e.select("mail_id", "sender",
                     snd.sender_domain("sender").alias("domain"),
                     snd.is_trusted("sender", TEST_DOMAIN).alias("trusted"),
@@ -134,7 +134,7 @@ FROM {E} e
 """)
 def split_exact(spark, sf_dir):
     """M2: exactly ceil(0.2 n) test rows."""
-    return sampling.split_exact(emails(spark, sf_dir).select("mail_id"), "mail_id", 0.2, 42)
+    return sampling.split_exact(emails(spark, sf_dir, labelled=False).select("mail_id"), "mail_id", 0.2, 42)
 
 
 @register("shuffle_order", """

@@ -38,7 +38,7 @@ FROM {EMAILS_SQL} e
 def csv_merge_index(spark, sf_dir):
     """Parts merged into one CSV with a leading unnamed 0-based index."""
     base = scratch_path(spark, "csvmerge")
-    cs.write_csv_parts(emails(spark, sf_dir).select("mail_id", "subject"), f"{base}/parts")
+    cs.write_csv_parts(emails(spark, sf_dir, labelled=False).select("mail_id", "subject"), f"{base}/parts")
     cs.merge_csv(spark, f"{base}/parts", f"{base}/merged", order=[F.col("mail_id").cast("bigint")])
     back = cs.read_mail_csv(spark, f"{base}/merged")
     idx = back.columns[0]

@@ -167,7 +167,7 @@ FROM {EMAILS_SQL} e
 """)
 def staff_email(spark, sf_dir):
     """F14 / F17 on the first line of every mail."""
-    e = emails(spark, sf_dir)
+    e = emails(spark, sf_dir, labelled=False)
     return e.select("mail_id", tx.word_at("subject", 0).alias("first_word"),
                     F.lower(tx.word_at("subject", 1)).alias("second_word"),
                     tx.word_at("subject", -1).alias("last_word"),

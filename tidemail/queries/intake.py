@@ -14,7 +14,7 @@ from tidemail.registry import register
 def intake_json(spark, sf_dir):
     """One JSON record per mail; defects by ``mail_id``: %7 number subject,
     %11 no sender, %13 null body, %19 not JSON, %23 an ``{"error"}`` object."""
-    e = emails(spark, sf_dir)
+    e = emails(spark, sf_dir, labelled=False)
     m = F.col("mail_id")
     url = F.concat(F.lit("https://mail.example.com/inbox/"), m.cast("string"))
     opts = {"ignoreNullFields": "false"}

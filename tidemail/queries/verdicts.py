@@ -74,7 +74,7 @@ FROM {EMAILS_SQL} e
 """)
 def body_snippets(spark, sf_dir):
     """500-character snippet and its HTML-escaped form."""
-    e = emails(spark, sf_dir)
+    e = emails(spark, sf_dir, labelled=False)
     sn = tx.snippet("body", 500)
     return e.select("mail_id", sn.alias("snippet"), tx.escape_html(sn).alias("snippet_html"))
 

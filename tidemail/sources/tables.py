@@ -73,9 +73,11 @@ def emails_from(documents: DataFrame, labels: DataFrame | None,
 
 
 def emails(spark: SparkSession, sf_dir: str, domain: str = TEST_DOMAIN,
-           keep: tuple[str, ...] = (), parallel: bool = False) -> DataFrame:
-    return emails_from(table(spark, sf_dir, "documents", parallel), table(spark, sf_dir, "labels"),
-                       domain, keep)
+           keep: tuple[str, ...] = (), parallel: bool = False, labelled: bool = True) -> DataFrame:
+    """``labelled=False`` skips the labels join for queries that never read
+    ``label`` (the optimizer cannot drop a left join on its own)."""
+    labels = table(spark, sf_dir, "labels") if labelled else None
+    return emails_from(table(spark, sf_dir, "documents", parallel), labels, domain, keep)
 
 
 # DuckDB twin of ``emails`` (FROM-clause fragment) used by the oracles.
