@@ -43,3 +43,15 @@ def test_column_types(spark):
     assert t["a"]["simple_dtype"] == "int" and t["a"]["pyarrow_dtype"] == "int64"
     assert t["s"]["simple_dtype"] == "dict"
     assert t["b"]["sampler_type"] == "category"
+
+
+@pytest.mark.parametrize("n", [20001, 20000])
+def test_exact_median_bracket_with_skew(spark, n):
+    import random
+    rnd = random.Random(n)
+    vals = [7.0 if i % 3 == 0 else float(rnd.randint(0, 5000)) / 4 for i in range(n)]
+    df = spark.createDataFrame([(v, float(i)) for i, v in enumerate(vals)], "a double, b double").repartition(5)
+    got = {r["column_name"]: r["median"] for r in pr.exact_median(
+        pr._long(df, ["a", "b"], lambda c: df[c]).filter("v is not null"), accuracy=50).collect()}
+    assert got["a"] == pytest.approx(statistics.median(vals), abs=1e-9)
+    assert got["b"] == pytest.approx(statistics.median(range(n)), abs=1e-9)
