@@ -47,7 +47,7 @@ FROM d LEFT JOIN enc ON enc.doc_id = d.doc_id
 """)
 def token_encode(spark, sf_dir):
     """K2 + K3 (+P11 columns): ids of the first 16 tokens, padded, with mask."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", parallel=True)
     vocab = tk.build_vocab(docs, "text", VOCAB)
     enc = tk.pad(tk.encode(docs, vocab, "doc_id", "text", MAX_LEN, vocab_size=VOCAB), "ids", MAX_LEN)
     return enc.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"),
