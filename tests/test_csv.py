@@ -83,3 +83,18 @@ def test_merge_index(spark, tmp_dir):
         lines = f.read().splitlines()
     assert lines[0] == ",k,v"
     assert lines[1:4] == ["0,0,v0", "1,1,v1", "2,2,v2"]
+
+
+def test_sources_and_model_inputs(spark, tmp_dir):
+    from tidemail.operators.tokens import model_inputs, pad
+    from tidemail.sources.sinks import read_pages, read_parts
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string").repartition(2)
+    df.write.parquet(os.path.join(tmp_dir, "parts"))
+    assert sorted(tuple(r) for r in read_parts(spark, os.path.join(tmp_dir, "parts")).collect()) == [(1, "a"), (2, "b")]
+    write(os.path.join(tmp_dir, "html", "one.html"), "<p>x</p>\n<p>y</p>")
+    pages = read_pages(spark, os.path.join(tmp_dir, "html"), wholetext=True).collect()
+    assert len(pages) == 1 and pages[0]["html"] == "<p>x</p>\n<p>y</p>" and pages[0]["url"].endswith("one.html")
+    assert cs.describe_columns(df) == ["id", "v"]
+    m = spark.createDataFrame([([5, 6], 1)], "ids array<int>, label int")
+    r = model_inputs(pad(m, "ids", 3)).first()
+    assert (r["input_ids"], r["attention_mask"], r["label"]) == ([5, 6, 0], [1, 1, 0], 1)

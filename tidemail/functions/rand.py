@@ -29,9 +29,3 @@ def uniform(seed: int | str, name: str, key) -> Column:
     """Double in [0, 1) drawn from (seed, name, key)."""
     return (F.conv(F.substring(hash_hex(seed, name, key), 1, 13), 16, 10)
             .cast("bigint") / F.lit(TWO_52))
-
-
-def uniform_sql(seed: int | str, name: str, key_sql: str) -> str:
-    """The DuckDB twin of :func:`uniform` (used by oracles and tests)."""
-    return (f"(('0x' || substr(md5('{seed}:{name}:' || CAST({key_sql} AS VARCHAR)), 1, 13))"
-            f"::BIGINT / 4503599627370496.0)")

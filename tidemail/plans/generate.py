@@ -14,7 +14,6 @@ output instead of the table (G11).
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -468,14 +467,3 @@ def _generate_text(df: DataFrame, name: str, smp: Text) -> DataFrame:
                 yield pdf
 
     return df.mapInPandas(run, schema).drop(pcol)
-
-
-def echo_generator():
-    """Offline generator factory for tests: returns the prompt as JSON-free text."""
-    def fn(prompts, system=None):
-        return [f"[{system or ''}] {p}" for p in prompts]
-    return fn
-
-
-def plan_to_json(plan: Plan) -> str:
-    return json.dumps([{"name": s.name, "kind": s.sampler.kind, "drop": s.drop} for s in plan.specs])

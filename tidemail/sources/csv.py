@@ -70,6 +70,11 @@ def na_tokens_to_null(df: DataFrame, cols: list[str] | None = None,
     return df.withColumns({c: na_to_null(c, tokens or NA_TOKENS) for c in targets})
 
 
+def describe_columns(df: DataFrame) -> list[str]:
+    """The columns found in a source (schema only, no job)."""
+    return list(df.columns)
+
+
 def with_text(df: DataFrame) -> DataFrame:
     """``subject`` + ``body`` → P2; only ``body`` → P3; otherwise an error
     (a lone ``text`` column is rejected too, as in the original loader)."""

@@ -20,7 +20,7 @@ def read_pages(spark: SparkSession, path: str, wholetext: bool = False) -> DataF
     """HTML documents as rows — a Parquet table of pages, or one row per
     file (``wholetext``) with the path as ``url``."""
     if wholetext:
-        return (spark.read.option("wholetext", "true").text(path)
+        return (spark.read.text(path, wholetext=True)
                 .select(F.input_file_name().alias("url"), F.col("value").alias("html")))
     return spark.read.parquet(path)
 
