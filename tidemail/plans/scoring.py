@@ -53,6 +53,26 @@ def evaluate(model: PipelineModel, df: DataFrame, key: str, test_fraction: float
             "report": metrics.classification_report(ev, "y_true", "prediction")}
 
 
+# (application id, model key) -> path of the saved model in the shared folder
+_SAVED: dict[tuple[str, str], str] = {}
+
+
+def trained_model(spark, key: str, train_fn) -> PipelineModel:
+    """Train once, serve many (S10): the first call for ``key`` in a session
+    trains and saves the model to the shared checkpoint folder; later calls
+    load it from there, as evaluation and serving load the saved model."""
+    from tidemail.session import scratch_path
+    from tidemail.sources.sinks import load_model, save_model
+    k = (spark.sparkContext.applicationId, key)
+    if k in _SAVED:
+        return load_model(_SAVED[k])
+    model = train_fn()
+    path = scratch_path(spark, "model")
+    save_model(model, path)
+    _SAVED[k] = path
+    return model
+
+
 def train_split(df: DataFrame, key: str, params: TrainParams | None = None, test_fraction: float = 0.2,
                 seed: int = 42) -> PipelineModel:
     """Lifecycle 3.1: P1 text → M1 split → L1 on the train side."""
