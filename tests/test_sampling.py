@@ -45,3 +45,41 @@ def test_shuffle_is_permutation(spark):
     again = {r[0]: r[1] for r in sampling.shuffle(d.repartition(4), "doc_id", 7).collect()}
     assert {r[0]: r[1] for r in s.collect()} == again
     assert s.agg(F.corr("doc_id", "shuffle_pos")).first()[0] < 0.5
+
+
+def _brute_test_ids(rows, k):
+    """Brute force: the k rows with the smallest (draw, key)."""
+    return sorted(rows, key=lambda r: (r[1], r[0]))[:k]
+
+
+def test_split_exact_matches_brute_force(spark):
+    d = table(spark, SF001, "documents").select("doc_id")
+    u = sampling.split_draw(F.col("doc_id"), 42)
+    rows = [(r[0], r[1]) for r in d.select("doc_id", u.alias("u")).collect()]
+    for frac in (0.2, 0.5, 0.013):
+        k = math.ceil(frac * len(rows))
+        want = sorted(i for i, _ in _brute_test_ids(rows, k))
+        for direct in (sampling.RANK_DIRECT, 0):     # 0: all three counting passes
+            got = sampling.split_exact(d.repartition(3), "doc_id", frac, 42, rank_direct=direct)
+            assert sorted(r[0] for r in got.filter("split = 'test'").collect()) == want
+            assert got.count() == len(rows)
+
+
+def test_split_exact_repeated_keys_and_edges(spark):
+    # every key three times with different payloads: ties inside one draw value
+    base = table(spark, SF001, "documents").select("doc_id")
+    d = base.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    n = d.count()
+    s = sampling.split_exact(d, "doc_id", 0.3, 42, rank_direct=0)
+    test = s.filter("split = 'test'")
+    assert test.count() == math.ceil(0.3 * n) and s.count() == n
+    u = sampling.split_draw(F.col("doc_id"), 42)
+    hi_test = test.agg(F.max(u)).first()[0]
+    lo_train = s.filter("split = 'train'").agg(F.min(u)).first()[0]
+    assert hi_test <= lo_train
+    assert s.filter("split = 'test'").dropDuplicates(["doc_id", "copy"]).count() == test.count()
+    assert s.filter("split = 'test'").count() + s.filter("split = 'train'").count() == n
+    none = sampling.split_exact(base, "doc_id", 0.0, 42)
+    assert none.filter("split = 'test'").count() == 0 and none.count() == base.count()
+    every = sampling.split_exact(base, "doc_id", 1.0, 42)
+    assert every.filter("split = 'train'").count() == 0

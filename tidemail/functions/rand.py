@@ -25,7 +25,11 @@ def hash_hex(seed: int | str, name: str, key) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(name), _col(key).cast("string")))
 
 
+def draw_bits(seed: int | str, name: str, key) -> Column:
+    """The 52-bit integer behind :func:`uniform` (same order, exact)."""
+    return F.conv(F.substring(hash_hex(seed, name, key), 1, 13), 16, 10).cast("bigint")
+
+
 def uniform(seed: int | str, name: str, key) -> Column:
     """Double in [0, 1) drawn from (seed, name, key)."""
-    return (F.conv(F.substring(hash_hex(seed, name, key), 1, 13), 16, 10)
-            .cast("bigint") / F.lit(TWO_52))
+    return draw_bits(seed, name, key) / F.lit(TWO_52)

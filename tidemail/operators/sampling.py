@@ -4,7 +4,7 @@
   below the fraction.  A pure function of (seed, key), so the same hold-out is
   re-derived from a fresh load on any partitioning.
 * :func:`split_exact` (M2) exactly ``ceil(fraction * n)`` test rows: the rows
-  with the smallest draws, found through the distributed row index.
+  with the smallest draws, found by counting passes over the draw's bits.
 * :func:`shuffle`     (M4) seeded permutation position.
 * :func:`with_row_index` (O4) range-partitioned sort + per-partition offsets.
   No unpartitioned window; only one count per partition reaches the driver.
@@ -12,12 +12,11 @@
 
 from __future__ import annotations
 
-import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemail.functions.rand import uniform
+from tidemail.functions.rand import draw_bits, uniform
 from tidemail.session import checkpoint_dir
 
 
@@ -74,13 +73,66 @@ def shuffle(df: DataFrame, key: str, seed: int = 42, name: str = "shuffle_pos")
     return with_row_index(df.withColumn("__h", h), ["__h", key], name).drop("__h")
 
 
+# Bits of the 52-bit split draw resolved by each counting pass of
+# :func:`split_exact`: 16, then 16, then the last 20.  A pass groups by the
+# draw's prefix, so its result has at most 2**16 rows (2**20 for the last,
+# which only sees rows of one 2**-32 slice of the draw range).
+_PREFIX_SHIFTS = (36, 20, 0)
+# A boundary group with at most this many rows is ranked directly (one task,
+# a constant bound) instead of being refined by another counting pass.
+RANK_DIRECT = 100_000
+
+
+def _boundary(counts: DataFrame, k: Column) -> DataFrame:
+    """Rows of ``counts(__b, __c)`` whose running count crosses ``k``."""
+    w = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    c = counts.withColumn("__upto", F.sum("__c").over(w))
+    return c.filter((F.col("__upto") - F.col("__c") < k) & (k <= F.col("__upto")))
+
+
 def split_exact(df: DataFrame, key: str, test_fraction: float = 0.2, seed: int = 42,
-                col: str = "split") -> DataFrame:
-    """M2: exactly ``ceil(test_fraction * n)`` rows are ``test`` — those with the
-    smallest (draw, key).  Distributed: no global top-k into one task."""
-    u = split_draw(F.col(key), seed)
-    indexed = with_row_index(df.withColumn("__u", u), ["__u", key], "__pos")
-    n = indexed.count()
-    k = math.ceil(test_fraction * n)
-    return (indexed.withColumn(col, F.when(F.col("__pos") < k, F.lit("test")).otherwise(F.lit("train")))
-            .drop("__u", "__pos"))
+                col: str = "split", rank_direct: int = RANK_DIRECT) -> DataFrame:
+    """M2: exactly ``k = ceil(test_fraction * n)`` rows are ``test`` — those with
+    the smallest (draw, key); rows equal in both are ordered by a hash of the
+    whole row, so only fully identical rows are interchangeable.
+
+    No sort of the data.  Counting passes read only the key column and find the
+    group of draw prefixes that holds the k-th row: each pass groups the rows
+    inside the previous pass's group by the next bits of the draw (map-side
+    partial counts; at most 2**16 groups, so the running count over them is a
+    bounded one-partition window) and keeps the group where the running count
+    reaches k.  Refining stops once that group has at most ``RANK_DIRECT``
+    rows (one pass at small scale, two at 10**12 rows; ``rank_direct``).  Then every row below
+    the group is test and every row above it is train, map-only; only the rows
+    of the group are ranked.  One row per pass reaches the driver.
+    """
+    d = df.withColumn("__h", draw_bits(seed, "split", F.col(key)))
+    draws = d.select("__h")
+    k = before = None
+    prefix, prev = None, None
+    for shift in _PREFIX_SHIFTS:
+        inside = draws if prefix is None else draws.filter(F.shiftright("__h", prev) == F.lit(prefix))
+        cnt = inside.groupBy(F.shiftright("__h", shift).alias("__b")).agg(F.count(F.lit(1)).alias("__c"))
+        if k is None:
+            # the first pass also gives n, hence k
+            cnt = cnt.withColumn("__k", F.ceil(F.lit(float(test_fraction)) * F.sum("__c").over(Window.partitionBy())))
+            row = _boundary(cnt, F.col("__k")).select(
+                "__b", "__c", (F.col("__upto") - F.col("__c")).alias("__before"), "__k").first()
+            if row is None:                 # k = 0 (or no rows): everything is train
+                return d.withColumn(col, F.lit("train")).drop("__h")
+            k, before = int(row["__k"]), 0
+        else:
+            row = _boundary(cnt, F.lit(k - before)).select(
+                "__b", "__c", (F.col("__upto") - F.col("__c")).alias("__before")).first()
+        before, prefix, prev = before + int(row["__before"]), int(row["__b"]), shift
+        if int(row["__c"]) <= rank_direct:
+            break
+    r = k - before                           # rows of the boundary group that are test
+    b = F.shiftright("__h", prev)
+    rest = (d.filter(b != F.lit(prefix))
+            .withColumn(col, F.when(b < F.lit(prefix), F.lit("test")).otherwise(F.lit("train"))))
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    w = Window.partitionBy(b).orderBy(F.col("__h"), F.col(key), row_hash)
+    group = (d.filter(b == F.lit(prefix))
+             .withColumn(col, F.when(F.row_number().over(w) <= F.lit(r), F.lit("test")).otherwise(F.lit("train"))))
+    return rest.unionByName(group).drop("__h")
