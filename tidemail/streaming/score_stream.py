@@ -17,7 +17,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemail.plans.scoring import analyze
-from tidemail.sources.requests import parse_requests
+from tidemail.sources.requests import parse_json_records, parse_requests, split_parsed
 
 
 def score_batch(model: PipelineModel, raw: DataFrame, json_col: str, domain: str,
@@ -38,9 +38,16 @@ def score_stream(spark: SparkSession, in_dir: str, model: PipelineModel, out_dir
     raw = reader.load(in_dir)
 
     def per_batch(df: DataFrame, batch_id: int):
-        verdicts, rejected = score_batch(model, df, "value", domain)
-        verdicts.drop("value").write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
-        rejected.write.mode("overwrite").parquet(f"{reject_dir}/batch_id={batch_id}")
+        # both sinks read one parse of the micro-batch; a lost cached block is
+        # recomputed from the (replayable) source files
+        parsed = parse_json_records(df, "value").persist()
+        try:
+            valid, rejected = split_parsed(parsed)
+            analyze(model, valid, domain, texts=True).write.mode("overwrite").parquet(
+                f"{out_dir}/batch_id={batch_id}")
+            rejected.write.mode("overwrite").parquet(f"{reject_dir}/batch_id={batch_id}")
+        finally:
+            parsed.unpersist()
 
     w = raw.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     if available_now:
