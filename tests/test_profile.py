@@ -55,3 +55,18 @@ def test_exact_median_bracket_with_skew(spark, n):
         pr._long(df, ["a", "b"], lambda c: df[c]).filter("v is not null"), accuracy=50).collect()}
     assert got["a"] == pytest.approx(statistics.median(vals), abs=1e-9)
     assert got["b"] == pytest.approx(statistics.median(range(n)), abs=1e-9)
+
+
+def test_histogram_is_whole_and_ranked(spark):
+    from tidemail.sources.tables import table
+    c = table(spark, SF001, "customer")
+    rows = c.select("c_nationkey").collect()
+    counts = {}
+    for r in rows:
+        counts[str(r[0])] = counts.get(str(r[0]), 0) + 1
+    want = sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))
+    got = sorted((r["rank"], r["value"], r["n"]) for r in pr.histogram(c, ["c_nationkey"]).collect())
+    assert [(v, n) for _, v, n in got] == want
+    assert [r for r, _, _ in got] == list(range(1, len(want) + 1))
+    top = pr.histogram(c, ["c_nationkey"], max_bins=3).collect()
+    assert sorted(r["rank"] for r in top) == [1, 2, 3]

@@ -8,7 +8,7 @@ third of all rows collapses to one row per map task before the shuffle.
 
 * :func:`profile_counts`       A5  num_records, num_null, num_unique
 * :func:`categorical_profile`  A6  most / least common value (count desc, value asc)
-* :func:`histogram`            A6/O1 top ``max_bins`` values per column, ranked
+* :func:`histogram`            A6/O1 all values per column, ranked (opt-in top-k)
 * :func:`numerical_profile`    A7  min, max, mean, stddev (sample), median
 * :func:`column_types`         A8  engine type, simple type, column / sampler kind
 * :func:`token_stats`          A9  mean / median / stddev of token counts
@@ -71,15 +71,21 @@ def categorical_profile(df: DataFrame, cols: list[str]) -> DataFrame:
         F.count(F.lit(1)).cast("bigint").alias("num_categories"))
 
 
-def histogram(df: DataFrame, cols: list[str], max_bins: int = 50) -> DataFrame:
-    """``(column_name, value, n, rank)`` for the ``max_bins`` most common
-    values per column (count desc, value asc).  ``rank <= max_bins`` is planned
-    as a partial group limit, so no column's values gather in one task."""
+def histogram(df: DataFrame, cols: list[str], max_bins: int | None = None) -> DataFrame:
+    """``(column_name, value, n, rank)`` for every value of each column
+    (count desc, value asc), as in the published profiles.
+
+    For categorical columns: the ranking window holds one row per distinct
+    value of a column.  ``max_bins`` (opt-in top-k) is planned as a partial
+    group limit, so then no more than ``max_bins`` values per column and map
+    task reach the shuffle."""
     vc = value_counts(df, cols, digest=False).filter(F.col("v").isNotNull())
     w = Window.partitionBy("column_name").orderBy(F.col("n").desc(), F.col("v").asc())
-    return (vc.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_bins)
-            .select("column_name", F.col("v").alias("value"), F.col("n").cast("bigint").alias("n"),
-                    F.col("rank").cast("int").alias("rank")))
+    ranked = vc.withColumn("rank", F.row_number().over(w))
+    if max_bins is not None:
+        ranked = ranked.filter(F.col("rank") <= max_bins)
+    return ranked.select("column_name", F.col("v").alias("value"), F.col("n").cast("bigint").alias("n"),
+                         F.col("rank").cast("int").alias("rank"))
 
 
 def exact_median(lng: DataFrame, accuracy: int = 100_000) -> DataFrame:

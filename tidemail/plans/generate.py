@@ -65,6 +65,13 @@ class Category:
         for alt in self.when.values():
             alt.validate(name)
 
+    def cardinality(self) -> int:
+        """Number of distinct values the column can take (its histogram size)."""
+        vals = set(map(str, self.values))
+        for alt in self.when.values():
+            vals |= set(map(str, alt.values))
+        return len(vals)
+
     def thresholds(self) -> list[float]:
         w = self.weights or [1.0] * len(self.values)
         tot, acc, out = float(sum(w)), 0.0, []
@@ -99,6 +106,9 @@ class Subcategory:
     def refs(self):
         return {self.parent}
 
+    def cardinality(self) -> int:
+        return len({str(x) for v in self.values.values() for x in v})
+
     def validate(self, name: str):
         if not self.values or any(not v for v in self.values.values()):
             raise PlanError(f"{name}: every parent value needs a non-empty list")

@@ -2,12 +2,12 @@
 
 One row: ``num_records``, ``target_num_records``, ``column_statistics``
 (one struct per kept column: counts, types, declared kinds, and — by kind —
-a categorical distribution with a capped histogram, a numerical
+a categorical distribution with its whole histogram, a numerical
 distribution, or prompt/completion token statistics),
 ``side_effect_column_names`` and ``column_profiles`` (always null).
 
 Every part is computed by the distributed operators of ``operators/profile``;
-only per-column summaries (bounded by the number of columns × ``max_bins``)
+only per-column summaries (bounded by the number of columns × declared values)
 are brought together into the final row.
 """
 
@@ -39,8 +39,7 @@ def _tok_stats(df: DataFrame, cols: dict[str, tuple[Column, Column]]) -> DataFra
     return lng.groupBy("column_name").agg(*st("completion"), *st("prompt"))
 
 
-def profile_document(plan: Plan, built: DataFrame, target, max_bins: int = 50,
-                     materialize: bool = True) -> DataFrame:
+def profile_document(plan: Plan, built: DataFrame, target, materialize: bool = True) -> DataFrame:
     """``built``: the generated rows that were kept, with helper columns still
     present (``Plan.build`` filtered by the caller, or ``create_from`` output
     when no prompt statistics are needed).
@@ -67,7 +66,10 @@ def profile_document(plan: Plan, built: DataFrame, target, max_bins: int = 50,
 
     cats = [c for c in kept if kinds[c] in CATEGORICAL]
     if cats:
-        hist = pr.histogram(built, cats, max_bins).groupBy("column_name").agg(
+        # whole histograms: a categorical column has at most the plan's declared
+        # values, so each per-column list below is bounded by the plan
+        bins = max(s.sampler.cardinality() for s in plan.specs if s.name in cats)
+        hist = pr.histogram(built, cats, bins).groupBy("column_name").agg(
             F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("h"))
         cp = pr.categorical_profile(built, cats).join(hist, "column_name").select(
             "column_name", F.to_json(F.struct(

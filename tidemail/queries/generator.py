@@ -182,4 +182,4 @@ def gen_profile(spark, sf_dir):
     plan = offer_mail_plan(TEST_DOMAIN)
     full = plan.build(base, KEY, 42)
     built = g.keep_rows(full, F.col("body").isNotNull(), full.columns)
-    return profile_document(plan, built, base.select(F.count(F.lit(1))).scalar(), max_bins=50)
+    return profile_document(plan, built, base.select(F.count(F.lit(1))).scalar())

@@ -59,8 +59,8 @@ register("profile_histogram", f"""
 WITH vc AS ({_vc_sql('customer', CAT_CUST)})
 SELECT column_name, v AS value, n,
        CAST(row_number() OVER (PARTITION BY column_name ORDER BY n DESC, v ASC) AS INTEGER) AS rank
-FROM vc QUALIFY rank <= 10
-""")(lambda spark, sf_dir: pr.histogram(table(spark, sf_dir, "customer"), CAT_CUST, max_bins=10))
+FROM vc
+""")(lambda spark, sf_dir: pr.histogram(table(spark, sf_dir, "customer"), CAT_CUST))
 
 NUM_CUST = ["c_acctbal", "c_nationkey"]
 register("profile_numerical", _numerical_sql("customer", NUM_CUST))(
