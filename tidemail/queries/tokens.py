@@ -10,8 +10,10 @@ from tidemail.queries import sqlfrag as s
 from tidemail.registry import register
 from tidemail.sources.tables import table
 
-VOCAB = 500
-MAX_LEN = 16
+# The reference's vocabulary size (uncased word pieces) and its
+# training sequence length.
+VOCAB = 30522
+MAX_LEN = 256
 
 _VOCAB_SQL = f"""
 tok AS (SELECT unnest({s.tokens('text')}) AS token FROM documents),
@@ -28,7 +30,7 @@ UNION ALL SELECT '[UNK]', 1, NULL
 UNION ALL SELECT token, token_id, n FROM w
 """)
 def vocab_top(spark, sf_dir):
-    """K1: corpus vocabulary, top 500 tokens by count desc, token asc."""
+    """K1: corpus vocabulary, top ``VOCAB`` tokens by count desc, token asc."""
     return tk.build_vocab(table(spark, sf_dir, "documents"), "text", VOCAB)
 
 
@@ -46,7 +48,7 @@ SELECT d.doc_id,
 FROM d LEFT JOIN enc ON enc.doc_id = d.doc_id
 """)
 def token_encode(spark, sf_dir):
-    """K2 + K3 (+P11 columns): ids of the first 16 tokens, padded, with mask."""
+    """K2 + K3 (+P11 columns): ids of the first ``MAX_LEN`` tokens, padded, with mask."""
     docs = table(spark, sf_dir, "documents", parallel=True)
     vocab = tk.build_vocab(docs, "text", VOCAB)
     enc = tk.pad(tk.encode(docs, vocab, "doc_id", "text", MAX_LEN, vocab_size=VOCAB), "ids", MAX_LEN)
