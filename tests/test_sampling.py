@@ -45,6 +45,18 @@ def test_shuffle_is_permutation(spark):
     again = {r[0]: r[1] for r in sampling.shuffle(d.repartition(4), "doc_id", 7).collect()}
     assert {r[0]: r[1] for r in s.collect()} == again
     assert s.agg(F.corr("doc_id", "shuffle_pos")).first()[0] < 0.5
+    import hashlib
+    ids = [r[0] for r in d.collect()]
+    brute = sorted(ids, key=lambda i: (hashlib.md5(f"7:shuffle:{i}".encode()).hexdigest(), i))
+    assert [doc for doc, _ in sorted(again.items(), key=lambda kv: kv[1])] == brute
+
+
+def test_shuffle_repeated_keys(spark):
+    d = (table(spark, SF001, "documents").select("doc_id")
+         .withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))))
+    s = sampling.shuffle(d, "doc_id", 3)
+    pos = sorted(r[0] for r in s.select("shuffle_pos").collect())
+    assert pos == list(range(d.count()))
 
 
 def _brute_test_ids(rows, k):

@@ -5,7 +5,8 @@
   re-derived from a fresh load on any partitioning.
 * :func:`split_exact` (M2) exactly ``ceil(fraction * n)`` test rows: the rows
   with the smallest draws, found by counting passes over the draw's bits.
-* :func:`shuffle`     (M4) seeded permutation position.
+* :func:`shuffle`     (M4) seeded permutation position: hash buckets as a
+  deterministic range partition, one plan.
 * :func:`with_row_index` (O4) range-partitioned sort + per-partition offsets.
   No unpartitioned window; only one count per partition reaches the driver.
 """
@@ -67,10 +68,38 @@ def with_row_index(df: DataFrame, order: list, name: str = "index",
     return out
 
 
+# Leading hex digits of the shuffle hash that pick a row's bucket: 5 digits,
+# at most 2**20 buckets, so the offset table is a proven-small broadcast
+# (2**20 rows of two longs, 16 MiB).
+_SHUFFLE_BUCKET_HEX = 5
+
+
 def shuffle(df: DataFrame, key: str, seed: int = 42, name: str = "shuffle_pos") -> DataFrame:
-    """M4: seeded permutation; ``shuffle_pos`` is the row's place in it."""
+    """M4: seeded permutation; ``shuffle_pos`` is the row's place in the order
+    (md5(seed:shuffle:key), key); rows equal in both are ordered by a hash of
+    the whole row, so only fully identical rows are interchangeable.
+
+    One plan, no sampling and no checkpoint: the hash's leading digits are a
+    range partition of the order that is a pure function of the row, so every
+    recomputation (a retried task, a lost executor) sees the same buckets.
+    Exact counts per bucket (map-side partials over the key column) give each
+    bucket's offset by a running sum over at most 2**20 rows; rows are then
+    numbered inside their bucket.
+    """
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("shuffle"), F.col(key).cast("string")))
-    return with_row_index(df.withColumn("__h", h), ["__h", key], name).drop("__h")
+    d = df.withColumn("__h", h).withColumn(
+        "__b", F.conv(F.substring("__h", 1, _SHUFFLE_BUCKET_HEX), 16, 10).cast("bigint"))
+    counts = d.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__b", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    w = Window.partitionBy("__b").orderBy("__h", key, "__rh")
+    numbered = d.withColumn("__rh", row_hash).withColumn("__rn", F.row_number().over(w))
+    # every bucket has an offset; "left" keeps the optimizer from adding a
+    # not-null filter that would hash every row a second time at the scan
+    return (numbered.join(F.broadcast(offsets), "__b", "left")
+            .withColumn(name, F.col("__off") + F.col("__rn") - 1)
+            .drop("__h", "__b", "__rh", "__rn", "__off"))
 
 
 # Bits of the 52-bit split draw resolved by each counting pass of
