@@ -70,3 +70,16 @@ def test_histogram_is_whole_and_ranked(spark):
     assert [r for r, _, _ in got] == list(range(1, len(want) + 1))
     top = pr.histogram(c, ["c_nationkey"], max_bins=3).collect()
     assert sorted(r["rank"] for r in top) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("n,acc", [(60001, 300), (60000, 1000)])
+def test_exact_median_grid_pass(spark, n, acc):
+    # many distinct values: the first bracket holds ~8n/acc rows, which the
+    # grid pass narrows before the final ranking
+    import random
+    rnd = random.Random(acc)
+    vals = [rnd.gauss(0.0, 1.0) if i % 5 else 0.25 for i in range(n)]
+    df = spark.createDataFrame([(v,) for v in vals], "a double").repartition(7)
+    lng = pr._long(df, ["a"], lambda c: df[c]).filter("v is not null")
+    got = pr.exact_median(lng, accuracy=acc).first()["median"]
+    assert got == pytest.approx(statistics.median(vals), abs=1e-12)
