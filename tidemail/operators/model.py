@@ -15,7 +15,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -52,7 +53,16 @@ def train(df: DataFrame, params: TrainParams | None = None) -> PipelineModel:
     else:
         clf = LogisticRegression(featuresCol="features", labelCol="__label", regParam=p.reg_param,
                                  elasticNetParam=p.elastic_net, maxIter=p.max_iter)
-    return Pipeline(stages=[tok, tf, idf, clf]).fit(data)
+    # The IDF fit and the classifier each read the training set: tokenise and
+    # hash it once and keep the sparse term counts (far smaller than the text).
+    # A lost cached block is recomputed from its lineage.
+    counts = tf.transform(tok.transform(data)).select("__tf", "__label").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        idf_model = idf.fit(counts)
+        clf_model = clf.fit(idf_model.transform(counts))
+    finally:
+        counts.unpersist()
+    return PipelineModel(stages=[tok, tf, idf_model, clf_model])
 
 
 def score(model: PipelineModel, df: DataFrame, text_col: str = "text") -> DataFrame:
