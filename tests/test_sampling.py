@@ -95,3 +95,29 @@ def test_split_exact_repeated_keys_and_edges(spark):
     assert none.filter("split = 'test'").count() == 0 and none.count() == base.count()
     every = sampling.split_exact(base, "doc_id", 1.0, 42)
     assert every.filter("split = 'train'").count() == 0
+
+
+def test_shuffle_splits_a_hot_key(spark):
+    # a third of the rows share one key (and a few null keys): with a small
+    # heavy-bucket threshold those rows are numbered in row-hash sub-ranges
+    import hashlib
+    base = table(spark, SF001, "documents").select("doc_id", "source")
+    n = base.count()
+    hot = base.select(F.lit(7).cast("long").alias("doc_id"), "source",
+                      F.explode(F.array(F.lit(0), F.lit(1))).alias("copy")).limit(n // 2)
+    nulls = base.limit(5).select(F.lit(None).cast("long").alias("doc_id"), "source",
+                                 F.lit(9).alias("copy"))
+    d = base.withColumn("copy", F.lit(-1)).unionByName(hot).unionByName(nulls)
+    total = d.count()
+    for threshold in (sampling.HEAVY_BUCKET, 20):
+        s = sampling.shuffle(d, "doc_id", 5, heavy_bucket=threshold)
+        rows = s.collect()
+        assert sorted(r["shuffle_pos"] for r in rows) == list(range(total))
+        # order: hash of the key, then the key; copies of a key are contiguous
+        def hkey(r):
+            k = "" if r["doc_id"] is None else str(r["doc_id"])
+            prefix = "5:shuffle" + (":" + k if k else "")
+            return (hashlib.md5(prefix.encode()).hexdigest(), r["doc_id"] is not None, r["doc_id"] or 0)
+        by_pos = sorted(rows, key=lambda r: r["shuffle_pos"])
+        keys = [hkey(r) for r in by_pos]
+        assert keys == sorted(keys)

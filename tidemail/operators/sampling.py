@@ -72,19 +72,28 @@ def with_row_index(df: DataFrame, order: list, name: str = "index",
 # at most 2**20 buckets, so the offset table is a proven-small broadcast
 # (2**20 rows of two longs, 16 MiB).
 _SHUFFLE_BUCKET_HEX = 5
+# The buckets split distinct keys evenly, so a bucket above this many rows
+# holds many copies of one key (or null keys).  Its rows are numbered in
+# sub-ranges of (hash, key, row hash >> 48): up to 2**16 per hot key.
+HEAVY_BUCKET = 1 << 24
+_ROW_HASH_SHIFT = 48
 
 
-def shuffle(df: DataFrame, key: str, seed: int = 42, name: str = "shuffle_pos") -> DataFrame:
+def shuffle(df: DataFrame, key: str, seed: int = 42, name: str = "shuffle_pos",
+            heavy_bucket: int = HEAVY_BUCKET) -> DataFrame:
     """M4: seeded permutation; ``shuffle_pos`` is the row's place in the order
     (md5(seed:shuffle:key), key); rows equal in both are ordered by a hash of
     the whole row, so only fully identical rows are interchangeable.
 
-    One plan, no sampling and no checkpoint: the hash's leading digits are a
-    range partition of the order that is a pure function of the row, so every
+    No sampling and no checkpoint: the hash's leading digits are a range
+    partition of the order that is a pure function of the row, so every
     recomputation (a retried task, a lost executor) sees the same buckets.
     Exact counts per bucket (map-side partials over the key column) give each
     bucket's offset by a running sum over at most 2**20 rows; rows are then
-    numbered inside their bucket.
+    numbered inside their bucket.  One narrow pass first checks for buckets
+    above ``heavy_bucket`` rows (copies of one key); only then are those
+    buckets numbered in row-hash sub-ranges, so a key holding a third of all
+    rows is spread over many tasks.
     """
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("shuffle"), F.col(key).cast("string")))
     d = df.withColumn("__h", h).withColumn(
@@ -92,14 +101,39 @@ def shuffle(df: DataFrame, key: str, seed: int = 42, name: str = "shuffle_pos")
     counts = d.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__b", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    w = Window.partitionBy("__b").orderBy("__h", key, "__rh")
-    numbered = d.withColumn("__rh", row_hash).withColumn("__rn", F.row_number().over(w))
-    # every bucket has an offset; "left" keeps the optimizer from adding a
-    # not-null filter that would hash every row a second time at the scan
-    return (numbered.join(F.broadcast(offsets), "__b", "left")
-            .withColumn(name, F.col("__off") + F.col("__rn") - 1)
-            .drop("__h", "__b", "__rh", "__rn", "__off"))
+    d = d.withColumn("__rh", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    drop = ["__h", "__b", "__rh", "__rn", "__off", "__hv", "__sub", "__soff"]
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy("__b").orderBy("__h", key, "__rh")
+        # every bucket has an offset; "left" keeps the optimizer from adding a
+        # not-null filter that would hash every row a second time at the scan
+        return (rows.withColumn("__rn", F.row_number().over(w))
+                .join(F.broadcast(offsets), "__b", "left")
+                .withColumn(name, F.col("__off") + F.col("__rn") - 1))
+
+    heavy = counts.filter(F.col("__c") > F.lit(heavy_bucket)).select("__b", F.lit(True).alias("__hv"))
+    if heavy.limit(1).count() == 0:
+        return numbered(d).drop(*drop)
+    # at most 2**20 bucket ids: a proven bound for the broadcast
+    flagged = d.join(F.broadcast(heavy), "__b", "left")
+    normal = numbered(flagged.filter(F.col("__hv").isNull()))
+    hot = (flagged.filter(F.col("__hv").isNotNull())
+           .withColumn("__sub", F.shiftright("__rh", _ROW_HASH_SHIFT)))
+    group = ["__b", "__h", key, "__sub"]
+    # sub-range offsets inside each heavy bucket: the running count over its
+    # sub-ranges (at most heavy-bucket-size + 2**16 rows per bucket)
+    sub_counts = hot.groupBy(*group).agg(F.count(F.lit(1)).alias("__c"))
+    ws = Window.partitionBy("__b").orderBy("__h", key, "__sub").rowsBetween(Window.unboundedPreceding, -1)
+    sub_off = sub_counts.select(*group, F.coalesce(F.sum("__c").over(ws), F.lit(0)).alias("__soff"))
+    wr = Window.partitionBy(*group).orderBy("__rh")
+    r = hot.withColumn("__rn", F.row_number().over(wr)).alias("r")
+    so = sub_off.alias("so")
+    cond = [F.col(f"r.{c}").eqNullSafe(F.col(f"so.{c}")) for c in group]
+    hot_n = (r.join(so, cond, "left").select("r.*", "so.__soff")
+             .join(F.broadcast(offsets), "__b", "left")
+             .withColumn(name, F.col("__off") + F.col("__soff") + F.col("__rn") - 1))
+    return normal.drop(*drop).unionByName(hot_n.drop(*drop))
 
 
 # Bits of the 52-bit split draw resolved by each counting pass of
