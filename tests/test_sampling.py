@@ -1,3 +1,4 @@
+import pytest
 import math
 
 from pyspark.sql import functions as F
@@ -121,3 +122,28 @@ def test_shuffle_splits_a_hot_key(spark):
         by_pos = sorted(rows, key=lambda r: r["shuffle_pos"])
         keys = [hkey(r) for r in by_pos]
         assert keys == sorted(keys)
+
+
+@pytest.mark.parametrize("payload", [False, True])
+def test_split_exact_hot_key_on_the_boundary(spark, payload):
+    # one key holds a third of the rows and the k-th row falls inside it;
+    # without a payload its copies are identical in every column
+    base = table(spark, SF001, "documents").select("doc_id")
+    n0 = base.count()
+    hot = base.select(F.lit(123456).cast("long").alias("doc_id"),
+                      (F.col("doc_id") if payload else F.lit(0).cast("long")).alias("p"))
+    d = base.withColumn("p", F.lit(-1).cast("long")).unionByName(hot).repartition(4)
+    n = n0 * 2
+    u = sampling.split_draw(F.col("doc_id"), 42)
+    u_hot = d.filter("doc_id = 123456").select(u).first()[0]
+    below = d.filter(u < u_hot).count()
+    k = below + n0 // 2
+    frac = (k - 0.5) / n
+    for direct in (sampling.RANK_DIRECT, 3):
+        s = sampling.split_exact(d, "doc_id", frac, 42, rank_direct=direct)
+        rows = s.withColumn("u", u).collect()
+        assert len(rows) == n
+        assert sum(r["split"] == "test" for r in rows) == k
+        assert all(r["split"] == "test" for r in rows if r["u"] < u_hot)
+        assert all(r["split"] == "train" for r in rows if r["u"] > u_hot)
+        assert sum(r["split"] == "test" for r in rows if r["u"] == u_hot) == n0 // 2

@@ -146,6 +146,10 @@ _PREFIX_SHIFTS = (36, 20, 0)
 RANK_DIRECT = 100_000
 
 
+# Row-hash bits resolved per counting pass inside a hot boundary group.
+_ROW_HASH_SHIFTS = (48, 32, 16, 0)
+
+
 def _boundary(counts: DataFrame, k: Column) -> DataFrame:
     """Rows of ``counts(__b, __c)`` whose running count crosses ``k``."""
     w = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
@@ -153,6 +157,71 @@ def _boundary(counts: DataFrame, k: Column) -> DataFrame:
     return c.filter((F.col("__upto") - F.col("__c") < k) & (k <= F.col("__upto")))
 
 
+def _narrow(src: DataFrame, value: str, shifts, k: int, rank_direct: int,
+            prefix: int | None = None, prev: int | None = None):
+    """Counting passes over the bits of the long column ``value``: the group
+    ``value >> shift == prefix`` that holds the ``k``-th row (1-based) of
+    ``src``.  Returns (rows before the group, prefix, shift, group size); stops
+    early once the group has at most ``rank_direct`` rows."""
+    before, c = 0, None
+    for shift in shifts:
+        inside = src if prefix is None else src.filter(F.shiftright(value, prev) == F.lit(prefix))
+        cnt = inside.groupBy(F.shiftright(value, shift).alias("__b")).agg(F.count(F.lit(1)).alias("__c"))
+        row = _boundary(cnt, F.lit(k - before)).select(
+            "__b", "__c", (F.col("__upto") - F.col("__c")).alias("__before")).first()
+        before, prefix, prev, c = before + int(row["__before"]), int(row["__b"]), shift, int(row["__c"])
+        if c <= rank_direct:
+            break
+    return before, prefix, prev, c
+
+
+def _label(test: Column, col: str):
+    return {col: F.when(test, F.lit("test")).otherwise(F.lit("train"))}
+
+
+def _split_hot(g: DataFrame, key: str, r: int, col: str, rank_direct: int) -> DataFrame:
+    """The first ``r`` rows, in (key, row hash) order, of a boundary group whose
+    rows all share one draw value (copies of a key).  No step ranks more than
+    ``rank_direct`` rows or one input split in one task."""
+    kc = g.groupBy(F.col(key).alias("__b")).agg(F.count(F.lit(1)).alias("__c"))
+    krow = _boundary(kc, F.lit(r)).select("__b", "__c", (F.col("__upto") - F.col("__c")).alias("__before")).first()
+    kstar, r = krow["__b"], r - int(krow["__before"])
+    kcol = F.col(key)
+    same = kcol.eqNullSafe(F.lit(kstar))
+    key_before = F.lit(False) if kstar is None else (kcol.isNull() | (kcol < F.lit(kstar)))
+    parts = [g.filter(~same).withColumns(_label(key_before, col))]
+    sub = g.filter(same)
+    if int(krow["__c"]) <= rank_direct:
+        w = Window.partitionBy(kcol).orderBy("__rh")
+        parts.append(sub.withColumns(_label(F.row_number().over(w) <= F.lit(r), col)))
+    else:
+        before, pre, shift, c = _narrow(sub, "__rh", _ROW_HASH_SHIFTS, r, rank_direct)
+        r -= before
+        rb = F.shiftright("__rh", shift)
+        parts.append(sub.filter(rb != F.lit(pre)).withColumns(_label(rb < F.lit(pre), col)))
+        grp = sub.filter(rb == F.lit(pre))
+        if c <= rank_direct:
+            w = Window.partitionBy(rb).orderBy("__rh")
+            parts.append(grp.withColumns(_label(F.row_number().over(w) <= F.lit(r), col)))
+        else:
+            # fully identical rows are interchangeable: take r of them, each input
+            # partition giving its share in partition order (one small row per
+            # partition; each window holds one input split at most)
+            gp = grp.withColumn("__pid", F.spark_partition_id())
+            pc = gp.groupBy("__pid").agg(F.count(F.lit(1)).alias("__c"))
+            wp = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+            quota = pc.select("__pid", F.least(F.greatest(F.lit(r) - F.coalesce(F.sum("__c").over(wp), F.lit(0)),
+                                                          F.lit(0)), F.col("__c")).alias("__q"))
+            w = Window.partitionBy("__pid").orderBy("__rh")
+            parts.append(gp.join(F.broadcast(quota), "__pid")
+                         .withColumns(_label(F.row_number().over(w) <= F.col("__q"), col))
+                         .drop("__pid", "__q"))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.drop("__rh")
+
+
 def split_exact(df: DataFrame, key: str, test_fraction: float = 0.2, seed: int = 42,
                 col: str = "split", rank_direct: int = RANK_DIRECT) -> DataFrame:
     """M2: exactly ``k = ceil(test_fraction * n)`` rows are ``test`` — those with
@@ -164,38 +233,38 @@ def split_exact(df: DataFrame, key: str, test_fraction: float = 0.2, seed: int =
     inside the previous pass's group by the next bits of the draw (map-side
     partial counts; at most 2**16 groups, so the running count over them is a
     bounded one-partition window) and keeps the group where the running count
-    reaches k.  Refining stops once that group has at most ``RANK_DIRECT``
-    rows (one pass at small scale, two at 10**12 rows; ``rank_direct``).  Then every row below
+    reaches k.  Refining stops once that group has at most ``rank_direct``
+    rows (one pass at small scale, two at 10**12 rows).  Then every row below
     the group is test and every row above it is train, map-only; only the rows
     of the group are ranked.  One row per pass reaches the driver.
+
+    A key holding a third of all rows has one draw value; when it sits on the
+    boundary the group is refined further by key and row-hash bits, and copies
+    that are identical in every column are shared out by input partition.
     """
     d = df.withColumn("__h", draw_bits(seed, "split", F.col(key)))
     draws = d.select("__h")
-    k = before = None
-    prefix, prev = None, None
-    for shift in _PREFIX_SHIFTS:
-        inside = draws if prefix is None else draws.filter(F.shiftright("__h", prev) == F.lit(prefix))
-        cnt = inside.groupBy(F.shiftright("__h", shift).alias("__b")).agg(F.count(F.lit(1)).alias("__c"))
-        if k is None:
-            # the first pass also gives n, hence k
-            cnt = cnt.withColumn("__k", F.ceil(F.lit(float(test_fraction)) * F.sum("__c").over(Window.partitionBy())))
-            row = _boundary(cnt, F.col("__k")).select(
-                "__b", "__c", (F.col("__upto") - F.col("__c")).alias("__before"), "__k").first()
-            if row is None:                 # k = 0 (or no rows): everything is train
-                return d.withColumn(col, F.lit("train")).drop("__h")
-            k, before = int(row["__k"]), 0
-        else:
-            row = _boundary(cnt, F.lit(k - before)).select(
-                "__b", "__c", (F.col("__upto") - F.col("__c")).alias("__before")).first()
-        before, prefix, prev = before + int(row["__before"]), int(row["__b"]), shift
-        if int(row["__c"]) <= rank_direct:
-            break
+    top = _PREFIX_SHIFTS[0]
+    cnt = draws.groupBy(F.shiftright("__h", top).alias("__b")).agg(F.count(F.lit(1)).alias("__c"))
+    # the first pass also gives n, hence k
+    cnt = cnt.withColumn("__k", F.ceil(F.lit(float(test_fraction)) * F.sum("__c").over(Window.partitionBy())))
+    row = _boundary(cnt, F.col("__k")).select(
+        "__b", "__c", (F.col("__upto") - F.col("__c")).alias("__before"), "__k").first()
+    if row is None:                          # k = 0 (or no rows): everything is train
+        return d.withColumns(_label(F.lit(False), col)).drop("__h")
+    k, before, prefix, prev, c = (int(row["__k"]), int(row["__before"]), int(row["__b"]), top,
+                                  int(row["__c"]))
+    if c > rank_direct:
+        more, prefix, prev, c = _narrow(draws, "__h", _PREFIX_SHIFTS[1:], k - before, rank_direct,
+                                        prefix, prev)
+        before += more
     r = k - before                           # rows of the boundary group that are test
     b = F.shiftright("__h", prev)
-    rest = (d.filter(b != F.lit(prefix))
-            .withColumn(col, F.when(b < F.lit(prefix), F.lit("test")).otherwise(F.lit("train"))))
+    rest = d.filter(b != F.lit(prefix)).withColumns(_label(b < F.lit(prefix), col))
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    w = Window.partitionBy(b).orderBy(F.col("__h"), F.col(key), row_hash)
-    group = (d.filter(b == F.lit(prefix))
-             .withColumn(col, F.when(F.row_number().over(w) <= F.lit(r), F.lit("test")).otherwise(F.lit("train"))))
+    if c <= rank_direct:
+        w = Window.partitionBy(b).orderBy(F.col("__h"), F.col(key), row_hash)
+        group = d.filter(b == F.lit(prefix)).withColumns(_label(F.row_number().over(w) <= F.lit(r), col))
+    else:                                    # prev == 0: one draw value, copies of a key
+        group = _split_hot(d.filter(b == F.lit(prefix)).withColumn("__rh", row_hash), key, r, col, rank_direct)
     return rest.unionByName(group).drop("__h")
