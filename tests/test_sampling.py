@@ -1,6 +1,6 @@
-import pytest
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemail.operators import sampling
@@ -147,3 +147,15 @@ def test_split_exact_hot_key_on_the_boundary(spark, payload):
         assert all(r["split"] == "test" for r in rows if r["u"] < u_hot)
         assert all(r["split"] == "train" for r in rows if r["u"] > u_hot)
         assert sum(r["split"] == "test" for r in rows if r["u"] == u_hot) == n0 // 2
+
+
+def test_row_index_spreads_a_repeated_order_key(spark):
+    # ordering by `source` alone: every source value repeats many times
+    d = table(spark, SF001, "documents").select("doc_id", "source")
+    out = sampling.with_row_index(d, ["source"], "index", num_partitions=6)
+    rows = out.collect()
+    assert sorted(r["index"] for r in rows) == list(range(len(rows)))
+    by_index = [r["source"] for r in sorted(rows, key=lambda r: r["index"])]
+    assert by_index == sorted(by_index)
+    per_part = out.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r[1] for r in per_part) < len(rows)
