@@ -45,7 +45,11 @@ def build_vocab(df: DataFrame, text_col: str, size: int) -> DataFrame:
 def encode(df: DataFrame, vocab: DataFrame, key: str, text_col: str, max_len: int,
            vocab_size: int | None = None, out: str = "ids") -> DataFrame:
     """K2: ids of the first ``max_len`` tokens of each text; unknown → ``[UNK]``.
-    Texts without tokens get an empty array."""
+    Texts without tokens get an empty array.
+
+    ``key`` must identify the row (as ``doc_id`` does): the ids are regrouped
+    by it, and every map task already emits one partial list per key, so the
+    shuffle carries at most ``max_len`` ids per row."""
     toks = df.select(key, F.slice(tokens(text_col), 1, max_len).alias("__toks"))
     ex = toks.select(key, F.posexplode_outer("__toks").alias("pos", "token"))
     v = vocab.filter(F.col("token_id") > UNK).select("token", "token_id")
