@@ -183,3 +183,67 @@ def gen_profile(spark, sf_dir):
     full = plan.build(base, KEY, 42)
     built = g.keep_rows(full, F.col("body").isNotNull(), full.columns)
     return profile_document(plan, built, base.select(F.count(F.lit(1))).scalar())
+
+
+_GP_CATS = ["department", "staff", "offer", "weekly_pay", "style"]
+_GP_TEXTS = ["email_subject", "body"]
+_GP_COLS = ["department", "staff", "offer", "weekly_pay", "student_name", "student_age", "style",
+            "email_subject", "body", "label"]
+
+
+def _gp_sql() -> str:
+    t = "(SELECT * FROM r WHERE body IS NOT NULL)"
+    counts = "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS column_name, count(*) AS num_records, count(*) - count({c}) AS num_null, "
+        f"count(DISTINCT {c}) AS num_unique FROM {t} x" for c in _GP_COLS)
+    vc = "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS v, count(*) AS n FROM {t} x "
+        f"WHERE {c} IS NOT NULL GROUP BY ALL" for c in _GP_CATS)
+    toks = "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS column_name, round(avg(len({s.tokens(c)}))::DOUBLE, 2) AS completion_tokens_mean, "
+        f"round(median(len({s.tokens(c)}))::DOUBLE, 2) AS completion_tokens_median, "
+        f"round(stddev_samp(len({s.tokens(c)}))::DOUBLE, 2) AS completion_tokens_stddev FROM {t} x"
+        for c in _GP_TEXTS)
+    return BASE_SQL + f""",
+cnt AS ({counts}),
+vc AS ({vc}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, v ASC) AS r1,
+                     row_number() OVER (PARTITION BY column_name ORDER BY n ASC, v DESC) AS r2 FROM vc),
+cat AS (SELECT column_name, max(CASE WHEN r1 = 1 THEN v END) AS most_common_value,
+               max(CASE WHEN r2 = 1 THEN v END) AS least_common_value,
+               string_agg(v || '=' || CAST(n AS VARCHAR), '|' ORDER BY r1) AS histogram
+        FROM ranked GROUP BY column_name),
+num AS (SELECT 'label' AS column_name, round(min(label)::DOUBLE, 2) AS num_min, round(max(label)::DOUBLE, 2) AS num_max,
+               round(avg(label)::DOUBLE, 2) AS num_mean, round(stddev_samp(label)::DOUBLE, 2) AS num_stddev,
+               round(median(label)::DOUBLE, 2) AS num_median FROM {t} x),
+tok AS ({toks})
+SELECT cnt.column_name, cnt.num_records, cnt.num_null, cnt.num_unique,
+       CASE WHEN cat.column_name IS NOT NULL THEN 'categorical'
+            WHEN num.column_name IS NOT NULL THEN 'numerical' END AS distribution_type,
+       cat.most_common_value, cat.least_common_value, cat.histogram,
+       num.num_min, num.num_max, num.num_mean, num.num_stddev, num.num_median,
+       tok.completion_tokens_mean, tok.completion_tokens_median, tok.completion_tokens_stddev
+FROM cnt LEFT JOIN cat USING (column_name) LEFT JOIN num USING (column_name) LEFT JOIN tok USING (column_name)
+"""
+
+
+@register("gen_profile_columns", _gp_sql())
+def gen_profile_columns(spark, sf_dir):
+    """The profile document of the generated table, one row per
+    column (counts, distribution kind, most / least common value, the whole
+    histogram in rank order, numerical summary, completion-token statistics)."""
+    doc = gen_profile(spark, sf_dir)
+    c = doc.select(F.explode("column_statistics").alias("c")).select("c.*")
+    cat = F.from_json("distribution", "most_common_value string, least_common_value string, "
+                                      "histogram struct<categories: array<string>, counts: array<bigint>>")
+    num = F.from_json("distribution", "min double, max double, mean double, stddev double, median double")
+    c = c.withColumns({"__cat": F.when(F.col("distribution_type") == "categorical", cat),
+                       "__num": F.when(F.col("distribution_type") == "numerical", num)})
+    hist = F.array_join(F.zip_with("__cat.histogram.categories", "__cat.histogram.counts",
+                                   lambda v, n: F.concat(v, F.lit("="), n.cast("string"))), "|")
+    return c.select("column_name", "num_records", "num_null", "num_unique", "distribution_type",
+                    F.col("__cat.most_common_value").alias("most_common_value"),
+                    F.col("__cat.least_common_value").alias("least_common_value"),
+                    hist.alias("histogram"),
+                    *[F.col(f"__num.{m}").alias(f"num_{m}") for m in ("min", "max", "mean", "stddev", "median")],
+                    "completion_tokens_mean", "completion_tokens_median", "completion_tokens_stddev")
