@@ -52,7 +52,7 @@ def test_exact_median_bracket_with_skew(spark, n):
     vals = [7.0 if i % 3 == 0 else float(rnd.randint(0, 5000)) / 4 for i in range(n)]
     df = spark.createDataFrame([(v, float(i)) for i, v in enumerate(vals)], "a double, b double").repartition(5)
     got = {r["column_name"]: r["median"] for r in pr.exact_median(
-        pr._long(df, ["a", "b"], lambda c: df[c]).filter("v is not null"), accuracy=50).collect()}
+        pr._long(df, ["a", "b"], lambda c: df[c]).filter("v is not null"), accuracy=50, direct=0).collect()}
     assert got["a"] == pytest.approx(statistics.median(vals), abs=1e-9)
     assert got["b"] == pytest.approx(statistics.median(range(n)), abs=1e-9)
 
@@ -81,5 +81,6 @@ def test_exact_median_grid_pass(spark, n, acc):
     vals = [rnd.gauss(0.0, 1.0) if i % 5 else 0.25 for i in range(n)]
     df = spark.createDataFrame([(v,) for v in vals], "a double").repartition(7)
     lng = pr._long(df, ["a"], lambda c: df[c]).filter("v is not null")
-    got = pr.exact_median(lng, accuracy=acc).first()["median"]
-    assert got == pytest.approx(statistics.median(vals), abs=1e-12)
+    for direct in (pr.MEDIAN_DIRECT, 0):          # 0: always run the grid pass
+        got = pr.exact_median(lng, accuracy=acc, direct=direct).first()["median"]
+        assert got == pytest.approx(statistics.median(vals), abs=1e-12)

@@ -88,61 +88,67 @@ def histogram(df: DataFrame, cols: list[str], max_bins: int | None = None) -> Da
                          F.col("rank").cast("int").alias("rank"))
 
 
-# Quantile grid of the second sketch pass of :func:`exact_median`.
+# Quantile grid of the optional second sketch pass of :func:`exact_median`,
+# and the bracket size above which that pass runs.
 MEDIAN_GRID = 1000
+MEDIAN_DIRECT = 1_000_000
 
 
-def exact_median(lng: DataFrame, accuracy: int = 100_000) -> DataFrame:
+def exact_median(lng: DataFrame, accuracy: int = 100_000, direct: int = MEDIAN_DIRECT) -> DataFrame:
     """Exact median per ``column_name`` of long-form ``(column_name, v)`` rows,
     without gathering a column's values in one task.
 
     1. A ``percentile_approx`` sketch (bounded size) brackets the two middle
        ranks: its rank error is at most n/accuracy, the bracket is widened to
-       4n/accuracy on each side, so it holds m ≈ 8n/accuracy rows.
-    2. A second sketch over the rows inside that bracket, at a fixed grid of
-       ``MEDIAN_GRID - 1`` quantiles, narrows it to a few grid steps around the
-       middle ranks (again widened by four times the sketch error).  Constant
-       quantiles: no driver round trip.
-    3. Rows below the narrow bracket are only counted; rows inside it are
-       reduced to (value, count) pairs — about 8m/MEDIAN_GRID at most (~6·10**5
-       at 10**12 rows) and ties (even a value holding a third of all rows)
-       collapse to one pair.
+       4n/accuracy on each side, so it holds m ≈ 8n/accuracy rows.  Its result
+       — one row per column — is the only thing that reaches the driver.
+    2. Only when some bracket may exceed ``direct`` rows (n above ~10**11 at
+       the default accuracy): a second sketch over the rows inside the bracket,
+       at a fixed grid of ``MEDIAN_GRID - 1`` quantiles, narrows it to a few
+       grid steps around the middle ranks (again widened by four times the
+       sketch error).
+    3. Rows below the final bracket are only counted; rows inside it are
+       reduced to (value, count) pairs, so ties (even a value holding a third
+       of all rows) collapse to one pair.
     4. A running count over the bracket finds ranks floor((n-1)/2) and
        floor(n/2); the median is their mean, as in ``percentile(v, 0.5)``.
     """
+    spark = lng.sparkSession
     eps = 4.0 / accuracy
     lo_q, hi_q = max(0.0, 0.5 - eps), min(1.0, 0.5 + eps)
-    br = lng.groupBy("column_name").agg(
+    sk = lng.groupBy("column_name").agg(
         F.count(F.lit(1)).alias("n"),
         F.percentile_approx("v", [lo_q, hi_q], accuracy).alias("b"))
-    br = br.select("column_name", "n", F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi"))
-    # one row per numerical column: a proven bound for the broadcast
-    j = lng.join(F.broadcast(br), "column_name")
-    in1 = (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))
-    grid = [i / MEDIAN_GRID for i in range(1, MEDIAN_GRID)]
-    g = j.groupBy("column_name").agg(
-        F.sum(F.when(F.col("v") < F.col("lo"), 1).otherwise(0)).cast("bigint").alias("below1"),
-        F.sum(F.when(in1, 1).otherwise(0)).cast("bigint").alias("m"),
-        F.percentile_approx(F.when(in1, F.col("v")), grid, accuracy).alias("g"))
+    rows = [(r[0], int(r[1]), float(r[2][0]), float(r[2][1])) for r in sk.collect()]
+    br = spark.createDataFrame(rows, "column_name string, n long, lo double, hi double")
     k1 = F.floor((F.col("n") - 1) / 2)
     k2 = F.floor(F.col("n") / 2)
-    # grid index i holds the value near rank i*m/GRID of the bracket (1-based array)
-    steps = F.col("m") / F.lit(float(MEDIAN_GRID))
-    err = F.lit(4.0 / accuracy) * F.col("m")
-    i_lo = F.floor((k1 - F.col("below1") - err) / steps) - 1
-    i_hi = F.ceil((k2 - F.col("below1") + err) / steps) + 1
-    br2 = g.join(br, "column_name").select(
-        "column_name", "n",
-        F.when(i_lo >= 1, F.element_at("g", i_lo.cast("int"))).otherwise(F.col("lo")).alias("lo2"),
-        F.when(i_hi <= MEDIAN_GRID - 1, F.element_at("g", i_hi.cast("int"))).otherwise(F.col("hi")).alias("hi2"))
-    j2 = lng.join(F.broadcast(br2), "column_name")
+    if any(8 * n / accuracy > direct for _, n, _, _ in rows):
+        # one row per numerical column: a proven bound for the broadcast
+        j = lng.join(F.broadcast(br), "column_name")
+        in1 = (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))
+        grid = [i / MEDIAN_GRID for i in range(1, MEDIAN_GRID)]
+        g = j.groupBy("column_name").agg(
+            F.sum(F.when(F.col("v") < F.col("lo"), 1).otherwise(0)).cast("bigint").alias("below1"),
+            F.sum(F.when(in1, 1).otherwise(0)).cast("bigint").alias("m"),
+            F.percentile_approx(F.when(in1, F.col("v")), grid, accuracy).alias("g"))
+        # grid index i holds the value near rank i*m/GRID of the bracket (1-based array)
+        steps = F.col("m") / F.lit(float(MEDIAN_GRID))
+        err = F.lit(4.0 / accuracy) * F.col("m")
+        i_lo = F.floor((k1 - F.col("below1") - err) / steps) - 1
+        i_hi = F.ceil((k2 - F.col("below1") + err) / steps) + 1
+        br = g.join(F.broadcast(br), "column_name").select(
+            "column_name", "n",
+            F.when(i_lo >= 1, F.element_at("g", i_lo.cast("int"))).otherwise(F.col("lo")).alias("lo"),
+            F.when(i_hi <= MEDIAN_GRID - 1, F.element_at("g", i_hi.cast("int"))).otherwise(F.col("hi")).alias("hi"))
+    j2 = lng.join(F.broadcast(br), "column_name")
     below = j2.groupBy("column_name").agg(
-        F.sum(F.when(F.col("v") < F.col("lo2"), 1).otherwise(0)).cast("bigint").alias("below"))
-    inside = (j2.filter((F.col("v") >= F.col("lo2")) & (F.col("v") <= F.col("hi2")))
+        F.sum(F.when(F.col("v") < F.col("lo"), 1).otherwise(0)).cast("bigint").alias("below"))
+    inside = (j2.filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
               .groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("c")))
     w = Window.partitionBy("column_name").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (inside.withColumn("upto", F.sum("c").over(w))
-              .join(below, "column_name").join(F.broadcast(br2.select("column_name", "n")), "column_name")
+              .join(below, "column_name").join(F.broadcast(br.select("column_name", "n")), "column_name")
               .withColumn("first", F.col("below") + F.col("upto") - F.col("c"))
               .withColumn("last", F.col("below") + F.col("upto") - 1))
     hit1 = (F.col("first") <= k1) & (k1 <= F.col("last"))
