@@ -4,16 +4,17 @@
   below the fraction.  A pure function of (seed, key), so the same hold-out is
   re-derived from a fresh load on any partitioning.
 * :func:`split_exact` (M2) exactly ``ceil(fraction * n)`` test rows: the rows
-  with the smallest draws, found by counting passes over the draw's bits.
+  with the smallest draws, found by counting passes over the draw's bits; no
+  sort of the data.
 * :func:`shuffle`     (M4) seeded permutation position: hash buckets as a
-  deterministic range partition, one plan.
+  deterministic range partition, no sampling or checkpoint; hot keys are
+  numbered in row-hash sub-ranges.
 * :func:`with_row_index` (O4) range-partitioned sort + per-partition offsets.
   No unpartitioned window; only one count per partition reaches the driver.
 """
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
