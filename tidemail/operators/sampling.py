@@ -238,9 +238,11 @@ def split_exact(df: DataFrame, key: str, test_fraction: float = 0.2, seed: int =
     partial counts; at most 2**16 groups, so the running count over them is a
     bounded one-partition window) and keeps the group where the running count
     reaches k.  Refining stops once that group has at most ``rank_direct``
-    rows (one pass at small scale, two at 10**12 rows).  Then every row below
-    the group is test and every row above it is train, map-only; only the rows
-    of the group are ranked.  One row per pass reaches the driver.
+    rows (one pass at small scale, two at 10**12 rows).  The group is then
+    labelled per (draw, key) from the key column alone, and a broadcast join of
+    that small table labels every row in one pass over the data: rows below
+    the group are test, rows above it train.  One row per pass reaches the
+    driver.
 
     A key holding a third of all rows has one draw value; when it sits on the
     boundary the group is refined further by key and row-hash bits, and copies
@@ -264,11 +266,28 @@ def split_exact(df: DataFrame, key: str, test_fraction: float = 0.2, seed: int =
         before += more
     r = k - before                           # rows of the boundary group that are test
     b = F.shiftright("__h", prev)
-    rest = d.filter(b != F.lit(prefix)).withColumns(_label(b < F.lit(prefix), col))
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    if c <= rank_direct:
-        w = Window.partitionBy(b).orderBy(F.col("__h"), F.col(key), row_hash)
-        group = d.filter(b == F.lit(prefix)).withColumns(_label(F.row_number().over(w) <= F.lit(r), col))
-    else:                                    # prev == 0: one draw value, copies of a key
+    if c > rank_direct:                      # prev == 0: one draw value, copies of a key
+        rest = d.filter(b != F.lit(prefix)).withColumns(_label(b < F.lit(prefix), col))
         group = _split_hot(d.filter(b == F.lit(prefix)).withColumn("__rh", row_hash), key, r, col, rank_direct)
-    return rest.unionByName(group).drop("__h")
+        return rest.unionByName(group).drop("__h")
+    # The boundary group (at most rank_direct rows) is labelled per (draw, key)
+    # from the key column alone; one broadcast join then labels every row in a
+    # single pass over the data.
+    gc = (d.select("__h", F.col(key).alias("__k")).filter(b == F.lit(prefix))
+          .groupBy("__h", "__k").agg(F.count(F.lit(1)).alias("__c")))
+    wg = Window.orderBy("__h", "__k").rowsBetween(Window.unboundedPreceding, 0)
+    gl = gc.withColumn("__t", F.least(F.greatest(F.lit(r) - (F.sum("__c").over(wg) - F.col("__c")), F.lit(0)),
+                                      F.col("__c")))
+    # only when keys repeat can one (draw, key) group fall on both sides
+    cut = gl.filter((F.col("__t") > 0) & (F.col("__t") < F.col("__c"))).select("__h", "__k", "__t").first()
+    lab = gl.select(F.col("__h").alias("__lh"), "__k", (F.col("__t") > 0).alias("__test"))
+    j = d.join(F.broadcast(lab), (F.col("__h") == F.col("__lh")) & F.col(key).eqNullSafe(F.col("__k")), "left")
+    out = j.withColumns(_label(F.when(b == F.lit(prefix), F.col("__test")).otherwise(b < F.lit(prefix)), col))
+    out = out.drop("__lh", "__k", "__test")
+    if cut is None:
+        return out.drop("__h")
+    same = (F.col("__h") == F.lit(cut["__h"])) & F.col(key).eqNullSafe(F.lit(cut["__k"]))
+    w = Window.partitionBy("__h").orderBy(row_hash)
+    split_group = d.filter(same).withColumns(_label(F.row_number().over(w) <= F.lit(int(cut["__t"])), col))
+    return out.filter(~same).unionByName(split_group).drop("__h")
