@@ -84,3 +84,14 @@ def test_exact_median_grid_pass(spark, n, acc):
     for direct in (pr.MEDIAN_DIRECT, 0):          # 0: always run the grid pass
         got = pr.exact_median(lng, accuracy=acc, direct=direct).first()["median"]
         assert got == pytest.approx(statistics.median(vals), abs=1e-12)
+
+
+def test_profile_counts_approx_close_to_exact(spark):
+    d = table(spark, SF001, "documents")
+    exact = {r["column_name"]: r for r in pr.profile_counts(d).collect()}
+    approx = {r["column_name"]: r for r in pr.profile_counts(d, approx=True).collect()}
+    assert exact.keys() == approx.keys()
+    for c, e in exact.items():
+        a = approx[c]
+        assert (a["num_records"], a["num_null"]) == (e["num_records"], e["num_null"])
+        assert abs(a["num_unique"] - e["num_unique"]) <= max(2, 0.05 * e["num_unique"])

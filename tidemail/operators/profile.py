@@ -52,8 +52,21 @@ def value_counts(df: DataFrame, cols: list[str] | None = None, digest: bool = Tr
     return _long(df, cols, val).groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
-def profile_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """A5: per column ``num_records``, ``num_null``, ``num_unique`` (nulls not counted)."""
+def profile_counts(df: DataFrame, cols: list[str] | None = None, approx: bool = False,
+                   rsd: float = 0.01) -> DataFrame:
+    """A5: per column ``num_records``, ``num_null``, ``num_unique`` (nulls not counted).
+
+    Exact by default (one shuffle of distinct values per map task).
+    ``approx=True`` counts distinct values with a HyperLogLog sketch of
+    relative error ``rsd`` instead: only fixed-size sketches are shuffled,
+    whatever the number of distinct values."""
+    if approx:
+        cols = cols or df.columns
+        lng = _long(df, cols, lambda c: _as_string(df, c))
+        return lng.groupBy("column_name").agg(
+            F.count(F.lit(1)).cast("bigint").alias("num_records"),
+            (F.count(F.lit(1)) - F.count("v")).cast("bigint").alias("num_null"),
+            F.approx_count_distinct("v", rsd).cast("bigint").alias("num_unique"))
     vc = value_counts(df, cols)
     return vc.groupBy("column_name").agg(
         F.sum("n").cast("bigint").alias("num_records"),
