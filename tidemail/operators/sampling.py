@@ -10,7 +10,7 @@
   deterministic range partition, no sampling or checkpoint; hot keys are
   numbered in row-hash sub-ranges.
 * :func:`with_row_index` (O4) range-partitioned sort + per-partition offsets.
-  No unpartitioned window; only one count per partition reaches the driver.
+  No unpartitioned window over the data; offsets from the partition counts.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def with_row_index(df: DataFrame, order: list, name: str = "index",
     Plan: ``repartitionByRange`` on the order keys → sort inside partitions →
     reliable checkpoint (so every later pass sees the same ranges, also after an
     executor loss) → one count per partition → offsets by a running sum over
-    the (small) partition list → ``offset + position in partition``.
+    those counts (one row per partition) → ``offset + position in partition``.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
@@ -59,13 +59,9 @@ def with_row_index(df: DataFrame, order: list, name: str = "index",
     ranged = ranged.withColumn(mid, F.monotonically_increasing_id()).checkpoint(eager=True)
     pid = F.shiftright(F.col(mid), 33)
     counts = ranged.groupBy(pid.alias("__pid")).agg(F.count(F.lit(1)).alias("__n"))
-    # one row per partition: a bounded list, safe to sum on the driver side plan
-    rows = sorted((r["__pid"], r["__n"]) for r in counts.collect())
-    offsets, acc = [], 0
-    for p, c in rows:
-        offsets.append((int(p), acc))
-        acc += int(c)
-    off_df = spark.createDataFrame(offsets or [(0, 0)], "__pid long, __off long")
+    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    off_df = counts.select("__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    # one row per partition: a proven bound for the broadcast
     out = (ranged.join(F.broadcast(off_df), pid == F.col("__pid"), "inner")
            .withColumn(name, F.col("__off") + (F.col(mid) - F.shiftleft(F.col("__pid"), 33)))
            .drop(mid, "__pid", "__off"))
