@@ -56,8 +56,8 @@ def let(value: Column, body) -> Column:
 
 
 def row_crc_mod(col: str, mod: int) -> Column:
-    """crc32 of the column as text, modulo ``mod`` (null: 0)."""
-    return F.coalesce(F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(mod)), F.lit(0))
+    """crc32 of the column as text, modulo ``mod`` (null: -1)."""
+    return F.coalesce(F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(mod)), F.lit(-1))
 
 
 # ---------------------------------------------------------------- Arrow text
