@@ -179,6 +179,8 @@ class Trie:
         """Per word (``n_words`` of them after each context): its log10
         probability or, where the bigram is unseen, the context's backoff
         weight (0 for an unseen context); and which are seen."""
+        if not self.contexts.n:
+            return np.zeros(len(word)), np.zeros(len(word), bool)
         at = self.contexts.find(context)
         known = at >= 0
         safe = np.maximum(at, 0)

@@ -9,9 +9,10 @@ view was trained on, a second fit on that slice weighs the two calibrated views,
 and all documents are scored.
 
 Fitting reads a bounded sample: about ``sample_rows`` documents chosen by a hash
-of doc_id, the labelled ones among them and the rest as the pool.  Scoring reads
-every document.  A hash of doc_id deals the labelled documents to training
-(remainders 3 to 9), calibration (2) and hold-out (0 and 1, never used).
+of doc_id (the labelled ones among them, and the rest as the pool), whose
+hashed features alone reach the driver.  Scoring reads every document, whole,
+in one pass without a shuffle.  A hash of doc_id deals the labelled documents to
+training (remainders 3 to 9), calibration (2) and hold-out (0 and 1, never used).
 
 Defined results: null text has no words, null metadata is a value of its own;
 null labels count as unlabelled, several labels of a document as their highest;
@@ -22,15 +23,21 @@ table gives no rows; extra columns never enter.
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemail.llm.common import let, row_crc_mod, written
+from tidemail.llm.common import blocks, coded, row_crc_mod, split_words, text_of, written
 
 VIEWS = ("text", "meta")
+BITS = {"text": 16, "meta": 12}
+_SHAPE = 3                                   # dense features after the hashed words
 
 
 def fold() -> Column:
@@ -41,111 +48,200 @@ def held_out() -> Column:
     return fold().isin(0, 1)
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id and the two views' vectors."""
-    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
-    shape = let(words, lambda w: F.struct(
-        w.alias("words"), (F.size(F.array_distinct(w)) / F.greatest(F.size(w), F.lit(1))).alias("distinct"),
-        F.log1p(F.size(w).cast("double")).alias("n")))
-    symbols = (F.size(F.split(text, "[#*$%&|<>]")) - 1) / F.greatest(F.length(text), F.lit(1))
-    bucket = F.floor(F.log2(F.greatest(F.coalesce(F.col("n_chars"), F.lit(0)), F.lit(1)).cast("double")) * 2)
-    lang, source = (F.coalesce(F.col(c), F.lit("\0")) for c in ("lang", "source"))
-    meta = F.array(F.concat(F.lit("l="), lang), F.concat(F.lit("s="), source), F.concat(F.lit("n="), bucket.cast("string")),
-                   F.concat(F.lit("ls="), lang, F.lit("/"), source))
-    rows = docs.select("doc_id", shape.alias("w"), symbols.alias("symbols"), meta.alias("meta_words")) \
-        .select("doc_id", "w.words", "w.distinct", "w.n", "symbols", "meta_words")
-    for stage in (HashingTF(inputCol="words", outputCol="tf", numFeatures=1 << 15), Normalizer(inputCol="tf", outputCol="unit"),
-                  VectorAssembler(inputCols=["unit", "distinct", "n", "symbols"], outputCol="text_features"),
-                  HashingTF(inputCol="meta_words", outputCol="meta_features", numFeatures=1 << 12)):
-        rows = stage.transform(rows)
-    return rows.select("doc_id", "text_features", "meta_features")
+@dataclass
+class Rows:
+    """Sparse rows: each row's features lie between two offsets."""
+    off: np.ndarray
+    at: np.ndarray
+    value: np.ndarray
+
+    def __len__(self):
+        return len(self.off) - 1
+
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.off))
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owner(), weights=self.value * w[self.at], minlength=len(self))
+
+    def pick(self, which: np.ndarray) -> Rows:
+        n = np.diff(self.off)[which]
+        at = np.arange(n.sum()) + np.repeat(self.off[which] - (np.cumsum(n) - n), n)
+        return Rows(np.concatenate([[0], np.cumsum(n)]), self.at[at], self.value[at])
+
+
+def _hashed(values: pa.Array, bits: int) -> np.ndarray:
+    keys = values.cast(pa.binary()).to_numpy(zero_copy_only=False)
+    return (np.fromiter(map(xxhash.xxh64_intdigest, keys), np.uint64, len(keys)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def text_rows(batch: pa.RecordBatch) -> Rows:
+    """Hashed word counts, of length 1 together, and three shares."""
+    text = pc.ascii_lower(text_of(batch))
+    flat, off = split_words(text)
+    index, values = coded(flat)
+    n, dim = batch.num_rows, 1 << BITS["text"]
+    doc = np.repeat(np.arange(n), np.diff(off))
+    code, count = np.unique(doc * dim + _hashed(values, BITS["text"])[index], return_counts=True)
+    owner, at = code // dim, code % dim
+    norm = np.sqrt(np.bincount(owner, weights=count.astype(float) ** 2, minlength=n))
+    words = np.diff(off)
+    per_doc = np.bincount(owner, minlength=n)
+    symbols = pc.count_substring_regex(text, r"[#*$%&|<>]").to_numpy(zero_copy_only=False)
+    shape = np.stack([per_doc / np.maximum(words, 1), np.log1p(words) / 8, np.minimum(1, 10 * symbols / np.maximum(words, 1))], 1)
+    owner = np.concatenate([owner, np.repeat(np.arange(n), _SHAPE)])
+    at = np.concatenate([at, dim + np.tile(np.arange(_SHAPE), n)])
+    value = np.concatenate([count / norm[code // dim], shape.ravel()])
+    order = np.argsort(owner, kind="stable")
+    return Rows(np.concatenate([[0], np.cumsum(per_doc + _SHAPE)]), at[order], value[order])
+
+
+def meta_rows(batch: pa.RecordBatch) -> Rows:
+    """Language, source, length class, and language with source, hashed."""
+    lang, source = (pc.fill_null(batch.column(c).cast(pa.string()), "\0") for c in ("lang", "source"))
+    size = np.maximum(1, pc.fill_null(batch.column("n_chars").cast(pa.int64()), 0).to_numpy(zero_copy_only=False))
+    length = pa.array(np.floor(2 * np.log2(size)).astype(int).astype(str))
+    names = [pc.binary_join_element_wise(*(pa.scalar(x) if isinstance(x, str) else x for x in parts), "")
+             for parts in (("l=", lang), ("s=", source), ("n=", length), ("ls=", lang, "/", source))]
+    at = np.stack([_hashed(x.cast(pa.string()), BITS["meta"]) for x in names], 1)
+    return Rows(np.arange(batch.num_rows + 1) * len(names), at.ravel(), np.full(at.size, 0.5))
+
+
+def _features(batches):
+    for b in blocks(batches):
+        t, m = text_rows(b), meta_rows(b)
+        off = lambda r: pa.array(r.off.astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), pa.ListArray.from_arrays(off(t), pa.array(t.at.astype(np.int32))),
+             pa.ListArray.from_arrays(off(t), pa.array(t.value.astype(np.float32))),
+             pa.ListArray.from_arrays(off(m), pa.array(m.at.astype(np.int32)))], names=["doc_id", "at", "value", "meta"])
+
+
+# -------------------------------------------------------------------- fitting
+
+def logistic(rows: Rows, label: np.ndarray, weight: np.ndarray, dim: int, ridge: float = 1e-4, steps: int = 60) -> np.ndarray:
+    """Weights (the last one the intercept) of a ridge logistic fit, by L-BFGS."""
+    owner, total = rows.owner(), weight.sum()
+    sign = 2 * label - 1
+
+    def loss(w):
+        z = sign * (np.bincount(owner, weights=rows.value * w[rows.at], minlength=len(rows)) + w[-1])
+        r = -sign * weight / (1 + np.exp(np.clip(z, -500, 500))) / total
+        g = np.bincount(rows.at, weights=rows.value * r[owner], minlength=dim + 1) + ridge * w
+        g[-1] = r.sum()
+        return (weight * np.logaddexp(0, -z)).sum() / total + ridge / 2 * (w[:-1] @ w[:-1]), g
+    w = np.zeros(dim + 1)
+    f, g = loss(w)
+    past: list[tuple] = []
+    for _ in range(steps):
+        d, a = -g, []
+        for s, y, rho in reversed(past):
+            a.append(rho * (s @ d))
+            d = d - a[-1] * y
+        if past:
+            d = d * (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1])
+        for (s, y, rho), x in zip(past, reversed(a)):
+            d = d + s * (x - rho * (y @ d))
+        step = 1.0
+        while True:
+            f2, g2 = loss(w + step * d)
+            if f2 <= f + 1e-4 * step * (g @ d) or step < 1e-6:
+                break
+            step /= 2
+        s, y = step * d, g2 - g
+        if s @ y > 1e-12:
+            past = [*past[-7:], (s, y, 1 / (s @ y))]
+        done = abs(f - f2) < 1e-7
+        w, f, g = w + s, f2, g2
+        if done:
+            break
+    return w
 
 
-def _fit(rows: DataFrame, inputs: str, label: str, weight: str | None = None, reg: float = 1e-4, prefix: str = "", max_iter: int = 15):
-    lr = LogisticRegression(featuresCol=inputs, labelCol=label, regParam=reg, maxIter=max_iter, probabilityCol=prefix + "prob",
-                            rawPredictionCol=prefix + "raw", predictionCol=prefix + "pred")
-    return (lr.setWeightCol(weight) if weight else lr).fit(rows)
+def _dense(*columns: np.ndarray) -> Rows:
+    table = np.stack(columns, 1)
+    return Rows(np.arange(len(table) + 1) * table.shape[1], np.tile(np.arange(table.shape[1]), len(table)), table.ravel())
 
 
-def _logit(model, rows: DataFrame, out: str) -> DataFrame:
-    """``rows`` with the model's log odds of quality 1 as a column."""
-    drop = [model.getProbabilityCol(), model.getRawPredictionCol(), model.getPredictionCol()]
-    return model.transform(rows).withColumn(out, vector_to_array(F.col(model.getRawPredictionCol()))[1]).drop(*drop)
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+@dataclass
 class CoTrained:
     """The fitted views, their calibration and their weights."""
+    prior: float
+    weights: dict[str, np.ndarray] = field(default_factory=dict)
+    calibration: dict[str, np.ndarray] = field(default_factory=dict)
+    mix: np.ndarray | None = None
 
-    def __init__(self, models: dict, calibration: dict[str, tuple[float, float]], weights: tuple[float, float, float], prior: float):
-        self.models, self.calibration, self.weights, self.prior = models, calibration, weights, prior
-
-    def score(self, docs: DataFrame) -> DataFrame:
-        """doc_id, text_score, meta_score and score of every row."""
-        if not self.models:
-            constant = F.lit(self.prior)
-            return docs.select("doc_id", constant.alias("text_score"), constant.alias("meta_score"), constant.alias("score"))
-        rows = features(docs)
-        for v in VIEWS:
-            rows = _logit(self.models[v], rows, v + "_raw")
-        z = {v: F.col(v + "_raw") * F.lit(self.calibration[v][0]) + F.lit(self.calibration[v][1]) for v in VIEWS}
-        both = z["text"] * F.lit(self.weights[0]) + z["meta"] * F.lit(self.weights[1]) + F.lit(self.weights[2])
-        return rows.select("doc_id", _sigmoid(z["text"]).alias("text_score"), _sigmoid(z["meta"]).alias("meta_score"), _sigmoid(both).alias("score"))
-
-
-def _sigmoid(z: Column) -> Column:
-    return 1 / (1 + F.exp(-z))
+    def logit(self, view: str, rows: Rows) -> np.ndarray:
+        w, (slope, shift) = self.weights[view], self.calibration[view]
+        return slope * (rows.dot(w[:-1]) + w[-1]) + shift
 
-
-def _calibrate(rows: DataFrame, inputs: list[str]) -> tuple[float, ...]:
-    model = _fit(VectorAssembler(inputCols=inputs, outputCol="z").transform(rows), "z", "label", reg=1e-3, max_iter=10)
-    return (*model.coefficients.toArray().tolist(), float(model.intercept))
+    def scores(self, batch: pa.RecordBatch) -> list[np.ndarray]:
+        if self.mix is None:
+            return [np.full(batch.num_rows, self.prior)] * 3
+        z = [self.logit("text", text_rows(batch)), self.logit("meta", meta_rows(batch))]
+        return [_sigmoid(z[0]), _sigmoid(z[1]), _sigmoid(self.mix[0] * z[0] + self.mix[1] * z[1] + self.mix[2])]
 
 
 def train(docs: DataFrame, labels: DataFrame, rounds: int = 2, confident: float = 0.95, pseudo_weight: float = 0.3,
           sample_rows: int = 10_000) -> CoTrained:
     n = docs.count()
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("label"))
-    sample = docs.where(F.col("doc_id").isNotNull())
+    sample = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", "lang", "source", "n_chars")
     if n > sample_rows:
         sample = sample.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(sample_rows / n * (1 << 30)))
-    # a bounded sample: few partitions, so that the many small fitting jobs stay short
-    rows = written(features(sample).join(known, "doc_id", "left").withColumn("fold", fold()), "co-training").coalesce(2)
-    classes = {(r.part, r.label): r["count"] for r in rows.where("label is not null").groupBy(
-        F.when(F.col("fold") > 2, "train").when(F.col("fold") == 2, "calibrate").otherwise("test").alias("part"), "label").count().collect()}
-    if any((p, c) not in classes for p in ("train", "calibrate") for c in (0.0, 1.0)):
-        total = sum(classes.values())
-        return CoTrained({}, {}, (0.0, 0.0, 0.0), sum(k for (_, c), k in classes.items() if c == 1.0) / total if total else 0.5)
-    labelled = rows.where("label is not null and fold > 2").withColumn("weight", F.lit(1.0))
-    check = rows.where("label is not null and fold = 2")
-    pool = rows.where("label is null")
-    extra: dict[str, DataFrame | None] = dict.fromkeys(VIEWS)
-    models, calibration = {}, {}
+    schema = T.StructType([sample.schema["doc_id"], *T.StructType.fromDDL("at array<int>, value array<float>, meta array<int>").fields])
+    rows = written(sample.mapInArrow(_features, schema).join(known, "doc_id", "left").withColumn("fold", fold()), "co-training")
+    got = rows.orderBy("doc_id").toArrow().combine_chunks()
+    label = pc.fill_null(got.column("label"), -1.0).to_numpy()
+    part = got.column("fold").to_numpy()
+    flat = lambda c: got.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    sizes = lambda c: np.concatenate([[0], np.cumsum(pc.list_value_length(got.column(c)).to_numpy())])
+    if not len(label):
+        return CoTrained(0.5)
+    views = {"text": Rows(sizes("at"), flat("at").astype(np.int64), flat("value").astype(float)),
+             "meta": Rows(sizes("meta"), flat("meta").astype(np.int64), np.full(len(flat("meta")), 0.5))}
+    dims = {"text": (1 << BITS["text"]) + _SHAPE, "meta": 1 << BITS["meta"]}
+    fit, check, pool = (np.flatnonzero(x) for x in ((label >= 0) & (part > 2), (label >= 0) & (part == 2), label < 0))
+    model = CoTrained(float(label[label >= 0].mean()) if (label >= 0).any() else 0.5)
+    if len(set(label[fit])) < 2 or len(set(label[check])) < 2:
+        return model
+    extra = {v: (pool[:0], label[:0]) for v in VIEWS}
+    one = np.ones(len(check))
     for k in range(rounds + 1):
         for v in VIEWS:
-            more = extra[v]
-            data = labelled if more is None else labelled.select("label", "weight", v + "_features").unionByName(more)
-            models[v] = _fit(data, v + "_features", "label", "weight", prefix=v)
-            slope, shift = _calibrate(_logit(models[v], check, "margin"), ["margin"])
-            calibration[v] = (slope, shift)
-        if k == rounds:
-            break
-        for v, other in (VIEWS, VIEWS[::-1]):
-            slope, shift = calibration[v]
-            p = _sigmoid(F.col("margin") * F.lit(slope) + F.lit(shift))
-            sure = _logit(models[v], pool, "margin").withColumn("p", p).where((F.col("p") >= confident) | (F.col("p") <= 1 - confident))
-            extra[other] = sure.select(F.when(F.col("p") >= confident, 1.0).otherwise(0.0).alias("label"),
-                                       F.lit(pseudo_weight).alias("weight"), other + "_features")
-    both = check
-    for v in VIEWS:
-        slope, shift = calibration[v]
-        both = _logit(models[v], both, "margin").withColumn(v + "_z", F.col("margin") * F.lit(slope) + F.lit(shift)).drop("margin")
-    return CoTrained(models, calibration, _calibrate(both, ["text_z", "meta_z"]), 0.5)
+            more, said = extra[v]
+            which = np.concatenate([fit, more])
+            weight = np.concatenate([np.ones(len(fit)), np.full(len(more), pseudo_weight)])
+            model.weights[v] = logistic(views[v].pick(which), np.concatenate([label[fit], said]), weight, dims[v])
+            model.calibration[v] = np.array([1.0, 0.0])
+            model.calibration[v] = logistic(_dense(model.logit(v, views[v].pick(check))), label[check], one, 1, 1e-3)
+        if k < rounds:
+            for v, other in (VIEWS, VIEWS[::-1]):
+                p = _sigmoid(model.logit(v, views[v].pick(pool)))
+                sure = (p >= confident) | (p <= 1 - confident)
+                extra[other] = (pool[sure], (p[sure] >= confident).astype(float))
+    model.mix = logistic(_dense(*(model.logit(v, views[v].pick(check)) for v in VIEWS)), label[check], one, 2, 1e-3)
+    return model
+
+
+def score(docs: DataFrame, model: CoTrained) -> DataFrame:
+    """doc_id, text_score, meta_score and score of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+
+    def run(batches):
+        for b in blocks(batches):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x) for x in shared.value.scores(b))],
+                                             names=["doc_id", "text_score", "meta_score", "score"])
+    names = ("text_score", "meta_score", "score")
+    return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.DoubleType()) for c in names)]))
 
 
 def report(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Per row: doc_id, held_out, the views' scores, score, and good."""
-    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    model = train(docs, labels.select("doc_id", "quality"))
-    return model.score(docs).select("doc_id", held_out().alias("held_out"), "text_score", "meta_score", "score",
-                                    (F.col("score") >= threshold).alias("good"))
+    return score(docs, train(docs, labels)).select("doc_id", held_out().alias("held_out"), "text_score", "meta_score", "score",
+                                                   (F.col("score") >= threshold).alias("good"))
