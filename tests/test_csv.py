@@ -98,3 +98,9 @@ def test_sources_and_model_inputs(spark, tmp_dir):
     m = spark.createDataFrame([([5, 6], 1)], "ids array<int>, label int")
     r = model_inputs(pad(m, "ids", 3)).first()
     assert (r["input_ids"], r["attention_mask"], r["label"]) == ([5, 6, 0], [1, 1, 0], 1)
+
+
+def test_labels_written_as_decimals(spark):
+    from tidemail.sources.csv import training_table
+    df = spark.createDataFrame([("a", "1.0"), ("b", "0"), ("c", None), ("d", "spam")], "body string, label string")
+    assert [r["label"] for r in training_table(df).orderBy("text").collect()] == [1, 0, None, None]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemail.functions.templates import TemplateError, render
 from tidemail.plans import generate as g
-from tidemail.plans.offer_mail import offer_mail_plan
+from tidemail.plans.order_mail import order_mail_plan
 
 
 def test_template_render(spark):
@@ -60,13 +60,13 @@ def test_weighted_shares_within_3_sigma(spark):
 
 
 def test_partition_independent_and_preview(spark):
-    plan = offer_mail_plan("example.edu", segment_col="seg")
-    base = spark.range(200).select(F.col("id").alias("k"), F.lit("BUILDING").alias("seg"))
+    plan = order_mail_plan("example.edu", priority_col="seg")
+    base = spark.range(200).select(F.col("id").alias("k"), F.col("id").alias("o_orderkey"), F.lit("1-URGENT").alias("seg"))
     a = {r["k"]: tuple(r) for r in plan.create_from(base.repartition(1), "k", 9)[0].collect()}
     b = {r["k"]: tuple(r) for r in plan.create_from(base.repartition(7), "k", 9)[0].collect()}
     assert a == b
-    ages = [r["student_age"] for r in plan.create_from(base, "k", 9)[0].collect()]
-    assert set(ages) <= set(range(18, 31))
+    ages = [r["receiver_age"] for r in plan.create_from(base, "k", 9)[0].collect()]
+    assert set(ages) <= set(range(21, 71))
     prev = g.Plan().add("x", g.Uniform(1, 5, "int")).preview(spark, 10)
     assert prev.count() == 10 and set(r["x"] for r in prev.collect()) <= {1, 2, 3, 4, 5}
 
@@ -85,11 +85,11 @@ def test_person_fields(spark):
 
 
 def test_external_generator_failures_rejected(spark):
-    def factory():
-        def fn(prompts, system=None):
-            if "7" in prompts[0]:
+    def factory(how):
+        def fn(prompt):
+            if "7" in prompt:
                 raise RuntimeError("boom")
-            return [p.upper() for p in prompts]
+            return prompt.upper()
         return fn
     plan = g.Plan().add("n", g.Expr("n{{ row_id }}")).add(
         "t", g.Text("say {{ n }}", generator=factory, max_parallel=2, timeout=5))
@@ -102,10 +102,8 @@ def test_external_generator_failures_rejected(spark):
 
 
 def test_structured_column(spark):
-    def factory():
-        def fn(prompts, system=None):
-            return ['{"name": "x", "price": 2.5}' if "1" in p else "not json" for p in prompts]
-        return fn
+    def factory(how):
+        return lambda p: '{"name": "x", "price": 2.5}' if "1" in p else "not json"
     plan = g.Plan().add("s", g.Structured("p{{ row_id }}", generator=factory,
                                           schema="name string, price double"))
     t, rej = plan.create(spark, 3, seed=1)
@@ -120,18 +118,70 @@ def test_profile_document_and_artifacts(spark, tmp_dir):
 
     from tidemail.plans.report import profile_document
     from tidemail.sources.sinks import write_artifacts
-    plan = offer_mail_plan("example.edu", segment_col="seg")
-    base = spark.range(300).select(F.col("id").alias("k"), F.lit("X").alias("seg"))
-    built = plan.build(base, "k", 5).filter(F.col("body").isNotNull())
+    plan = order_mail_plan("example.edu", priority_col="seg")
+    base = spark.range(300).select(F.col("id").alias("k"), F.col("id").alias("o_orderkey"), F.lit("X").alias("seg"))
+    built = plan.build(base, "k", 5).filter(F.col("message").isNotNull())
     doc = profile_document(plan, built, 300)
     table, _ = plan.create_from(base, "k", 5)
     write_artifacts(table, doc, os.path.join(tmp_dir, "art"))
     back = spark.read.json(os.path.join(tmp_dir, "art", "analysis")).first().asDict(recursive=True)
     assert back["target_num_records"] == 300
     assert back["num_records"] == table.count() == spark.read.parquet(os.path.join(tmp_dir, "art", "dataset")).count()
-    assert back["side_effect_column_names"] == ["victim", "domain"]
+    assert back["side_effect_column_names"] == ["contact", "host"]
     stats = {c["column_name"]: c for c in back["column_statistics"]}
-    dist = json.loads(stats["offer"]["distribution"])
+    dist = json.loads(stats["carrier"]["distribution"])
     assert sum(dist["histogram"]["counts"]) == back["num_records"]
     assert dist["most_common_value"] == dist["histogram"]["categories"][0]
-    assert stats["body"]["completion_tokens_mean"] > 0
+    assert stats["message"]["completion_tokens_mean"] > 0
+
+
+def test_generated_rows_are_built_once(spark):
+    def factory(how):
+        import random
+
+        def fn(prompt):
+            if random.random() < 0.5:
+                raise RuntimeError("by chance")
+            return f"{prompt} {how.temperature} {how.max_tokens}"
+        return fn
+    plan = g.Plan().add("t", g.Text("row {{ row_id }}", generator=factory, temperature=0.2, max_tokens=7))
+    t, rej = plan.create(spark, 200, seed=1)
+    kept, lost = [r["row_id"] for r in t.collect()], [r["row_id"] for r in rej.collect()]
+    assert sorted(kept + lost) == list(range(200))
+    assert t.first()["t"].endswith("0.2 7")
+
+
+def test_generator_mistakes_fail_the_task(spark):
+    plan = g.Plan().add("t", g.Text("x {{ row_id }}", generator=lambda how: lambda a, b: "two arguments"))
+    with pytest.raises(Exception, match="TypeError"):
+        plan.create(spark, 3, seed=1)[0].collect()
+
+
+def test_a_hung_call_only_loses_its_own_row():
+    import time
+
+    def fn(p):
+        if p == "a":
+            time.sleep(30)
+        return p.upper()
+    start = time.monotonic()
+    assert g.call_all(fn, ["a", "b", None, "c"], 1, 0.5) == [None, "B", None, "C"]
+    assert time.monotonic() - start < 5
+
+
+def test_text_needs_a_source_and_conditions_nest(spark):
+    with pytest.raises(g.PlanError, match="response or a generator"):
+        g.Plan().add("t", g.Text("only a prompt")).validate()
+    inner = g.Category(["b"], when={"row_id >= 0": g.Category(["c"])})
+    plan = g.Plan().add("x", g.Category(["a"], when={"row_id >= 0": inner}))
+    assert {r["x"] for r in plan.create(spark, 5)[0].collect()} == {"c"}
+    assert plan.specs[0].sampler.all_values() == {"a", "b", "c"}
+
+
+def test_profile_keeps_undeclared_values(spark):
+    import json
+
+    from tidemail.plans.report import profile_document
+    plan = g.Plan().add("c", g.Category(["a", "b"]))
+    doc = profile_document(plan, spark.createDataFrame([("a",), ("b",), ("z",), ("z",)], "c string"), 4).first()
+    assert json.loads(doc["column_statistics"][0]["distribution"])["histogram"]["categories"] == ["z", "a", "b"]

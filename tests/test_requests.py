@@ -18,3 +18,12 @@ def test_intake_fixtures(spark):
     assert [(r["id"], r["subject"], r["sender"], r["body"], r["url"]) for r in v] == [(1, "s", "x", "y", "u")]
     got = {r["id"]: r["reason"] for r in rej.collect()}
     assert got == {i: reason for i, _, reason in ROWS if reason}
+
+
+def test_host_wildcard_stays_in_the_host(spark):
+    from tidemail.operators.gates import match_patterns
+    urls = {"http://a.example.org/y": True, "http://evil.com/x.example.org/y": False, "http://evil.com?x.example.org/y": False,
+            "http://a.b.example.org/": True, "https://a.example.org/y": False}
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = {r["url"]: r["ok"] for r in df.withColumn("ok", match_patterns("url", ["http://*.example.org/*"])).collect()}
+    assert got == urls

@@ -18,13 +18,21 @@ def gate_by_url(df: DataFrame, url_col: str, needle: str,
     (case-sensitive).  Refused rows carry a fixed ``message``; a null URL is
     refused."""
     hit = F.coalesce(F.col(url_col).contains(needle), F.lit(False))
-    msg = message or f"This extension only works on {needle}."
+    msg = message or f"URL outside {needle}"
     return df.filter(hit), df.filter(~hit).withColumn("message", F.lit(msg))
 
 
 def pattern_regex(pattern: str) -> str:
-    """``scheme://host/path`` wildcard pattern → anchored regex (``*`` = any run)."""
-    return "^" + ".*".join(re.escape(part) for part in pattern.split("*")) + "$"
+    """``scheme://host/path`` wildcard pattern → anchored regex.  ``*`` is any
+    run in the path, and any run without a slash in scheme and host."""
+    scheme, sep, rest = pattern.partition("://")
+    host, slash, path = rest.partition("/") if sep else (scheme, "", "")
+
+    def part(x: str, run: str) -> str:
+        return run.join(re.escape(y) for y in x.split("*"))
+    if not sep:
+        return "^" + part(pattern, ".*") + "$"
+    return "^" + part(scheme, "[^/:]*") + re.escape(sep) + part(host, "[^/?#@]*") + slash + part(path, ".*") + "$"
 
 
 def match_patterns(url, patterns: list[str]) -> Column:

@@ -28,11 +28,11 @@ from tidemail.functions.text import TOKEN_RE
 
 @dataclass
 class TrainParams:
-    num_features: int = 1 << 16
+    num_features: int = 1 << 18
     min_doc_freq: int = 1
     reg_param: float = 0.1       # chosen on a validation slice of the training side
     elastic_net: float = 0.0
-    max_iter: int = 20
+    max_iter: int = 50
     classifier: str = "logistic"     # or "naive_bayes"
     text_col: str = "text"
     label_col: str = "label"

@@ -65,12 +65,9 @@ class Category:
         for alt in self.when.values():
             alt.validate(name)
 
-    def cardinality(self) -> int:
-        """Number of distinct values the column can take (its histogram size)."""
-        vals = set(map(str, self.values))
-        for alt in self.when.values():
-            vals |= set(map(str, alt.values))
-        return len(vals)
+    def all_values(self) -> set[str]:
+        """Every value the column can take, as text."""
+        return set(map(str, self.values)).union(*(alt.all_values() for alt in self.when.values()))
 
     def thresholds(self) -> list[float]:
         w = self.weights or [1.0] * len(self.values)
@@ -92,7 +89,7 @@ class Category:
     def column(self, u: Column, ctx) -> Column:
         out = self._plain(u)
         for cond, alt in reversed(list(self.when.items())):
-            out = F.when(F.expr(cond), alt._plain(u)).otherwise(out)
+            out = F.when(F.expr(cond), alt.column(u, ctx)).otherwise(out)
         return out
 
 
@@ -106,9 +103,6 @@ class Subcategory:
     def refs(self):
         return {self.parent}
 
-    def cardinality(self) -> int:
-        return len({str(x) for v in self.values.values() for x in v})
-
     def validate(self, name: str):
         if not self.values or any(not v for v in self.values.values()):
             raise PlanError(f"{name}: every parent value needs a non-empty list")
@@ -246,7 +240,19 @@ class Expr:
         return c.try_cast(self.dtype) if self.dtype else c
 
 
-Generator = Callable[[], Callable[[list[str]], list[str | None]]]
+@dataclass(frozen=True)
+class Inference:
+    """What a generator is told about how to write a text column."""
+    system_prompt: str | None = None
+    temperature: float = 0.9
+    top_p: float = 1.0
+    max_tokens: int | None = None
+
+
+#: Called once per task with the column's Inference; gives the text of one prompt.
+Generator = Callable[[Inference], Callable[[str], str | None]]
+#: Mistakes in a generator's code: they fail the task and reject no row.
+_BUGS = (TypeError, NameError, AttributeError, ImportError, AssertionError, SyntaxError)
 
 
 @dataclass
@@ -255,10 +261,11 @@ class Text:
 
     * ``response`` (a template) — offline, native: the text is rendered in the
       JVM like an expression column.
-    * ``generator`` — a factory returning ``fn(prompts) -> texts`` (made once
-      per task); called in ``mapInPandas`` batches with up to
-      ``max_parallel`` concurrent calls and ``timeout`` seconds each; a failure
-      gives null.
+    * ``generator`` — a factory called once per task with the column's
+      :class:`Inference`; it returns ``fn(prompt) -> text``.  Up to
+      ``max_parallel`` calls run at once, each for at most ``timeout`` seconds
+      from its own start; a failed or late call gives null (the row is
+      rejected), a mistake in the generator's code fails the task.
     """
     prompt: str
     system_prompt: str | None = None
@@ -266,6 +273,9 @@ class Text:
     generator: Generator | None = None
     max_parallel: int = 4
     timeout: float = 45.0
+    temperature: float = 0.9
+    top_p: float = 1.0
+    max_tokens: int | None = None
     kind: str = "llm-text"
 
     def refs(self):
@@ -276,6 +286,8 @@ class Text:
 
     def validate(self, name: str):
         Template(self.prompt)
+        if self.response is None and self.generator is None:
+            raise PlanError(f"{name}: a text column needs a response or a generator")
         if self.response:
             Template(self.response)
 
@@ -285,9 +297,7 @@ class Text:
     def column(self, u: Column, ctx) -> Column:
         if self.generator is not None:
             return F.lit(None).cast("string")  # filled by the mapInPandas stage
-        if self.response is not None:
-            return Template(self.response).column()
-        return self.prompt_column()
+        return Template(self.response).column()
 
 
 @dataclass
@@ -342,10 +352,7 @@ class Plan:
             if isinstance(s.sampler, Subcategory):
                 parent = by_name.get(s.sampler.parent)
                 if parent is not None and isinstance(parent.sampler, Category):
-                    pv = set(map(str, parent.sampler.values))
-                    for alt in parent.sampler.when.values():
-                        pv |= set(map(str, alt.values))
-                    missing = pv - set(map(str, s.sampler.values))
+                    missing = parent.sampler.all_values() - set(map(str, s.sampler.values))
                     if missing:
                         raise PlanError(f"{s.name}: no values for parent value(s) {sorted(missing)}")
         order, state = [], {}
@@ -426,6 +433,12 @@ class Plan:
         rejected (a failed template or generator call), helper columns dropped.
         """
         full = self.build(base, key, seed)
+        if any(isinstance(s.sampler, Text) and s.sampler.generator is not None for s in self.specs):
+            # calls are costly and need not repeat themselves: both outputs read the rows written once
+            from tidemail.session import scratch_path
+            path = scratch_path(base.sparkSession, "generated") + "/rows"
+            full.write.parquet(path)
+            full = base.sparkSession.read.schema(full.schema).parquet(path)
         gen = [s.name for s in self.specs]
         ok = F.lit(True)
         for c in gen:
@@ -453,27 +466,49 @@ def _generate_text(df: DataFrame, name: str, smp: Text) -> DataFrame:
     """Fill column ``name`` by calling the external generator per batch."""
     schema = T.StructType(df.schema.fields + [T.StructField(name, T.StringType())])
     factory, parallel, timeout = smp.generator, max(1, smp.max_parallel), smp.timeout
-    system = smp.system_prompt
+    how = Inference(smp.system_prompt, smp.temperature, smp.top_p, smp.max_tokens)
     pcol = f"__prompt_{name}"
 
     def run(batches):
-        from concurrent.futures import ThreadPoolExecutor, TimeoutError as FTimeout
-        fn = factory()  # one client per task
-        with ThreadPoolExecutor(parallel) as pool:
-            for pdf in batches:
-                prompts = pdf[pcol].tolist()
-                futs = [pool.submit(fn, [p], system) if p is not None else None for p in prompts]
-                out = []
-                for f in futs:
-                    if f is None:
-                        out.append(None)
-                        continue
-                    try:
-                        r = f.result(timeout=timeout)
-                        out.append(r[0] if r else None)
-                    except (FTimeout, Exception):  # noqa: BLE001 — a failed call rejects the row
-                        out.append(None)
-                pdf[name] = out
-                yield pdf
+        fn = factory(how)  # one client per task
+        for pdf in batches:
+            pdf[name] = call_all(fn, pdf[pcol].tolist(), parallel, timeout)
+            yield pdf
 
     return df.mapInPandas(run, schema).drop(pcol)
+
+
+def call_all(fn, prompts: list[str | None], parallel: int, timeout: float) -> list[str | None]:
+    """``fn`` of every prompt; null where the prompt is null or its call fails
+    or runs longer than ``timeout``.  A call is started only when one of the
+    ``parallel`` places is free, and its clock starts with it; a late call
+    gives up its place and is left behind, so it can hold up nothing."""
+    import queue
+    import threading
+    import time
+    out: list[str | None] = [None] * len(prompts)
+    todo = [i for i, p in enumerate(prompts) if p is not None][::-1]
+    ended: queue.SimpleQueue = queue.SimpleQueue()
+    running: dict[int, float] = {}
+
+    def call(i: int):
+        try:
+            ended.put((i, fn(prompts[i]), None))
+        except BaseException as ex:  # noqa: BLE001 — judged by the caller
+            ended.put((i, None, ex))
+    while todo or running:
+        while todo and len(running) < parallel:
+            i = todo.pop()
+            running[i] = time.monotonic() + timeout
+            threading.Thread(target=call, args=(i,), daemon=True).start()
+        try:
+            i, text, error = ended.get(timeout=max(0.0, min(running.values()) - time.monotonic()))
+        except queue.Empty:
+            now = time.monotonic()
+            running = {i: t for i, t in running.items() if t > now}
+            continue
+        if isinstance(error, _BUGS):
+            raise error
+        if running.pop(i, None) is not None and error is None:
+            out[i] = text
+    return out

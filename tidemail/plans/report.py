@@ -66,10 +66,8 @@ def profile_document(plan: Plan, built: DataFrame, target, materialize: bool = T
 
     cats = [c for c in kept if kinds[c] in CATEGORICAL]
     if cats:
-        # whole histograms: a categorical column has at most the plan's declared
-        # values, so each per-column list below is bounded by the plan
-        bins = max(s.sampler.cardinality() for s in plan.specs if s.name in cats)
-        hist = pr.histogram(built, cats, bins).groupBy("column_name").agg(
+        # whole histograms, also of values that the plan does not declare
+        hist = pr.histogram(built, cats).groupBy("column_name").agg(
             F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("h"))
         cp = pr.categorical_profile(built, cats).join(hist, "column_name").select(
             "column_name", F.to_json(F.struct(

@@ -1,4 +1,4 @@
-"""Generator queries (G1–G11, A10, F14–F17): one synthetic mail per customer.
+"""Generator queries (G1–G11, A10, F14–F17): one synthetic notice per order.
 
 The oracles rebuild every draw in SQL from the same hash formula, so the
 generated table is checked value by value.
@@ -11,14 +11,12 @@ from pyspark.sql import functions as F
 from tidemail.functions import text as tx
 from tidemail.operators.profile import generation_yield
 from tidemail.plans import generate as g
-from tidemail.plans.offer_mail import (BODY_RESPONSE, DEPARTMENTS, OFFER_WEIGHTS, OFFERS,  # noqa: F401
-                                       PAY_WEIGHTS, STAFF, STYLE_WEIGHTS, STYLE_WEIGHTS_BUILDING,
-                                       STYLES, WEEKLY_PAY, offer_mail_plan)
+from tidemail.plans.order_mail import CARRIER_SHARES, CARRIERS, LANGUAGES, NOTICE_SHARES, NOTICE_SHARES_URGENT, NOTICES, order_mail_plan
 from tidemail.queries import sqlfrag as s
 from tidemail.registry import register
 from tidemail.sources.tables import EMAILS_SQL, TEST_DOMAIN, emails, table
 
-KEY = "c_custkey"
+KEY = "o_orderkey"
 
 
 def _u(name):
@@ -43,116 +41,128 @@ def _weighted(values, weights, name):
     return f"CASE {parts} ELSE {_lit(values[-1])} END"
 
 
-def _staff(name="staff"):
+def _depot(name="depot"):
     arms = " ".join(f"WHEN {s.q(k)} THEN {_list(v)}[CAST(floor({_u(name)} * {len(v)}) AS BIGINT) + 1]"
-                    for k, v in STAFF.items())
-    return f"CASE department {arms} END"
+                    for k, v in CARRIERS.items())
+    return f"CASE carrier {arms} END"
 
 
 def _person_sql():
     def digits(f, n):
-        return f"lpad(CAST(CAST(floor({_u('victim.' + f)} * {10 ** n}) AS BIGINT) AS VARCHAR), {n}, '0')"
-    age = f"CAST(18 + floor({_u('victim.age')} * 13) AS BIGINT)"
+        return f"lpad(CAST(CAST(floor({_u('contact.' + f)} * {10 ** n}) AS BIGINT) AS VARCHAR), {n}, '0')"
+    age = f"CAST(21 + floor({_u('contact.age')} * 50) AS BIGINT)"
     return f"""
   {age} AS age,
-  {_pick(g.FIRST_NAMES, 'victim.first_name')} AS first_name,
-  {_pick(g.LAST_NAMES, 'victim.last_name')} AS last_name,
+  {_pick(g.FIRST_NAMES, 'contact.first_name')} AS first_name,
+  {_pick(g.LAST_NAMES, 'contact.last_name')} AS last_name,
   strftime(DATE '2025-01-01' - to_months(CAST(12 * {age} AS INTEGER))
-           - to_days(CAST(floor({_u('victim.birthday')} * 364) + 1 AS INTEGER)), '%Y-%m-%d') AS birth_date,
+           - to_days(CAST(floor({_u('contact.birthday')} * 364) + 1 AS INTEGER)), '%Y-%m-%d') AS birth_date,
   '555-01' || {digits('phone', 2)} AS phone_number,
   '000-' || {digits('ssn_a', 2)} || '-' || {digits('ssn_b', 4)} AS ssn,
   {digits('zipcode', 5)} AS zipcode"""
 
 
 BASE_SQL = f"""
-WITH b AS (SELECT c_custkey, c_mktsegment FROM customer),
-p AS (SELECT c_custkey, c_mktsegment, {_person_sql()},
-        {_pick(DEPARTMENTS, 'department')} AS department,
-        {_weighted(OFFERS, OFFER_WEIGHTS, 'offer')} AS offer,
-        {_weighted(WEEKLY_PAY, PAY_WEIGHTS, 'weekly_pay')} AS weekly_pay,
-        CASE WHEN c_mktsegment = 'BUILDING' THEN {_weighted(STYLES, STYLE_WEIGHTS_BUILDING, 'style')}
-             ELSE {_weighted(STYLES, STYLE_WEIGHTS, 'style')} END AS style,
-        CAST(round(1.0 + {_u('label')} * 0.0) AS BIGINT) AS label
+WITH b AS (SELECT o_orderkey, o_orderpriority FROM orders),
+p AS (SELECT o_orderkey, o_orderpriority, {_person_sql()},
+        {_weighted(list(CARRIERS), CARRIER_SHARES, 'carrier')} AS carrier,
+        CASE WHEN o_orderpriority = '1-URGENT' THEN {_weighted(NOTICES, NOTICE_SHARES_URGENT, 'notice')}
+             ELSE {_weighted(NOTICES, NOTICE_SHARES, 'notice')} END AS notice,
+        {_pick(LANGUAGES, 'language')} AS language,
+        CAST(round(1.0 + {_u('parcels')} * 5.0) AS BIGINT) AS parcels
       FROM b),
-q AS (SELECT *, {_staff()} AS staff,
-        first_name || ' ' || last_name AS student_name,
-        TRY_CAST(CAST(age AS VARCHAR) AS INTEGER) AS student_age FROM p),
+q AS (SELECT *, {_depot()} AS depot,
+        first_name || ' ' || last_name AS receiver,
+        TRY_CAST(CAST(age AS VARCHAR) AS INTEGER) AS receiver_age FROM p),
 r AS (SELECT *,
-        upper(offer) || ' position open in ' || department AS email_subject,
-        'Dear ' || CASE WHEN student_age IS NULL THEN NULL WHEN student_age < 22 THEN student_name
-                        ELSE department || ' students' END
-          || ', a ' || offer || ' paying ' || CAST(weekly_pay AS VARCHAR) || ' per week is open. Reply to '
-          || lower({s.words('staff')}[2]) || '.'
-          || lower(CASE WHEN len({s.words('staff')}) >= 1 THEN {s.words('staff')}[-1] END)
-          || '@{TEST_DOMAIN} — ' || staff AS body
+        'Order ' || CAST(o_orderkey AS VARCHAR) || ': ' || upper(notice) AS title,
+        'Hello ' || receiver || ', ' || CAST(parcels AS VARCHAR) || ' parcel(s) by ' || carrier || ' are ' || notice || '. '
+          || CASE WHEN receiver_age IS NULL THEN NULL WHEN receiver_age < 40 THEN 'Track them in the app'
+                  ELSE 'Call ' || depot END
+          || ' or write to ' || lower({s.words('depot')}[2]) || '.'
+          || lower(CASE WHEN len({s.words('depot')}) >= 1 THEN {s.words('depot')}[-1] END)
+          || '@{TEST_DOMAIN}.' AS message,
+        'Give a short title for a notice that order ' || CAST(o_orderkey AS VARCHAR) || ' is ' || notice || '.' AS title_prompt,
+        'Tell ' || receiver || ', in language ' || language || ', that ' || CAST(parcels AS VARCHAR) || ' parcel(s) of order '
+          || CAST(o_orderkey AS VARCHAR) || ' are ' || notice || ' at ' || depot || '. '
+          || CASE WHEN receiver_age IS NULL THEN NULL WHEN receiver_age < 40 THEN 'Offer the app.' ELSE 'Offer a call.' END AS message_prompt
       FROM q)
 """
 
 
+def _base(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(KEY, "o_orderpriority")
+
+
 def _built(spark, sf_dir):
-    base = table(spark, sf_dir, "customer").select(KEY, "c_mktsegment")
-    return offer_mail_plan(TEST_DOMAIN).build(base, KEY, 42)
+    return order_mail_plan(TEST_DOMAIN).build(_base(spark, sf_dir), KEY, 42)
 
 
 @register("gen_samplers", BASE_SQL + """
-SELECT c_custkey, department, staff, offer, weekly_pay, style, label FROM r
+SELECT o_orderkey, carrier, depot, notice, language, parcels FROM r
 """)
 def gen_samplers(spark, sf_dir):
     """G1 uniform, G2 weighted, G3 sub-category, G4 uniform int, G9 conditional."""
-    return _built(spark, sf_dir).select(KEY, "department", "staff", "offer", "weekly_pay", "style", "label")
+    return _built(spark, sf_dir).select(KEY, "carrier", "depot", "notice", "language", "parcels")
 
 
 @register("gen_person", BASE_SQL + """
-SELECT c_custkey, age, first_name, last_name, birth_date, phone_number, ssn, zipcode FROM r
+SELECT o_orderkey, age, first_name, last_name, birth_date, phone_number, ssn, zipcode FROM r
 """)
 def gen_person(spark, sf_dir):
     """Person struct fields (age range inclusive, birth date consistent)."""
     v = _built(spark, sf_dir)
-    return v.select(KEY, *[F.col(f"victim.{f}").alias(f) for f in
+    return v.select(KEY, *[F.col(f"contact.{f}").alias(f) for f in
                            ("age", "first_name", "last_name", "birth_date", "phone_number", "ssn", "zipcode")])
 
 
 @register("gen_expressions", BASE_SQL + """
-SELECT c_custkey, student_name, student_age, email_subject, body FROM r
+SELECT o_orderkey, receiver, receiver_age, title, message FROM r
 """)
 def gen_expressions(spark, sf_dir):
     """G6/G7 (offline) with F15 interpolation, F16 conditionals, F14/F17 words, P10 cast."""
-    return _built(spark, sf_dir).select(KEY, "student_name", "student_age", "email_subject", "body")
+    return _built(spark, sf_dir).select(KEY, "receiver", "receiver_age", "title", "message")
+
+
+@register("gen_prompts", BASE_SQL + """
+SELECT o_orderkey, title_prompt, message_prompt FROM r
+""")
+def gen_prompts(spark, sf_dir):
+    """The prompt that each text column is generated from."""
+    texts = {x.name: x.sampler for x in order_mail_plan(TEST_DOMAIN).specs if isinstance(x.sampler, g.Text)}
+    return _built(spark, sf_dir).select(KEY, *[t.prompt_column().alias(f"{n}_prompt") for n, t in texts.items()])
 
 
 @register("gen_table", BASE_SQL + """
-SELECT c_custkey, department, staff, offer, weekly_pay, student_name, student_age, style,
-       email_subject, body, label
-FROM r WHERE body IS NOT NULL AND email_subject IS NOT NULL AND student_age IS NOT NULL
+SELECT o_orderkey, receiver, receiver_age, carrier, depot, notice, language, parcels, title, message
+FROM r WHERE message IS NOT NULL AND title IS NOT NULL AND receiver_age IS NOT NULL
 """)
 def gen_table(spark, sf_dir):
     """G11 + P9: kept records, helper columns dropped."""
-    base = table(spark, sf_dir, "customer").select(KEY, "c_mktsegment")
-    t, _ = offer_mail_plan(TEST_DOMAIN).create_from(base, KEY, 42)
+    t, _ = order_mail_plan(TEST_DOMAIN).create_from(_base(spark, sf_dir), KEY, 42)
     return t
 
 
 @register("gen_rejected", BASE_SQL + """
-SELECT c_custkey, 'body' AS failed_columns FROM r
-WHERE body IS NULL OR email_subject IS NULL OR student_age IS NULL
+SELECT o_orderkey, 'message' AS failed_columns FROM r
+WHERE message IS NULL OR title IS NULL OR receiver_age IS NULL
 """)
 def gen_rejected(spark, sf_dir):
     """Records whose generation failed, with the failed columns."""
-    base = table(spark, sf_dir, "customer").select(KEY, "c_mktsegment")
-    _, rej = offer_mail_plan(TEST_DOMAIN).create_from(base, KEY, 42)
+    _, rej = order_mail_plan(TEST_DOMAIN).create_from(_base(spark, sf_dir), KEY, 42)
     return rej.select(KEY, F.array_join("failed_columns", ",").alias("failed_columns"))
 
 
 @register("gen_yield", BASE_SQL + """
-SELECT count(*) FILTER (WHERE body IS NOT NULL) AS num_records,
+SELECT count(*) FILTER (WHERE message IS NOT NULL) AS num_records,
        count(*) AS target_num_records,
-       round(count(*) FILTER (WHERE body IS NOT NULL) / count(*)::DOUBLE, 6) AS yield_ratio
+       round(count(*) FILTER (WHERE message IS NOT NULL) / count(*)::DOUBLE, 6) AS yield_ratio
 FROM r
 """)
 def gen_yield(spark, sf_dir):
-    """A10: generated vs. target records (target = one per customer)."""
-    base = table(spark, sf_dir, "customer").select(KEY, "c_mktsegment")
-    t, _ = offer_mail_plan(TEST_DOMAIN).create_from(base, KEY, 42)
+    """A10: generated vs. target records (target = one per order)."""
+    base = _base(spark, sf_dir)
+    t, _ = order_mail_plan(TEST_DOMAIN).create_from(base, KEY, 42)
     return generation_yield(t, base.select(F.count(F.lit(1))).scalar())
 
 
@@ -178,21 +188,20 @@ def staff_email(spark, sf_dir):
 def gen_profile(spark, sf_dir):
     """A5–A10 as one profile document of the generated table (the S9 artifact)."""
     from tidemail.plans.report import profile_document
-    base = table(spark, sf_dir, "customer").select(KEY, "c_mktsegment")
-    plan = offer_mail_plan(TEST_DOMAIN)
+    base = _base(spark, sf_dir)
+    plan = order_mail_plan(TEST_DOMAIN)
     full = plan.build(base, KEY, 42)
-    built = g.keep_rows(full, F.col("body").isNotNull(), full.columns)
+    built = g.keep_rows(full, F.col("message").isNotNull(), full.columns)
     return profile_document(plan, built, base.select(F.count(F.lit(1))).scalar())
 
 
-_GP_CATS = ["department", "staff", "offer", "weekly_pay", "style"]
-_GP_TEXTS = ["email_subject", "body"]
-_GP_COLS = ["department", "staff", "offer", "weekly_pay", "student_name", "student_age", "style",
-            "email_subject", "body", "label"]
+_GP_CATS = ["carrier", "depot", "notice", "language"]
+_GP_TEXTS = ["title", "message"]
+_GP_COLS = ["receiver", "receiver_age", "carrier", "depot", "notice", "language", "parcels", "title", "message"]
 
 
 def _gp_sql() -> str:
-    t = "(SELECT * FROM r WHERE body IS NOT NULL)"
+    t = "(SELECT * FROM r WHERE message IS NOT NULL)"
     counts = "\nUNION ALL\n".join(
         f"SELECT '{c}' AS column_name, count(*) AS num_records, count(*) - count({c}) AS num_null, "
         f"count(DISTINCT {c}) AS num_unique FROM {t} x" for c in _GP_COLS)
@@ -213,9 +222,9 @@ cat AS (SELECT column_name, max(CASE WHEN r1 = 1 THEN v END) AS most_common_valu
                max(CASE WHEN r2 = 1 THEN v END) AS least_common_value,
                string_agg(v || '=' || CAST(n AS VARCHAR), '|' ORDER BY r1) AS histogram
         FROM ranked GROUP BY column_name),
-num AS (SELECT 'label' AS column_name, round(min(label)::DOUBLE, 2) AS num_min, round(max(label)::DOUBLE, 2) AS num_max,
-               round(avg(label)::DOUBLE, 2) AS num_mean, round(stddev_samp(label)::DOUBLE, 2) AS num_stddev,
-               round(median(label)::DOUBLE, 2) AS num_median FROM {t} x),
+num AS (SELECT 'parcels' AS column_name, round(min(parcels)::DOUBLE, 2) AS num_min, round(max(parcels)::DOUBLE, 2) AS num_max,
+               round(avg(parcels)::DOUBLE, 2) AS num_mean, round(stddev_samp(parcels)::DOUBLE, 2) AS num_stddev,
+               round(median(parcels)::DOUBLE, 2) AS num_median FROM {t} x),
 tok AS ({toks})
 SELECT cnt.column_name, cnt.num_records, cnt.num_null, cnt.num_unique,
        CASE WHEN cat.column_name IS NOT NULL THEN 'categorical'

@@ -79,26 +79,26 @@ def intake_rejected(spark, sf_dir):
 @register("url_gate", """
 SELECT page_id, url, coalesce(contains(url, 'blog'), false) AS kept,
        CASE WHEN coalesce(contains(url, 'blog'), false) THEN NULL
-            ELSE 'This extension only works on blog.' END AS message
+            ELSE 'URL outside blog' END AS message
 FROM pages
 """)
 def url_gate(spark, sf_dir):
     """Keep pages whose URL contains a needle (case-sensitive); the rest get
     a fixed message.  Kept and refused are returned together with a flag."""
     p = table(spark, sf_dir, "pages").select("page_id", "url")
-    kept, refused = gate_by_url(p, "url", "blog", message="This extension only works on blog.")
+    kept, refused = gate_by_url(p, "url", "blog", message="URL outside blog")
     return (kept.select("page_id", "url", F.lit(True).alias("kept"), F.lit(None).cast("string").alias("message"))
             .unionByName(refused.select("page_id", "url", F.lit(False).alias("kept"), "message")))
 
 
-PATTERNS = ["https://blog.*.example.com/*", "https://m.*", "http://*.example.org/*"]
+PATTERNS = ["https://blog.*.example.com/*", "https://m.*/*", "http://*.example.org/*"]
 
 
 @register("url_patterns", """
 SELECT page_id, url,
-       coalesce(regexp_matches(url, '^https://blog\\..*\\.example\\.com/.*$')
-             OR regexp_matches(url, '^https://m\\..*$')
-             OR regexp_matches(url, '^http://.*\\.example\\.org/.*$'), false) AS allowed
+       coalesce(regexp_matches(url, '^https://blog\\.[^/?#@]*\\.example\\.com/.*$')
+             OR regexp_matches(url, '^https://m\\.[^/?#@]*/.*$')
+             OR regexp_matches(url, '^http://[^/?#@]*\\.example\\.org/.*$'), false) AS allowed
 FROM pages
 """)
 def url_patterns(spark, sf_dir):

@@ -82,12 +82,14 @@ def with_text(df: DataFrame) -> DataFrame:
         return df.withColumn("text", training_text("subject", "body"))
     if "body" in df.columns:
         return df.withColumn("text", body_text("body"))
-    raise ValueError("Dataset must contain either 'body' or 'text' column.")
+    raise ValueError(f"no body column to make the text from, only {df.columns}")
 
 
 def training_table(df: DataFrame, label_type: str = "int") -> DataFrame:
-    """Keep ``text, label``; a missing ``label`` raises an AnalysisException."""
-    return with_text(df).select("text", F.col("label").cast(label_type).alias("label"))
+    """Keep ``text, label``; a missing ``label`` raises an AnalysisException.
+    A label such as ``1.0`` is the number it says; one that is no number is null."""
+    label = F.col("label").cast("string").try_cast("double").try_cast(label_type)
+    return with_text(df).select("text", label.alias("label"))
 
 
 def union_sources(dfs: list[DataFrame]) -> DataFrame:
