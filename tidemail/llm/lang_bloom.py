@@ -34,6 +34,8 @@ from pyspark.sql import types as T
 from tidemail.llm.common import blocks, coded, fresh, row_crc_mod, split_words, text_of, translate, written
 
 LENGTHS = (2, 3, 4)
+#: A block's n-grams take some 60 times its bytes in memory.
+_BLOCK = 2 << 20
 UND = "und"
 #: ASCII letters stay, other ASCII becomes a space.
 _LETTERS = np.full(256, 0x20, np.uint8)
@@ -77,7 +79,7 @@ def _words(batch: pa.RecordBatch, column: str):
 
 def _counter(batches):
     """(lang, gram, n) of each block of rows."""
-    for b in blocks(batches):
+    for b in blocks(batches, max_bytes=_BLOCK):
         index, off, values = _words(b, "text")
         lang, langs = coded(b.column("lang"))
         per_word = np.repeat(lang, np.diff(off))
@@ -151,7 +153,7 @@ def _predictor(filters_bc, column: str, pred: str, score: str):
     def run(batches):
         f = filters_bc.value
         n_langs = len(f.langs)
-        for b in blocks(batches, column):
+        for b in blocks(batches, column, _BLOCK):
             index, off, values = _words(b, column)
             letter = pc.match_substring_regex(text_of(b, column), r"\p{L}").to_numpy(zero_copy_only=False)
             if not n_langs:

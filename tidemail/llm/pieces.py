@@ -48,7 +48,7 @@ class IdCache:
     """Ids of pieces, kept by a worker between blocks.  It takes in pieces until
     it holds ``limit``, so its memory is bounded; others are encoded each time."""
 
-    def __init__(self, encode, limit: int = 800_000):
+    def __init__(self, encode, limit: int = 200_000):
         self.encode, self.limit = encode, limit
         self.place: dict = {}
         self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
