@@ -191,7 +191,7 @@ def report(docs: DataFrame) -> DataFrame:
     return predict(docs.select("doc_id", "text"), filters).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.4) -> DataFrame:
+def keep_identified(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
     """Rows whose language is identified with ``min_score`` or more."""
     filters = train(docs.where(~held_out()).select("doc_id", "text", "lang"))
     pred, score = fresh(docs, "pred", "score")
