@@ -61,7 +61,7 @@ def test_simhash_matches_brute_force(spark):
     assert {(r.doc_id, r.fingerprint, r.component_id) for r in got} == {(d, f"{f:016x}", want[d]) for d, f in prints}
 
 
-@pytest.mark.parametrize("distance,bucket", [(4, 8192), (4, 16), (3, 5), (1, 8)])
+@pytest.mark.parametrize("distance,bucket", [(4, 8192), (4, 16), (4, 1), (3, 5), (1, 8), (0, 2)])
 def test_links_equal_all_pairs(spark, distance, bucket):
     r = random.Random(7)
     base = [r.getrandbits(64) for _ in range(40)]
@@ -72,6 +72,8 @@ def test_links_equal_all_pairs(spark, distance, bucket):
             for _ in range(r.randint(1, 6)):
                 x ^= 1 << r.randrange(64)
             prints.add(x)
+    # a crowd with equal first and second segments, which only chunks can cut
+    prints |= {(x << 26) | 5 for x in r.sample(range(1 << 20), 120)} | {(7 << 40) | (1 << b) | 5 for b in range(26, 40)}
     rows = [(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(sorted(prints))]
     df = spark.createDataFrame(rows, "doc_id long, fp long")
     got = {x.fp: x.component_id for x in simhash_pigeon._component_of(df, distance).collect()} if bucket == 8192 else None

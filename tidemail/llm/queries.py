@@ -66,6 +66,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_rules, op2_chat_format, op3_quality_classifier, op4_lm_scoring, op5_token_files, op6_language_id,
     op7_decontamination, op8_line_dedup, op9_bpe, op10_simhash)}
+#: The words of decontamination, as SQL.
+_ITEM_WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+               r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
 SQL: dict[str, str] = {"op1_quality_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
@@ -85,4 +88,34 @@ f AS (SELECT *, CAST(CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 *
         + CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END AS BIGINT) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed,
        fail_bits = 0 AS kept, fail_bits FROM f
+""", "op7_decontamination": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ITEM_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ITEM_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, n, g FROM (
+    SELECT item, least(13, len(w)) AS n, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1),
+           lambda i: array_to_string(w[i:i + 12], ' '))) AS g FROM b WHERE len(w) > 0)),
+grams AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS i, unnest(list_transform(range(1, len(w) - n + 2),
+          lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n),
+hit AS (SELECT r, i, n, item FROM grams JOIN win USING (n, g)),
+covered AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS pos FROM hit) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+          FROM (SELECT DISTINCT r, item FROM hit WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
+""", "op8_line_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+l AS (SELECT r, coalesce(doc_id, 9223372036854775807) AS doc, unnest(string_split(text, chr(10))) AS line,
+             unnest(range(len(string_split(text, chr(10))))) AS pos FROM d),
+t AS (SELECT *, trim(regexp_replace(regexp_replace(line, '[^ \t\r\x0B\f]*[0-9@/][^ \t\r\x0B\f]*', '<*>', 'g'),
+                                    '[ \t\r\x0B\f]+', ' ', 'g'), ' ') AS tpl FROM l),
+f AS (SELECT tpl, min(doc) AS first FROM t WHERE length(tpl) - length(replace(tpl, ' ', '')) >= 2
+      GROUP BY tpl HAVING count(DISTINCT doc) > 1),
+k AS (SELECT r, pos, line, coalesce(doc <> first, false) AS gone FROM t LEFT JOIN f USING (tpl)),
+o AS (SELECT r, count(*) FILTER (WHERE gone) AS n_dropped,
+             coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS rest FROM k GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped, CAST(length(rest) AS BIGINT) AS chars_left,
+       sha256(coalesce(rest, '')) AS text_sha256
+FROM d LEFT JOIN o USING (r)
 """}

@@ -12,9 +12,9 @@ probed by its 14 values in sorted order; longer chains are counted before the
 full Hamming check.
 
 Copies meet as one distinct fingerprint.  A bucket of more than
-``bucket_rows`` fingerprints is cut into chunks, and each pair of chunks goes to a
-task of its own; every task returns a spanning forest of its links, never all
-pairs.  Components come from alternating star contraction.
+``bucket_rows`` fingerprints is cut by its rows' second segments, and what stays
+large after that into chunks, of which each pair goes to a task of its own;
+every task returns a spanning forest of its links, never all pairs.  Components come from alternating star contraction.
 
 Defined results: a text of fewer words than the shingle length is one shingle;
 null or wordless text has fingerprint zero and links like any other; rows with
@@ -125,8 +125,9 @@ def _link_buckets(rows: np.ndarray, fp: np.ndarray, side: np.ndarray, bucket: np
     """Links among the rows of whole buckets as a forest: (fp, smaller fp).
 
     ``ring`` is the number of the chain's first segment; ``side`` is 2 where a
-    bucket is not cut, else 0 or 1, and rows of the same side of a cut bucket
-    are compared in another task."""
+    group is not cut, else 0 or 1, and rows of the same side of a cut group are
+    compared in another task; 3 more marks a guest, and guests are compared
+    where one of the two is at home."""
     segs = _segments(distance)
     m = len(segs)
     u = fp.view(np.uint64)
@@ -140,6 +141,7 @@ def _link_buckets(rows: np.ndarray, fp: np.ndarray, side: np.ndarray, bucket: np
     key = rows * (1 << 33) + second          # rows: dense bucket number
     order = np.argsort(key, kind="stable")
     key, u, side, ring, width, fps = key[order], u[order], side[order], ring[order], width[order], fp[order]
+    guest, side = side >= 3, side % 3
     n = len(key)
     root = np.arange(n)
     masks = np.array([[sum(((1 << segs[(s + j) % m][1]) - 1) << segs[(s + j) % m][0] for j in range(l)) for l in range(2, m)]
@@ -160,7 +162,7 @@ def _link_buckets(rows: np.ndarray, fp: np.ndarray, side: np.ndarray, bucket: np
                 c = np.minimum(hi[i:j] - lo[i:j] - lo_cut, max_pairs) if j == i + 1 else hi[i:j] - lo[i:j]
                 p = np.repeat(a[i:j], c)
                 q = np.repeat(lo[i:j] + lo_cut - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(c.sum())
-                ok = ((side[p] == 2) | (side[p] != side[q])) & (root[p] != root[q])
+                ok = ((side[p] == 2) | (side[p] != side[q])) & ~(guest[p] & guest[q]) & (root[p] != root[q])
                 p, q = p[ok], q[ok]
                 x = u[p] ^ u[q]
                 for l in range(2, m):          # chains of l segments: at most l * distance / m bits
@@ -207,27 +209,48 @@ def _bucket_linker(distance: int, block_rows: int):
 
 def links(prints: DataFrame, distance: int = 4, bucket_rows: int = 8192, block_rows: int = 200_000) -> DataFrame:
     """Links between distinct fingerprints (column fp) as a forest (a, b) with
-    the same components as all pairs within the distance."""
+    the same components as all pairs within the distance.
+
+    A bucket (rows with the same first segment) of more than ``bucket_rows`` is
+    cut into 2^bits groups by the top bits of the second segment, of which a
+    pair differs in one bit at most: a row is at home in its own group and a
+    guest in those one bit away, so it is copied 1 + bits times, however large
+    the bucket.  Guests meet rows at home only."""
     spark = prints.sparkSession
+    if not distance:                    # distinct fingerprints have no links
+        return spark.createDataFrame([], "a long, b long")
     segs = _segments(distance)
-    ring = F.explode(F.array(*(F.struct(F.lit(i).alias("ring"),
-                                        F.shiftright(F.shiftleft("fp", 64 - s - w), 64 - w).alias("value"))
-                               for i, (s, w) in enumerate(segs))))
+    m = len(segs)
+    widest = min(20, *(w for _, w in segs))
+    ring = F.explode(F.array(*(F.struct(
+        F.lit(i).alias("ring"), F.shiftright(F.shiftleft("fp", 64 - s - w), 64 - w).alias("value"),
+        F.shiftleft("fp", 64 - sum(segs[(i + 1) % m])).alias("second")) for i, (s, w) in enumerate(segs))))
     rows = prints.select("fp", ring.alias("r")).select(
-        "fp", F.col("r.ring").alias("ring"),
+        "fp", F.col("r.ring").alias("ring"), F.col("r.second").alias("second"),
         (F.col("r.ring") * (1 << 14) + F.pmod(F.col("r.value"), F.lit(1 << 14))).cast("int").alias("bucket"))
     # at most one row for each of the (distance + 1) * 2^13 buckets
     heavy = (rows.groupBy("bucket").count().where(F.col("count") > bucket_rows)
-             .select(F.col("bucket").alias("b2"), F.ceil(F.col("count") / bucket_rows).cast("int").alias("chunks")))
-    rows = rows.join(F.broadcast(heavy), F.col("bucket") == F.col("b2"), "left").drop("b2")
+             .select("bucket", F.least(F.lit(widest), F.ceil(F.log2(F.col("count") / bucket_rows))).cast("int").alias("bits")))
+    rows = (rows.join(F.broadcast(heavy), "bucket", "left")
+            .withColumn("home", F.expr("CASE WHEN bits IS NULL THEN 0L ELSE shiftrightunsigned(second, 64 - bits) END")))
+    # groups that stay large (near copies of one text) are cut into chunks; written, so that its size decides the join
+    crowded = written(rows.where("bits IS NOT NULL").groupBy("bucket", F.col("home").alias("grp")).count()
+                      .where(F.col("count") > 2 * bucket_rows)
+                      .select("bucket", "grp", F.ceil(F.col("count") / bucket_rows).cast("int").alias("chunks")), "simhash-crowded")
+    places = F.expr("""CASE WHEN bits IS NULL THEN array(named_struct('grp', home, 'guest', 0))
+        ELSE concat(array(named_struct('grp', home, 'guest', 0)),
+                    transform(sequence(0, bits - 1), j -> named_struct('grp', home ^ shiftleft(1L, j), 'guest', 1))) END""")
+    rows = (rows.withColumn("g", F.explode(places)).select("fp", "ring", "bucket", "g.grp", "g.guest")
+            .join(crowded, ["bucket", "grp"], "left"))
     mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     # cut number of chunk pair (i, j), i <= j; a row of chunk c goes to all pairs with c
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(
-        (F.least(mine, o) * F.col("chunks") + F.greatest(mine, o)).cast("int").alias("cut"),
-        F.when(mine == o, 2).when(mine < o, 0).otherwise(1).cast("int").alias("side")))
-    one = F.array(F.struct(F.lit(0).alias("cut"), F.lit(2).alias("side")))
-    rows = rows.withColumn("p", F.explode(F.when(F.col("chunks").isNull(), one).otherwise(pairs))) \
-        .select("bucket", F.col("p.cut").alias("cut"), F.col("ring").cast("int").alias("ring"), F.col("p.side").alias("side"), "fp")
+        (F.least(mine, o).cast("long") * F.col("chunks") + F.greatest(mine, o)).alias("pair"),
+        F.when(mine == o, 2).when(mine < o, 0).otherwise(1).alias("side")))
+    one = F.array(F.struct(F.lit(0).cast("long").alias("pair"), F.lit(2).alias("side")))
+    rows = rows.withColumn("p", F.explode(F.when(F.col("chunks").isNull(), one).otherwise(pairs))).select(
+        "bucket", (F.col("grp") * (1 << 40) + F.col("p.pair")).alias("cut"), F.col("ring").cast("int").alias("ring"),
+        (F.col("p.side") + 3 * F.col("guest")).cast("int").alias("side"), "fp")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (rows.repartition(n, "bucket", "cut").sortWithinPartitions("bucket", "cut")
             .mapInArrow(_bucket_linker(distance, block_rows), "a long, b long"))
