@@ -49,6 +49,22 @@ def test_report_zero_division(spark):
     assert rep["1"]["support"] == 0
 
 
+def test_timing_summary_slow_warmups_and_ties(spark):
+    import statistics
+    values = [1 + i % 7 * 1e-4 for i in range(100)]
+    rows = [("d", i, 1e7) for i in range(10)] + [("d", 10 + i, v) for i, v in enumerate(values)]
+    rows += [("t", 5, 2.0)] * 14 + [("t", 6, 5.0), ("few", 1, 1.0), (None, 1, 3.0)] + [(None, 2, 4.0)] * 11
+    df = spark.createDataFrame(rows, "device string, k int, ms double")
+    got = {r.device: r for r in m.timing_summary(df, "device", "ms", "k", digits=12).collect()}
+    assert got["d"].n_runs == 100 and got["d"].std_ms == pytest.approx(statistics.pstdev(values), abs=1e-10)
+    tied = [2.0] * 4 + [5.0]
+    assert got["t"].n_runs == 5 and got["t"].mean_ms == pytest.approx(2.6)
+    assert got["t"].std_ms == pytest.approx(statistics.pstdev(tied))
+    assert "few" not in got and got[None].n_runs == 2 and got[None].mean_ms == pytest.approx(4.0)
+    none = {r.device: r for r in m.timing_summary(df, "device", "ms", "k", warmups=0).collect()}
+    assert none["few"].n_runs == 1 and none["d"].n_runs == 110
+
+
 def test_timing_summary_brute_force(spark):
     import statistics
     ev = table(spark, SF01, "events")

@@ -105,46 +105,42 @@ def classification_report(df: DataFrame, y: str = "label", p: str = "prediction"
                       F.col("support").cast("bigint").alias("support"))
 
 
-def _moments(df: DataFrame, device: str, value: str, p: str) -> DataFrame:
-    """``(device, n, mean, m2)`` with m2 = sum of squared deviations."""
-    return df.groupBy(device).agg(F.count(value).alias(f"{p}n"), F.avg(value).alias(f"{p}mean"),
-                                  (F.var_pop(value) * F.count(value)).alias(f"{p}m2"))
-
-
 def timing_summary(runs: DataFrame, device: str, value_ms: str, order: str,
                    warmups: int = 10, baseline: str | None = None, digits: int = 6) -> DataFrame:
-    """Per device, drop the first ``warmups`` runs (by ``order``), then the
-    mean, population stddev, throughput (1000 / mean) and the speed-up
-    ``mean(baseline) / mean``.
-
-    The runs are never joined.  One aggregation over all rows gives each
-    device's count, mean and sum of squared deviations (map-side partial
-    aggregates, so a device holding a third of all rows costs nothing extra).
-    The warm-up rows come from ``row_number() <= warmups``, which Spark plans
-    as a partial WindowGroupLimit before the shuffle (``warmups`` rows per
-    device and map task); their moments are taken out again with the inverse
-    of the pairwise merge of Chan et al.:
-
-        n_k = n - n_w,   mean_k = (n mean - n_w mean_w) / n_k,
-        m2_k = m2 - m2_w - (mean_w - mean_k)^2 n_k n_w / n
-
-    Only the two per-device summaries are joined.
+    """Per device, drop the first ``warmups`` runs (by ``order``, then by
+    value), then the mean, population stddev, throughput (1000 / mean) and the
+    speed-up ``mean(baseline) / mean``.
+
+    The last warm-up of each device comes from ``row_number() <= warmups``,
+    which Spark plans as a partial WindowGroupLimit before the shuffle
+    (``warmups`` rows per device and map task).  The runs after it are
+    aggregated once, with map-side partials, so slow warm-ups never enter a sum.
+    Runs equal to the last warm-up in order and value are added as copies of it:
+
+        n = n_after + e,   mean = (n_after mean_after + e v) / n,
+        m2 = m2_after + (v - mean_after)^2 n_after e / n
+
+    Only the table of last warm-ups (one row per device) is joined.
     """
     from pyspark.sql import Window
-    w = Window.partitionBy(device).orderBy(order)
-    first = (runs.select(device, order, value_ms).withColumn("__rn", F.row_number().over(w))
-             .filter(F.col("__rn") <= warmups).drop("__rn"))
-    a = _moments(runs, device, value_ms, "__a_")
-    b = _moments(first, device, value_ms, "__w_")
-    j = a.join(b, device, "left")
-    n, mean, m2 = F.col("__a_n"), F.col("__a_mean"), F.col("__a_m2")
-    nw, meanw, m2w = (F.coalesce(F.col(c), F.lit(0)) for c in ("__w_n", "__w_mean", "__w_m2"))
-    nk = n - nw
-    meank = (n * mean - nw * meanw) / nk
-    m2k = m2 - m2w - (meanw - meank) * (meanw - meank) * nk * nw / n
-    s = (j.filter(nk > 0)
-         .select(device, nk.alias("n_runs"), meank.alias("mean_ms"),
-                 F.sqrt(F.greatest(m2k, F.lit(0.0)) / nk).alias("std_ms")))
+    at = F.struct(F.col(order).alias("o"), F.col(value_ms).alias("v"))
+    runs = runs.select(device, at.alias("__at"))
+    w = Window.partitionBy(device).orderBy("__at")
+    first = runs.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= warmups)
+    last = first.groupBy(F.col(device).alias("__device")).agg(F.collect_list("__at").alias("__first"))
+    last = last.select("__device", F.array_max("__first").alias("__last"),
+                       F.size(F.filter("__first", lambda x: x == F.array_max("__first"))).alias("__used"))
+    j = runs.join(last, F.col(device).eqNullSafe(F.col("__device")), "left")
+    after = F.when(F.col("__last").isNull() | (F.col("__at") > F.col("__last")), F.col("__at.v"))
+    equal = F.when(F.col("__at") == F.col("__last"), F.col("__at.v"))
+    a = j.groupBy(device).agg(F.count(after).alias("__n"), F.avg(after).alias("__mean"), F.var_pop(after).alias("__var"),
+                              F.count(equal).alias("__eq"), F.max("__used").alias("__used"), F.max(equal).alias("__v"))
+    e = F.when(F.col("__eq") > F.col("__used"), F.col("__eq") - F.col("__used")).otherwise(F.lit(0))
+    n, mean, var, v = F.col("__n"), F.coalesce("__mean", F.lit(0.0)), F.coalesce("__var", F.lit(0.0)), F.coalesce("__v", F.lit(0.0))
+    every = n + e
+    s = a.filter(every > 0).select(
+        device, every.alias("n_runs"), ((n * mean + e * v) / every).alias("mean_ms"),
+        F.sqrt((var * n + (v - mean) * (v - mean) * n * e / every) / every).alias("std_ms"))
     s = s.withColumn("throughput_per_s", F.lit(1000.0) / F.col("mean_ms"))
     if baseline is not None:
         base = s.filter(F.col(device) == F.lit(baseline)).select("mean_ms").scalar()
