@@ -63,5 +63,9 @@ def test_vocab_and_encode(spark):
     vocab = tk.build_vocab(df, "t", 2)
     v = {r["token"]: r["token_id"] for r in vocab.collect()}
     assert v == {"[PAD]": 0, "[UNK]": 1, "a": 2, "b": 3}
-    enc = {r["id"]: r["ids"] for r in tk.encode(df, vocab, "id", "t", 3, vocab_size=2).collect()}
-    assert enc == {1: [3, 2, 3], 2: [2, 1], 3: [], 4: []}
+    for most in (2, 1):                  # looked up in the tasks; joined
+        enc = tk.encode(df.withColumn("label", F.col("id") % 2), vocab, "id", "t", 3, max_broadcast=most)
+        assert {r["id"]: (r["ids"], r["label"]) for r in enc.collect()} == {1: ([3, 2, 3], 1), 2: ([2, 1], 0), 3: ([], 1), 4: ([], 0)}
+    for size, want in ((1, ["a"]), (3, ["a", "b", "c"]), (9, ["a", "b", "c", "zz"]), (0, [])):
+        got = tk.build_vocab(df, "t", size).where("token_id > 1").orderBy("token_id").collect()
+        assert [r["token"] for r in got] == want and [r["token_id"] for r in got] == list(range(2, 2 + len(want)))

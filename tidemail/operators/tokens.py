@@ -1,23 +1,27 @@
 """Vocabulary, encoding, padding (K1–K4, P11) and the batch-map hook.
 
 Encoding keeps every step bounded: token arrays are sliced to ``max_len``
-*before* exploding, the vocabulary (``n`` rows, a parameter) is the only
-broadcast side, and the regroup collects at most ``max_len`` ids per text.
+first, and the vocabulary is broadcast only where its counted size allows.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemail.functions.text import tokens
+from tidemail.operators.sampling import with_row_index
+from tidemail.session import scratch_path
 
 # Special token ids.
 PAD, UNK = 0, 1
 SPECIALS = [("[PAD]", PAD), ("[UNK]", UNK)]
 
-# A vocabulary above this many rows is joined without a broadcast hint
-# (AQE still broadcasts it if its measured size is small).
+# A vocabulary above this many rows is joined instead of broadcast.
 MAX_BROADCAST_VOCAB = 2_000_000
 
 
@@ -31,35 +35,61 @@ def build_vocab(df: DataFrame, text_col: str, size: int) -> DataFrame:
     """K1: the ``size`` most frequent tokens (count desc, token asc) get ids
     ``2 ..``; ids 0 and 1 are ``[PAD]`` and ``[UNK]``.
 
-    The top-``size`` cut is a bounded sort (TakeOrderedAndProject); numbering
-    happens on those ``size`` rows only.
+    The token counts are written once.  Their distribution (one row for each
+    different count, few of them since the sum of k different counts is at least
+    k^2 / 2) gives the count at the cut; tokens below it go, and the rest is
+    ranked in range partitions, so no task sorts all candidates.
     """
-    top = token_counts(df, text_col).orderBy(F.col("n").desc(), F.col("token").asc()).limit(size)
-    w = Window.orderBy(F.col("n").desc(), F.col("token").asc())
-    words = top.select("token", (F.row_number().over(w) + 1).alias("token_id"), F.col("n").cast("bigint"))
     spark = df.sparkSession
+    path = scratch_path(spark, "token-counts")
+    token_counts(df, text_col).write.parquet(path)
+    counts = spark.read.parquet(path)
+    above = Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    cut = (counts.groupBy("n").agg(F.count(F.lit(1)).alias("c"))
+           .select("n", F.coalesce(F.sum("c").over(above), F.lit(0)).alias("before"))
+           .filter(F.col("before") < size).agg(F.min("n")).first()[0])
+    top = counts.filter(F.col("n") >= (cut or 0)) if cut else counts.limit(0)
+    words = with_row_index(top, [F.col("n").desc(), "token"], "rank").filter(F.col("rank") < size)
     specials = spark.createDataFrame([(t, i, None) for t, i in SPECIALS], "token string, token_id int, n bigint")
-    return specials.unionByName(words.select("token", F.col("token_id").cast("int"), "n"))
+    return specials.unionByName(words.select("token", (F.col("rank") + 2).cast("int").alias("token_id"), "n"))
 
 
-def encode(df: DataFrame, vocab: DataFrame, key: str, text_col: str, max_len: int,
-           vocab_size: int | None = None, out: str = "ids") -> DataFrame:
+def encode(df: DataFrame, vocab: DataFrame, key: str, text_col: str, max_len: int, out: str = "ids",
+           max_broadcast: int = MAX_BROADCAST_VOCAB) -> DataFrame:
     """K2: ids of the first ``max_len`` tokens of each text; unknown → ``[UNK]``.
-    Texts without tokens get an empty array.
-
-    ``key`` must identify the row (as ``doc_id`` does): the ids are regrouped
-    by it, and every map task already emits one partial list per key, so the
-    shuffle carries at most ``max_len`` ids per row."""
-    toks = df.select(key, F.slice(tokens(text_col), 1, max_len).alias("__toks"))
-    ex = toks.select(key, F.posexplode_outer("__toks").alias("pos", "token"))
+    Texts without tokens get an empty array.  The text column is replaced by
+    ``out``; all other columns stay.
+
+    A vocabulary of at most ``max_broadcast`` rows (counted, not assumed) is
+    sent to the tasks and looked up in Arrow batches, without a shuffle.  A
+    larger one is joined, and the ids are regrouped by ``key``, which then must
+    identify the row."""
+    rest = [c for c in df.columns if c != text_col]
+    toks = df.select(*rest, F.slice(tokens(text_col), 1, max_len).alias("__toks"))
     v = vocab.filter(F.col("token_id") > UNK).select("token", "token_id")
-    if vocab_size is not None and vocab_size <= MAX_BROADCAST_VOCAB:
-        v = F.broadcast(v)
+    known = v.limit(max_broadcast + 1).toArrow()
+    if known.num_rows <= max_broadcast:
+        schema = T.StructType([*df.select(*rest).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+        return toks.mapInArrow(_lookup(df.sparkSession.sparkContext.broadcast(known), out), schema)
+    ex = toks.select(key, F.posexplode_outer("__toks").alias("pos", "token"))
     j = ex.join(v, "token", "left")
     item = F.when(F.col("token").isNotNull(),
                   F.struct("pos", F.coalesce("token_id", F.lit(UNK)).alias("id")))
     g = j.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("__s"))
-    return g.select(key, F.transform("__s", lambda x: x["id"]).alias(out))
+    return df.select(*rest).join(g.select(key, F.transform("__s", lambda x: x["id"]).alias(out)), key)
+
+
+def _lookup(known_bc, out: str):
+    def run(batches):
+        words, ids = (c.combine_chunks() for c in known_bc.value.columns)
+        for b in batches:
+            toks = b.column(b.num_columns - 1)
+            size = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False)
+            got = pc.fill_null(ids.take(pc.index_in(toks.flatten(), value_set=words)), UNK)
+            off = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(off, got)],
+                                             names=[*b.schema.names[:-1], out])
+    return run
 
 
 def pad(df: DataFrame, ids_col: str, max_len: int) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tidemail.functions import text as tx
 from tidemail.operators import tokens as tk
 from tidemail.queries import sqlfrag as s
 from tidemail.registry import register
-from tidemail.sources.tables import table
+from tidemail.sources.tables import EMAILS_SQL, emails, table
 
 # The reference's vocabulary size (uncased word pieces) and its
 # training sequence length.
@@ -51,12 +52,32 @@ def token_encode(spark, sf_dir):
     """K2 + K3 (+P11 columns): ids of the first ``MAX_LEN`` tokens, padded, with mask."""
     docs = table(spark, sf_dir, "documents", parallel=True)
     vocab = tk.build_vocab(docs, "text", VOCAB)
-    enc = tk.pad(tk.encode(docs, vocab, "doc_id", "text", MAX_LEN, vocab_size=VOCAB), "ids", MAX_LEN)
+    enc = tk.pad(tk.encode(docs.select("doc_id", "text"), vocab, "doc_id", "text", MAX_LEN), "ids", MAX_LEN)
     return enc.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"),
                       F.array_join("input_ids", " ").alias("input_ids"),
                       F.array_join("attention_mask", " ").alias("attention_mask"))
 
 
+@register("model_inputs", f"""
+WITH {_VOCAB_SQL},
+d AS (SELECT mail_id, label, list_slice({s.tokens(s.training_text('subject', 'body'))}, 1, {MAX_LEN}) AS toks FROM {EMAILS_SQL} e),
+ex AS (SELECT mail_id, unnest(toks) AS token, unnest(generate_series(1, len(toks))) AS pos FROM d),
+enc AS (SELECT ex.mail_id, list(coalesce(w.token_id, 1) ORDER BY ex.pos) AS ids
+        FROM ex LEFT JOIN w ON w.token = ex.token GROUP BY ex.mail_id)
+SELECT array_to_string(list_resize(coalesce(enc.ids, []::INTEGER[]), {MAX_LEN}, 0), ' ') AS input_ids,
+       CAST(coalesce(len(enc.ids), 0) AS BIGINT) AS n_attended, d.label
+FROM d LEFT JOIN enc ON enc.mail_id = d.mail_id
+""")
+def model_inputs(spark, sf_dir):
+    """The mails' training texts as ``input_ids, attention_mask, label``."""
+    mails = emails(spark, sf_dir, parallel=True)
+    mails = mails.select("mail_id", tx.training_text("subject", "body").alias("text"), "label")
+    vocab = tk.build_vocab(table(spark, sf_dir, "documents", parallel=True), "text", VOCAB)
+    given = tk.model_inputs(tk.pad(tk.encode(mails, vocab, "mail_id", "text", MAX_LEN), "ids", MAX_LEN))
+    return given.select(F.array_join("input_ids", " ").alias("input_ids"),
+                        F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_attended"), "label")
+
+
 def _lengths(pdf: pd.DataFrame) -> pd.DataFrame:
     t = pdf["text"].fillna("")
     return pd.DataFrame({"doc_id": pdf["doc_id"], "n_chars": t.str.len().astype("int64"),
