@@ -15,6 +15,7 @@ from tidemail.functions import text as tx
 from tidemail.functions import verdict as vd
 from tidemail.operators import metrics, sampling
 from tidemail.operators.model import TrainParams, score, train
+from tidemail.session import scratch_path
 from tidemail.sources.csv import with_text
 
 VERDICT_COLS = ["phish", "accuracy", "trusted"]
@@ -47,7 +48,10 @@ def evaluate(model: PipelineModel, df: DataFrame, key: str, test_fraction: float
     test = sampling.holdout(df.filter(F.col(label_col).isNotNull()), key, test_fraction, seed)
     scored = score(model, test, text_col).withColumn("prediction", vd.decode_eval("label_name"))
     y = F.col(label_col).cast("int").alias("y_true")
-    ev = scored.select(y, "prediction")
+    # written, so that the three results do not score the mails three times
+    path = scratch_path(df.sparkSession, "scored")
+    scored.select(y, "prediction").write.parquet(path)
+    ev = df.sparkSession.read.parquet(path)
     return {"accuracy": metrics.accuracy(ev, "y_true", "prediction"),
             "confusion": metrics.confusion_matrix(ev, "y_true", "prediction"),
             "report": metrics.classification_report(ev, "y_true", "prediction")}
@@ -61,7 +65,6 @@ def trained_model(spark, key: str, train_fn) -> PipelineModel:
     """Train once, serve many (S10): the first call for ``key`` in a session
     trains and saves the model to the shared checkpoint folder; later calls
     load it from there, as evaluation and serving load the saved model."""
-    from tidemail.session import scratch_path
     from tidemail.sources.sinks import load_model, save_model
     k = (spark.sparkContext.applicationId, key)
     if k in _SAVED:

@@ -127,31 +127,32 @@ def holdout_rows(spark, sf_dir):
 
 
 @register("split_exact", f"""
-SELECT mail_id,
+SELECT mail_id, {s.training_text('subject', 'body')} AS text,
        CASE WHEN row_number() OVER (ORDER BY {s.uniform(42, 'split', 'mail_id')}, mail_id) - 1
                  < ceil(0.2 * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split
 FROM {E} e
 """)
 def split_exact(spark, sf_dir):
-    """M2: exactly ceil(0.2 n) test rows."""
-    return sampling.split_exact(emails(spark, sf_dir, labelled=False).select("mail_id"), "mail_id", 0.2, 42)
+    """M2: exactly ceil(0.2 n) test rows, whole mails."""
+    e = emails(spark, sf_dir, labelled=False).select("mail_id", tx.training_text("subject", "body").alias("text"))
+    return sampling.split_exact(e, "mail_id", 0.2, 42)
 
 
 @register("shuffle_order", """
-SELECT doc_id, row_number() OVER (ORDER BY md5('42:shuffle:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS shuffle_pos
+SELECT doc_id, text, row_number() OVER (ORDER BY md5('42:shuffle:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS shuffle_pos
 FROM documents
 """)
 def shuffle_order(spark, sf_dir):
     """M4: seeded permutation position of every document."""
-    return sampling.shuffle(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 42)
+    return sampling.shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", 42)
 
 
 @register("row_index", """
-SELECT row_number() OVER (ORDER BY source, doc_id) - 1 AS "index", doc_id, source FROM documents
+SELECT row_number() OVER (ORDER BY source, doc_id) - 1 AS "index", doc_id, source, text FROM documents
 """)
 def row_index(spark, sf_dir):
     """0-based index in (source, doc_id) order."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return sampling.with_row_index(d, ["source", "doc_id"], "index")
 
 

@@ -32,18 +32,19 @@ def csv_roundtrip(spark, sf_dir):
 
 
 @register("csv_merge_index", f"""
-SELECT row_number() OVER (ORDER BY mail_id) - 1 AS "index", mail_id, {_na('subject')} AS subject
+SELECT row_number() OVER (ORDER BY mail_id) - 1 AS "index", mail_id, {_na('subject')} AS subject,
+       {_na('body')} AS body, label
 FROM {EMAILS_SQL} e
 """)
 def csv_merge_index(spark, sf_dir):
     """Parts merged into one CSV with a leading unnamed 0-based index."""
     base = scratch_path(spark, "csvmerge")
-    cs.write_csv_parts(emails(spark, sf_dir, labelled=False).select("mail_id", "subject"), f"{base}/parts")
+    cs.write_csv_parts(emails(spark, sf_dir).select("mail_id", "subject", "body", "label"), f"{base}/parts")
     cs.merge_csv(spark, f"{base}/parts", f"{base}/merged", order=[F.col("mail_id").cast("bigint")])
     back = cs.read_mail_csv(spark, f"{base}/merged")
     idx = back.columns[0]
     return back.select(F.col(f"`{idx}`").cast("bigint").alias("index"),
-                       F.col("mail_id").cast("bigint"), "subject")
+                       F.col("mail_id").cast("bigint"), "subject", "body", F.col("label").cast("int"))
 
 
 @register("csv_corpus", f"""

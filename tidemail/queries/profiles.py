@@ -72,15 +72,15 @@ register("profile_numerical_part", _numerical_sql("part", NUM_PART))(
 
 
 @register("token_stats", f"""
-SELECT CASE WHEN role = 'user' THEN 'prompt' ELSE 'completion' END AS kind,
+SELECT CASE WHEN role = 'assistant' THEN 'completion' ELSE 'prompt' END AS kind,
        count(*) AS n_texts,
        round(avg(len({s.tokens('text')}))::DOUBLE, 6) AS tokens_mean,
        round(median(len({s.tokens('text')}))::DOUBLE, 6) AS tokens_median,
        round(stddev_samp(len({s.tokens('text')}))::DOUBLE, 6) AS tokens_stddev
-FROM conversations WHERE role IN ('user', 'assistant') GROUP BY ALL
+FROM conversations WHERE role IN ('system', 'user', 'assistant') GROUP BY ALL
 """)
 def token_stats(spark, sf_dir):
-    """User turns as prompts, assistant turns as completions."""
-    c = table(spark, sf_dir, "conversations").filter(F.col("role").isin("user", "assistant"))
-    c = c.withColumn("kind", F.when(F.col("role") == "user", "prompt").otherwise("completion"))
+    """System and user turns as prompts, assistant turns as completions."""
+    c = table(spark, sf_dir, "conversations").filter(F.col("role").isin("system", "user", "assistant"))
+    c = c.withColumn("kind", F.when(F.col("role") == "assistant", "completion").otherwise("prompt"))
     return pr.token_stats(c, "text", "kind")
