@@ -3,9 +3,9 @@
 * :func:`html_to_text` — Arrow-batched pandas UDF on the standard library's
   ``html.parser``: text of all data nodes, script/style/comments/doctype
   skipped, entities decoded.
-* :func:`html_to_text_native` — the same on the JVM with regular expressions
-  (tags stripped, a fixed set of named entities decoded, ``&amp;`` last);
-  equal to the UDF on pages that use only those entities.
+* :func:`html_to_text_native` — the same on the JVM with regular expressions:
+  tags stripped, numeric references and the named entities of HTML 4 decoded
+  in one pass (references must end in ``;``, other names stay as they are).
 * :func:`select_text` — texts of the elements matching a simple selector
   (``tag``, ``.cls``, ``tag.cls``, ``#id``, joined by ``>`` or space), in
   document order; an array per document.
@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 import re
+from html.entities import name2codepoint
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -26,13 +27,18 @@ SKIP = {"script", "style"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
         "source", "track", "wbr"}
 
-# Named entities decoded by the native variant (``&amp;`` last).
+# The named entities of the test pages, for the SQL twins (``&amp;`` last).
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
             ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"),
             ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&amp;", "&")]
 
 BLOCKS_RE = r"(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->|<!DOCTYPE[^>]*>"
-TAG_RE = r"(?s)<[^>]+>"
+# A quoted attribute value may hold ``>``.  Nothing is tried twice, so an
+# unclosed tag costs no backtracking.
+TAG_RE = r"""(?s)<(?:[^>=]++|=(?:\s*(?:"[^"]*"|'[^']*'))?+)++>"""
+REFERENCE = "&(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8}|[a-zA-Z][a-zA-Z0-9]*);"
+#: Code points 128 to 159 of numeric references, which mean windows-1252.
+_C1 = {chr(b): c for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))}
 
 
 def _c(c) -> Column:
@@ -79,10 +85,28 @@ def html_to_text(c) -> Column:
 
 def html_to_text_native(c) -> Column:
     """F12 on the JVM: drop script/style/comments/doctype, strip tags, decode."""
-    col = F.regexp_replace(F.regexp_replace(_c(c), BLOCKS_RE, ""), TAG_RE, "")
-    for ent, ch in ENTITIES:
-        col = F.replace(col, F.lit(ent), F.lit(ch))
-    return col
+    return decode_references(F.regexp_replace(F.regexp_replace(_c(c), BLOCKS_RE, ""), TAG_RE, ""))
+
+
+def decode_references(c) -> Column:
+    """Character references as characters.  The text is split before each
+    reference, and every piece has its own one decoded, so what comes out is
+    not decoded again."""
+    names = F.create_map(*[F.lit(x) for n, p in [*name2codepoint.items(), ("apos", 0x27)] for x in (n, chr(p))])
+
+    def char(number: Column) -> Column:
+        bad = (number < 1) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+        point = F.decode(F.unhex(F.lpad(F.hex(F.when(bad, 0xFFFD).otherwise(number)), 8, "0")), "UTF-32")
+        return F.translate(point, "".join(_C1), "".join(_C1.values()))
+
+    def piece(x: Column) -> Column:
+        ref = F.regexp_extract(x, "^" + REFERENCE, 1)
+        rest = F.substr(x, F.length(ref) + 3)
+        number = F.when(F.lower(F.substring(ref, 1, 2)) == "#x", F.conv(F.substr(ref, F.lit(3)), 16, 10)).otherwise(F.substr(ref, F.lit(2)))
+        found = F.when(F.startswith(ref, F.lit("#")), char(number.try_cast("bigint"))).otherwise(F.try_element_at(names, ref))
+        return F.when(ref == "", x).otherwise(F.coalesce(F.concat(found, rest), x))
+    pieces = F.split(c, f"(?={REFERENCE})")
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(pieces, piece), "")).otherwise(c)
 
 
 # ------------------------------------------------------------------ selection
