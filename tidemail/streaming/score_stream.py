@@ -29,9 +29,10 @@ def score_batch(model: PipelineModel, raw: DataFrame, json_col: str, domain: str
 def score_stream(spark: SparkSession, in_dir: str, model: PipelineModel, out_dir: str,
                  reject_dir: str, checkpoint: str, domain: str,
                  available_now: bool = True, processing_time: str | None = None,
-                 max_files_per_trigger: int | None = None):
+                 max_files_per_trigger: int | None = 1000):
     """Start the query; returns the ``StreamingQuery``.  ``available_now``
-    drains what is there in bounded micro-batches and stops."""
+    drains what is there and stops.  A micro-batch holds at most
+    ``max_files_per_trigger`` files (None: all that are there)."""
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
