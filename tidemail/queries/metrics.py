@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemail.operators import metrics as m
+from tidemail.queries import sqlfrag as s
 from tidemail.registry import register
 from tidemail.sources.tables import table
 
@@ -33,31 +34,7 @@ def eval_confusion(spark, sf_dir):
     return m.confusion_matrix(table(spark, sf_dir, "labels"), "quality", "toxic")
 
 
-@register("eval_report", """
-WITH lab AS (SELECT quality AS c FROM labels UNION SELECT toxic FROM labels),
-pc AS (
-  SELECT lab.c,
-         (SELECT count(*) FROM labels WHERE quality = lab.c) AS support,
-         (SELECT count(*) FROM labels WHERE toxic = lab.c) AS predicted,
-         (SELECT count(*) FROM labels WHERE quality = lab.c AND toxic = lab.c) AS tp
-  FROM lab),
-cls AS (
-  SELECT CAST(c AS VARCHAR) AS label,
-         coalesce(tp::DOUBLE / nullif(predicted, 0), 0.0) AS precision,
-         coalesce(tp::DOUBLE / nullif(support, 0), 0.0) AS recall,
-         support, tp FROM pc),
-cls2 AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1_score FROM cls),
-tot AS (SELECT sum(support) AS total, sum(tp)::DOUBLE / sum(support) AS acc,
-               avg(precision) AS mp, avg(recall) AS mr, avg(f1_score) AS mf,
-               sum(precision * support) / sum(support) AS wp,
-               sum(recall * support) / sum(support) AS wr,
-               sum(f1_score * support) / sum(support) AS wf FROM cls2)
-SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall,
-       round(f1_score, 6) AS f1_score, support::BIGINT AS support FROM cls2
-UNION ALL SELECT 'accuracy', NULL, NULL, round(acc, 6), total::BIGINT FROM tot
-UNION ALL SELECT 'macro avg', round(mp, 6), round(mr, 6), round(mf, 6), total::BIGINT FROM tot
-UNION ALL SELECT 'weighted avg', round(wp, 6), round(wr, 6), round(wf, 6), total::BIGINT FROM tot
-""")
+@register("eval_report", "WITH " + s.report_sql("labels", "quality", "toxic"))
 def eval_report(spark, sf_dir):
     return m.classification_report(table(spark, sf_dir, "labels"), "quality", "toxic")
 

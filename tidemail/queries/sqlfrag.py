@@ -55,3 +55,32 @@ TOKEN_RE = r"[\p{L}\p{N}]+"
 
 def tokens(x: str) -> str:
     return f"regexp_extract_all(lower({x}), {q(TOKEN_RE)})"
+
+
+def report_sql(rel: str, y: str, p: str) -> str:
+    """Classification report of relation ``rel``: common table expressions (the
+    caller writes WITH) and the final select."""
+    return f"""lab AS (SELECT {y} AS c FROM {rel} UNION SELECT {p} FROM {rel}),
+pc AS (
+  SELECT lab.c,
+         (SELECT count(*) FROM {rel} WHERE {y} = lab.c) AS support,
+         (SELECT count(*) FROM {rel} WHERE {p} = lab.c) AS predicted,
+         (SELECT count(*) FROM {rel} WHERE {y} = lab.c AND {p} = lab.c) AS tp
+  FROM lab),
+cls AS (
+  SELECT CAST(c AS VARCHAR) AS label,
+         coalesce(tp::DOUBLE / nullif(predicted, 0), 0.0) AS precision,
+         coalesce(tp::DOUBLE / nullif(support, 0), 0.0) AS recall,
+         support, tp FROM pc),
+cls2 AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1_score FROM cls),
+tot AS (SELECT sum(support) AS total, sum(tp)::DOUBLE / sum(support) AS acc,
+               avg(precision) AS mp, avg(recall) AS mr, avg(f1_score) AS mf,
+               sum(precision * support) / sum(support) AS wp,
+               sum(recall * support) / sum(support) AS wr,
+               sum(f1_score * support) / sum(support) AS wf FROM cls2)
+SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(f1_score, 6) AS f1_score, support::BIGINT AS support FROM cls2
+UNION ALL SELECT 'accuracy', NULL, NULL, round(acc, 6), total::BIGINT FROM tot
+UNION ALL SELECT 'macro avg', round(mp, 6), round(mr, 6), round(mf, 6), total::BIGINT FROM tot
+UNION ALL SELECT 'weighted avg', round(wp, 6), round(wr, 6), round(wf, 6), total::BIGINT FROM tot
+"""

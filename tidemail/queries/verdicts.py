@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tidemail.functions import sender as snd
 from tidemail.functions import text as tx
 from tidemail.functions import verdict as vd
+from tidemail.operators import metrics, sampling
+from tidemail.operators.bayes import score_bayes, train_bayes
 from tidemail.operators.model import TrainParams
 from tidemail.plans import scoring
 from tidemail.queries import sqlfrag as s
@@ -108,3 +110,49 @@ def model_verdicts(spark, sf_dir):
     valid, _ = parse_requests(intake_json(spark, sf_dir), "payload", keep=["mail_id"])
     out = scoring.analyze(model, valid, TEST_DOMAIN, texts=True)
     return out.select("mail_id", "phish", "accuracy", "trusted", "domain", "headline", "confidence_line")
+
+
+_BAYES_SQL = f"""
+e AS (SELECT mail_id, label, {s.uniform(42, 'split', 'mail_id')} < 0.2 AS held,
+             {s.tokens(s.training_text('subject', 'body'))} AS toks FROM {EMAILS_SQL} x),
+tr AS (SELECT label, unnest(toks) AS token FROM e WHERE NOT held AND label IS NOT NULL),
+c AS (SELECT token, sum(label) AS n1, sum(1 - label) AS n0 FROM tr GROUP BY token),
+k AS (SELECT ln((sum(n0) + count(*) + 1)::DOUBLE) - ln((sum(n1) + count(*) + 1)::DOUBLE) AS unseen FROM c),
+pr AS (SELECT ln((sum(label) + 1)::DOUBLE / (sum(1 - label) + 1)) AS prior FROM e WHERE NOT held AND label IS NOT NULL),
+te AS (SELECT mail_id, unnest(toks) AS token FROM e WHERE held),
+o AS (SELECT mail_id, sum(k.unseen + coalesce(ln((n1 + 1)::DOUBLE / (n0 + 1)), 0)) AS odds
+      FROM te LEFT JOIN c USING (token), k GROUP BY mail_id),
+r AS (SELECT e.mail_id, e.label, coalesce(o.odds, 0) + pr.prior AS odds FROM e LEFT JOIN o USING (mail_id), pr WHERE held),
+b AS (SELECT mail_id, label, CASE WHEN odds > 0 THEN 1 ELSE 0 END AS predicted_label,
+             round(1 / (1 + exp(-abs(odds))), 6) AS score FROM r)
+"""
+
+
+def _bayes_scored(spark, sf_dir):
+    e = emails(spark, sf_dir).select("mail_id", tx.training_text("subject", "body").alias("text"), "label")
+    model = train_bayes(sampling.split(e, "mail_id").filter(F.col("split") == "train"))
+    return score_bayes(model, sampling.holdout(e, "mail_id"), ["mail_id", "label"])
+
+
+@register("bayes_verdicts", f"""
+WITH {_BAYES_SQL}
+SELECT mail_id, 'LABEL_' || predicted_label AS label_name, score, predicted_label = 1 AS phish,
+       CAST(floor(score * 100.0::DOUBLE) AS BIGINT) AS accuracy
+FROM b
+""")
+def bayes_verdicts(spark, sf_dir):
+    """L1, L2, O3, L4 with the Naive Bayes model: trained on the 80 % side, a
+    verdict for every mail of the hold-out."""
+    scored = _bayes_scored(spark, sf_dir).withColumn("score", F.round("score", 6))
+    return scored.select("mail_id", "label_name", "score", vd.decode_serving("label_name").alias("phish"),
+                         vd.confidence("score").alias("accuracy"))
+
+
+@register("bayes_report", f"""
+WITH {_BAYES_SQL}, known AS (SELECT * FROM b WHERE label IS NOT NULL),
+{s.report_sql('known', 'label', 'predicted_label')}
+""")
+def bayes_report(spark, sf_dir):
+    """L1 + L3 with the Naive Bayes model: report on the labelled hold-out."""
+    scored = _bayes_scored(spark, sf_dir).filter(F.col("label").isNotNull())
+    return metrics.classification_report(scored.withColumn("prediction", vd.decode_eval("label_name")), "label", "prediction")
