@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemail.functions.rand import draw_bits, uniform
-from tidemail.session import checkpoint_dir
+from tidemail.session import checkpoint_dir, scratch_path
 
 
 def split_draw(key, seed: int = 42) -> Column:
@@ -207,7 +207,10 @@ def _split_hot(g: DataFrame, key: str, r: int, col: str, rank_direct: int) -> Da
             # fully identical rows are interchangeable: take r of them, each input
             # partition giving its share in partition order (one small row per
             # partition; each window holds one input split at most)
-            gp = grp.withColumn("__pid", F.spark_partition_id())
+            # written, so that the count and the ranking see the same partitions
+            path = scratch_path(grp.sparkSession, "split-copies")
+            grp.withColumn("__pid", F.spark_partition_id()).write.parquet(path)
+            gp = grp.sparkSession.read.parquet(path)
             pc = gp.groupBy("__pid").agg(F.count(F.lit(1)).alias("__c"))
             wp = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
             quota = pc.select("__pid", F.least(F.greatest(F.lit(r) - F.coalesce(F.sum("__c").over(wp), F.lit(0)),
