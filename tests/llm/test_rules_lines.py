@@ -72,6 +72,15 @@ def test_templates_recur_across_documents_only(spark):
     assert lt.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_of_fields_recur_by_content_only(spark):
+    rows = [(1, "2021-01-05 14.2 77%\n3 of 4 5\n12 kg 14 kg 16 kg\nTotal for year 1 2 3 4"),
+            (2, "1987 3.1 12%\n8 of 9 1\n1 kg 2 kg 3 kg\nTotal for year 7 8 9 6\n2021-01-05  14.2\t77%"),
+            (3, "Row 1 of the table"), (4, "Row 2 of the table"), (5, "1 -- -- -- 2"), (6, "7 -- -- -- 8"), (7, "8 of 9 1 ")]
+    got = {r.doc_id: (r.text, r.n) for r in lt.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), count="n").collect()}
+    assert got == {1: (rows[0][1], 0), 2: (rows[1][1].rsplit("\n", 1)[0], 1), 3: (rows[2][1], 0), 4: ("", 1),
+                   5: (rows[4][1], 0), 6: (rows[5][1], 0), 7: ("", 1)}
+
+
 def test_lines_brute_force_on_the_table(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
     import re
