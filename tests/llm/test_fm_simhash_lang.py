@@ -147,3 +147,18 @@ def test_language_edges(spark):
     kept = lang_bloom.keep_identified(train.union(more))
     assert {900, 901, 902, 903}.isdisjoint(r.doc_id for r in kept.collect()) and kept.columns == train.columns
     assert lang_bloom.report(train.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n_langs", [2, 6])
+def test_language_is_kept_whatever_the_number_of_languages(spark, n_langs):
+    import itertools
+    import random
+    r = random.Random(5)
+
+    def words(letters):
+        return ["".join(x) for x in itertools.product(letters, repeat=4)][:30]
+    shared, own = words("aeio"), [words(x) for x in ("bcdf", "ghjk", "lmnp", "qrst", "uvwx", "yzäö")[:n_langs]]
+    rows = [(100 * k + i, " ".join(r.choice(x) for _ in range(30) for x in (shared, own[k])), f"l{k}") for k in range(n_langs) for i in range(40)]
+    junk = [(1000 + i, " ".join(["".join(r.choices("αβγδεζηθ", k=6)) for _ in range(40)] + shared[:4]), None) for i in range(8)]
+    docs = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in lang_bloom.keep_identified(docs).collect()} == {x[0] for x in rows}

@@ -13,7 +13,10 @@ Training reads a bounded sample of labelled rows (``max_rows``), every row's
 prediction its whole text.  A document's score of a language is its number of n-grams in that filter,
 corrected for the filter's false positives; the largest wins, ties go to the
 first language in order.  ``score`` is the winner's share of all corrected
-counts (0 if no n-gram is known).
+counts (0 if no n-gram is known).  It falls as languages are added, so
+``keep_identified`` judges by another number: the share of the document's
+n-grams in the winner's filter, over that share in the language's own training
+text (n-grams seen once there count as not held, as new text has others).  Other languages' filters do not enter it.
 
 Defined results: null text or text without a letter is ``und`` with score 0;
 text of which no n-gram is known gets the commonest training language with
@@ -100,8 +103,10 @@ class Filters:
     """Bit-sliced Bloom filters of all languages."""
 
     def __init__(self, langs: list[str], grams: dict[str, np.ndarray], commonest: str | None,
-                 slots: int = 1 << 20, probes: int = 4):
+                 slots: int = 1 << 20, probes: int = 4, usual: np.ndarray | None = None):
         self.langs, self.commonest, self.slots, self.probes = langs, commonest, slots, probes
+        #: Share of each language's training n-grams that its filter holds, without those seen once: what new text may hold.
+        self.usual = np.ones(len(langs)) if usual is None else usual
         self.mask = np.zeros(((len(langs) + 63) // 64, slots), np.uint64)
         for l, name in enumerate(langs):
             for at in self._places(grams[name]):
@@ -141,15 +146,17 @@ def train(docs: DataFrame, min_share: float = 1e-5, spread: float = 8.0, max_row
     share = F.col("n") / F.element_at(F.create_map(*[F.lit(x) for kv in total.items() for x in kv]), F.col("lang"))
     own = counts.withColumn("share", share).where(F.col("share") >= min_share)
     top = own.groupBy("gram").agg(F.max("share").alias("top"))
-    kept = own.join(top, "gram").where(F.col("share") * spread >= F.col("top")).select("lang", "gram").toArrow()
+    kept = own.join(top, "gram").where(F.col("share") * spread >= F.col("top")).select("lang", "gram", "n").toArrow()
     langs = sorted(total)
     names = kept.column("lang").to_pylist()
     codes = kept.column("gram").to_numpy().view(np.uint64)
     of = np.array([langs.index(x) for x in names], np.int64)
-    return Filters(langs, {l: codes[of == i] for i, l in enumerate(langs)}, min(langs, key=lambda l: (-total[l], l)))
+    n = kept.column("n").to_numpy()
+    usual = np.bincount(of, weights=np.where(n > 1, n, 0), minlength=len(langs)) / [total[l] for l in langs]
+    return Filters(langs, {l: codes[of == i] for i, l in enumerate(langs)}, min(langs, key=lambda l: (-total[l], l)), usual=usual)
 
 
-def _predictor(filters_bc, column: str, pred: str, score: str):
+def _predictor(filters_bc, column: str, pred: str, score: str, held: str | None):
     def run(batches):
         f = filters_bc.value
         n_langs = len(f.langs)
@@ -157,7 +164,7 @@ def _predictor(filters_bc, column: str, pred: str, score: str):
             index, off, values = _words(b, column)
             letter = pc.match_substring_regex(text_of(b, column), r"\p{L}").to_numpy(zero_copy_only=False)
             if not n_langs:
-                best, share, letter = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows), np.zeros(b.num_rows, bool)
+                best, share, own, letter = np.zeros(b.num_rows, np.int64), *np.zeros((2, b.num_rows)), np.zeros(b.num_rows, bool)
             else:
                 per_word, n_grams = f.hits(*ngrams(values), len(values))
                 doc = np.repeat(np.arange(b.num_rows), np.diff(off))
@@ -166,19 +173,26 @@ def _predictor(filters_bc, column: str, pred: str, score: str):
                 real = np.maximum(0, (found - total * f.false[:, None]) / (1 - f.false[:, None]))
                 best, every = real.argmax(0), real.sum(0)
                 share = np.divide(real.max(0), every, out=np.zeros(b.num_rows), where=every > 0)
+                usual = total * np.maximum(f.usual, 1e-9)[best]
+                own = np.divide(real.max(0), usual, out=np.zeros(b.num_rows), where=usual > 0)
                 best = np.where(every > 0, best, f.langs.index(f.commonest))
             names = np.array([*f.langs, UND], object)[np.where(letter, best, n_langs)]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(names, pa.string()), pa.array(np.where(letter, share, 0.0))],
-                names=[*b.schema.names, pred, score])
+            out = {pred: pa.array(names, pa.string()), score: pa.array(np.where(letter, share, 0.0))}
+            if held:
+                out[held] = pa.array(np.where(letter, own, 0.0))
+            yield pa.RecordBatch.from_arrays([*b.columns, *out.values()], names=[*b.schema.names, *out])
     return run
 
 
-def predict(docs: DataFrame, filters: Filters, pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with two new columns: the language and its score."""
+def predict(docs: DataFrame, filters: Filters, pred: str = "lang_pred", score: str = "score",
+            held: str | None = None) -> DataFrame:
+    """``docs`` with two new columns: the language and its score.  ``held``
+    names a third one: the share of n-grams in the language's filter, over
+    that share in its training text."""
     bc = docs.sparkSession.sparkContext.broadcast(filters)
-    schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
-    return docs.mapInArrow(_predictor(bc, "text", pred, score), schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType()),
+                           *([T.StructField(held, T.DoubleType())] if held else [])])
+    return docs.mapInArrow(_predictor(bc, "text", pred, score, held), schema)
 
 
 def held_out() -> Column:
@@ -191,8 +205,9 @@ def report(docs: DataFrame) -> DataFrame:
     return predict(docs.select("doc_id", "text"), filters).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
-    """Rows whose language is identified with ``min_score`` or more."""
+def keep_identified(docs: DataFrame, min_held: float = 0.5) -> DataFrame:
+    """Rows of which the identified language's filter holds at least
+    ``min_held`` of what it holds of that language's training text."""
     filters = train(docs.where(~held_out()).select("doc_id", "text", "lang"))
-    pred, score = fresh(docs, "pred", "score")
-    return predict(docs, filters, pred, score).where((F.col(pred) != UND) & (F.col(score) >= min_score)).select(*docs.columns)
+    pred, score, held = fresh(docs, "pred", "score", "held")
+    return predict(docs, filters, pred, score, held).where((F.col(pred) != UND) & (F.col(held) >= min_held)).select(*docs.columns)
