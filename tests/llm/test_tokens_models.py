@@ -229,6 +229,21 @@ def test_quality_edges(spark):
     assert quality_classifier.report(docs.limit(0), labels).count() == 0
 
 
+def test_quality_uses_all_labels_of_a_large_table(spark):
+    """300 labels, 20 of them good, among 60,000 documents."""
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3000 == 7, "fine clear words")
+                                      .otherwise("spam ### spam ### junk").alias("text"), F.lit("en").alias("lang"),
+                                      F.lit("s").alias("source"), F.lit(20).cast("long").alias("n_chars"))
+    labels = docs.where("doc_id % 200 = 7").select("doc_id", (F.col("doc_id") % 3000 == 7).cast("int").alias("quality"))
+    got = quality_classifier.report(docs, labels)
+    assert got.groupBy().agg(F.sum(F.col("good").cast("int"))).first()[0] == 20
+    assert got.where("good").join(labels, "doc_id").agg(F.min("quality")).first()[0] == 1
+    few, prior = quality_classifier.samples(docs, labels, 150, 1000)
+    n = {r.label: r.n for r in few.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    own = labels.withColumn("fold", quality_classifier.fold()).where("quality = 1 and fold > 1").count()
+    assert n[1.0] == own and 90 < n[0.0] <= 190 and 800 < n[None] < 1200 and prior == 20 / 300
+
+
 def test_pipeline_runs_its_stages(spark):
     import corpus_pipeline
     docs = spark.read.parquet(f"{SF001}/documents.parquet")

@@ -8,10 +8,13 @@ rounds each view is calibrated by a logistic fit on a labelled slice that no
 view was trained on, a second fit on that slice weighs the two calibrated views,
 and all documents are scored.
 
-Fitting reads a bounded sample: about ``sample_rows`` documents chosen by a hash
-of doc_id (the labelled ones among them, and the rest as the pool), whose
-hashed features alone reach the driver.  Scoring reads every document, whole,
-in one pass without a shuffle.  A hash of doc_id deals the labelled documents to
+Fitting reads two bounded samples, chosen by a hash of doc_id, whose hashed
+features alone reach the driver: about ``sample_rows`` of the labelled documents
+outside the hold-out (all, if there are no more, however many documents have no
+label), and about ``pool_rows`` of those without a label as the pool.  A class
+of under half of ``sample_rows`` is taken whole; where the classes are sampled
+at different rates, their weights make up for it.  Scoring reads every document,
+whole, in one pass without a shuffle.  A hash of doc_id deals the labelled documents to
 training (remainders 3 to 9), calibration (2) and hold-out (0 and 1, never used).
 
 Defined results: null text has no words, null metadata is a value of its own;
@@ -112,9 +115,9 @@ def _features(batches):
         t, m = text_rows(b), meta_rows(b)
         off = lambda r: pa.array(r.off.astype(np.int32))
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.ListArray.from_arrays(off(t), pa.array(t.at.astype(np.int32))),
+            [*(b.column(c) for c in ("doc_id", "label", "rate", "fold")), pa.ListArray.from_arrays(off(t), pa.array(t.at.astype(np.int32))),
              pa.ListArray.from_arrays(off(t), pa.array(t.value.astype(np.float32))),
-             pa.ListArray.from_arrays(off(m), pa.array(m.at.astype(np.int32)))], names=["doc_id", "at", "value", "meta"])
+             pa.ListArray.from_arrays(off(m), pa.array(m.at.astype(np.int32)))], names=["doc_id", "label", "rate", "fold", "at", "value", "meta"])
 
 
 # -------------------------------------------------------------------- fitting
@@ -186,45 +189,65 @@ class CoTrained:
         return [_sigmoid(z[0]), _sigmoid(z[1]), _sigmoid(self.mix[0] * z[0] + self.mix[1] * z[1] + self.mix[2])]
 
 
-def train(docs: DataFrame, labels: DataFrame, rounds: int = 2, confident: float = 0.95, pseudo_weight: float = 0.3,
-          sample_rows: int = 10_000) -> CoTrained:
-    n = docs.count()
+def samples(docs: DataFrame, labels: DataFrame, sample_rows: int, pool_rows: int) -> tuple[DataFrame, float]:
+    """doc_id, label (null in the pool), fold and rate (the share of its class
+    that is sampled) of the documents to fit on, and the labelled share of
+    quality 1.  Reads no text."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("label"))
-    sample = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", "lang", "source", "n_chars")
-    if n > sample_rows:
-        sample = sample.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(sample_rows / n * (1 << 30)))
-    schema = T.StructType([sample.schema["doc_id"], *T.StructType.fromDDL("at array<int>, value array<float>, meta array<int>").fields])
-    rows = written(sample.mapInArrow(_features, schema).join(known, "doc_id", "left").withColumn("fold", fold()), "co-training")
+    # counted before the join, so that a doc_id of many rows is one row in it
+    each = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).join(known, "doc_id", "left")
+    each = written(each.withColumn("fold", fold().cast("int")), "labelled")
+    good, labelled = F.col("label") >= 0.5, F.col("label").isNotNull()
+    fits = labelled & ~F.col("fold").isin(0, 1)
+    count = lambda which: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
+    n0, n1, pool, prior = each.agg(count(fits & ~good), count(fits & good), count(~labelled),
+                                   F.sum(F.col("n") * F.col("label")) / F.nullif(count(labelled), F.lit(0))).first()
+    half = sample_rows / 2
+    rate = [min(1.0, max(half, sample_rows - other) / max(n, 1)) for n, other in ((n0, n1), (n1, n0))]
+    rate = F.when(~labelled, min(1.0, pool_rows / max(pool, 1))).when(good, rate[1]).otherwise(rate[0])
+    chosen = each.where(fits | ~labelled).select("doc_id", "label", "fold", rate.alias("rate"))
+    return (chosen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < (F.col("rate") * (1 << 30)).cast("long")),
+            0.5 if prior is None else prior)
+
+
+def train(docs: DataFrame, labels: DataFrame, rounds: int = 2, confident: float = 0.95, pseudo_weight: float = 0.3,
+          sample_rows: int = 10_000, pool_rows: int = 10_000) -> CoTrained:
+    chosen, prior = samples(docs, labels, sample_rows, pool_rows)
+    sample = docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(chosen), "doc_id")
+    schema = T.StructType([sample.schema["doc_id"], *T.StructType.fromDDL(
+        "label double, rate double, fold int, at array<int>, value array<float>, meta array<int>").fields])
+    rows = written(sample.mapInArrow(_features, schema), "co-training")
     got = rows.orderBy("doc_id").toArrow().combine_chunks()
     label = pc.fill_null(got.column("label"), -1.0).to_numpy()
     part = got.column("fold").to_numpy()
     flat = lambda c: got.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
     sizes = lambda c: np.concatenate([[0], np.cumsum(pc.list_value_length(got.column(c)).to_numpy())])
     if not len(label):
-        return CoTrained(0.5)
+        return CoTrained(prior)
     views = {"text": Rows(sizes("at"), flat("at").astype(np.int64), flat("value").astype(float)),
              "meta": Rows(sizes("meta"), flat("meta").astype(np.int64), np.full(len(flat("meta")), 0.5))}
     dims = {"text": (1 << BITS["text"]) + _SHAPE, "meta": 1 << BITS["meta"]}
     fit, check, pool = (np.flatnonzero(x) for x in ((label >= 0) & (part > 2), (label >= 0) & (part == 2), label < 0))
-    model = CoTrained(float(label[label >= 0].mean()) if (label >= 0).any() else 0.5)
+    model = CoTrained(prior)
     if len(set(label[fit])) < 2 or len(set(label[check])) < 2:
         return model
     extra = {v: (pool[:0], label[:0]) for v in VIEWS}
-    one = np.ones(len(check))
+    each = 1 / got.column("rate").to_numpy()
+    each /= each[label >= 0].mean()
     for k in range(rounds + 1):
         for v in VIEWS:
             more, said = extra[v]
             which = np.concatenate([fit, more])
-            weight = np.concatenate([np.ones(len(fit)), np.full(len(more), pseudo_weight)])
+            weight = np.concatenate([each[fit], np.full(len(more), pseudo_weight)])
             model.weights[v] = logistic(views[v].pick(which), np.concatenate([label[fit], said]), weight, dims[v])
             model.calibration[v] = np.array([1.0, 0.0])
-            model.calibration[v] = logistic(_dense(model.logit(v, views[v].pick(check))), label[check], one, 1, 1e-3)
+            model.calibration[v] = logistic(_dense(model.logit(v, views[v].pick(check))), label[check], each[check], 1, 1e-3)
         if k < rounds:
             for v, other in (VIEWS, VIEWS[::-1]):
                 p = _sigmoid(model.logit(v, views[v].pick(pool)))
                 sure = (p >= confident) | (p <= 1 - confident)
                 extra[other] = (pool[sure], (p[sure] >= confident).astype(float))
-    model.mix = logistic(_dense(*(model.logit(v, views[v].pick(check)) for v in VIEWS)), label[check], one, 2, 1e-3)
+    model.mix = logistic(_dense(*(model.logit(v, views[v].pick(check)) for v in VIEWS)), label[check], each[check], 2, 1e-3)
     return model
 
 
