@@ -81,6 +81,13 @@ def test_lines_of_fields_recur_by_content_only(spark):
                    5: (rows[4][1], 0), 6: (rows[5][1], 0), 7: ("", 1)}
 
 
+def test_long_lines_without_spaces_recur(spark):
+    long, short = "本网站所有内容版权归作者所有未经许可不得转载" * 2, "版权所有"
+    rows = [(1, f"{long}\n{short}"), (2, f"{long}\n{short}\n一"), (3, "x" * 39), (4, "x" * 39)]
+    got = {r.doc_id: r.text for r in lt.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: f"{short}\n一", 3: "x" * 39, 4: "x" * 39}
+
+
 def test_lines_brute_force_on_the_table(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
     import re
