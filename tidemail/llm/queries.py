@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemail.llm import (bpe_transducer, chat_format, decontam_fm, lang_bloom, line_templates, lm_trie, quality_classifier,
-                          quality_rules, simhash_pigeon, token_files)
+from tidemail.llm import (bpe_transducer, chat_format, decontam_fm, importance, lang_bloom, line_templates, lm_trie, merkle,
+                          quality_classifier, quality_rules, simhash_pigeon, token_counts, token_files)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +63,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pigeon.report(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.report(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_rules, op2_chat_format, op3_quality_classifier, op4_lm_scoring, op5_token_files, op6_language_id,
-    op7_decontamination, op8_line_dedup, op9_bpe, op10_simhash)}
+    op7_decontamination, op8_line_dedup, op9_bpe, op10_simhash, op11_importance, op12_token_counts, op13_merkle)}
 #: The words of decontamination, as SQL.
 _ITEM_WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
                r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
