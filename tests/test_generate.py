@@ -185,3 +185,42 @@ def test_profile_keeps_undeclared_values(spark):
     plan = g.Plan().add("c", g.Category(["a", "b"]))
     doc = profile_document(plan, spark.createDataFrame([("a",), ("b",), ("z",), ("z",)], "c string"), 4).first()
     assert json.loads(doc["column_statistics"][0]["distribution"])["histogram"]["categories"] == ["z", "a", "b"]
+
+
+def test_structured_values_must_fit_their_schema(spark):
+    kind = "name string, price double, tags array<string>, sub struct<n:int,open:boolean>"
+    rules = {"price": g.js.Rule(low=0, high=100), "tags": g.js.Rule(low=1), "tags[]": g.js.Rule(choices=("a", "b")), "sub.open": g.js.Rule(required=False)}
+    good = '{"name": "x", "price": 1, "tags": ["a"], "sub": {"n": 3}}'
+    cases = {good: None, '{}': "name: missing", '{"name":"b"}': "price: missing", '{"price":"cheap"}': "name: missing", '[]': "value: not an object",
+             'null': "value: missing", 'x': "invalid json", good.replace('"x"', "5"): "name: not string", good.replace("1,", '"cheap",'): "price: not double",
+             good.replace("1,", "1e2,"): None, good.replace("1,", "100.5,"): "price: over 100", good.replace("1,", "-0.1,"): "price: under 0",
+             good.replace('["a"]', "[]"): "tags: length under 1", good.replace('["a"]', '["a", 2]'): "tags[]: not string",
+             good.replace('["a"]', '["b", null]'): "tags[]: missing", good.replace('["a"]', '["b", "c"]'): "tags[]: not a choice",
+             good.replace('["a"]', '{"0": "a"}'): "tags: not array<string>", good.replace("3}", "3.5}"): "sub.n: not int",
+             good.replace("3}", "3000000000}"): "sub.n: not int", good.replace("3}", '3, "open": 1}'): "sub.open: not boolean",
+             good.replace("3}", '3, "open": null}'): None, good.replace("3}", '3, "open": true, "more": [1]}'): None,
+             good.replace('{"n": 3}', "null"): "sub: missing", good.replace('{"n": 3}', "3"): "sub: not an object"}
+    texts = list(cases)
+
+    def factory(how):
+        return lambda p: texts[int(p)]
+    plan = g.Plan().add("s", g.Structured("{{ row_id }}", generator=factory, schema=kind, rules=rules))
+    kept, lost = plan.create(spark, len(texts), seed=1)
+    assert {texts[r.row_id] for r in kept.collect()} == {t for t, why in cases.items() if why is None}
+    assert {texts[r.row_id]: r.reasons for r in lost.collect()} == {t: [f"s: {why}"] for t, why in cases.items() if why}
+    first = kept.where("row_id = 0").first().s
+    assert (first["name"], first["price"], first["tags"], first["sub"]["n"], first["sub"]["open"]) == ("x", 1.0, ["a"], 3, None)
+
+
+def test_structured_schemas_are_checked(spark):
+    for schema, rules in (("", {}), ("m map<string,int>", {}), ("a int", {"b": g.js.Rule()}), ("`a.b` int", {})):
+        with pytest.raises((g.PlanError, Exception), match="field|checked|PARSE|schema"):
+            g.Plan().add("s", g.Structured("p", response="{}", schema=schema, rules=rules)).validate()
+
+
+def test_rejects_evaluate_each_draw_once(spark):
+    base = spark.range(50).select(F.col("id").alias("k"), F.col("id").alias("o_orderkey"), F.lit("X").alias("seg"))
+    plan = order_mail_plan("example.edu", priority_col="seg")
+    kept, lost = plan.create_from(base, "k", 5)
+    draws = [d._jdf.queryExecution().optimizedPlan().toString().count("md5(") for d in (kept, lost)]
+    assert draws[1] <= draws[0]

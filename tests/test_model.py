@@ -66,6 +66,10 @@ def test_vocab_and_encode(spark):
     for most in (2, 1):                  # looked up in the tasks; joined
         enc = tk.encode(df.withColumn("label", F.col("id") % 2), vocab, "id", "t", 3, max_broadcast=most)
         assert {r["id"]: (r["ids"], r["label"]) for r in enc.collect()} == {1: ([3, 2, 3], 1), 2: ([2, 1], 0), 3: ([], 1), 4: ([], 0)}
+    # null and repeated keys keep their rows in both ways
+    odd = spark.createDataFrame([(1, "b a"), (1, "c zz a b"), (None, "a"), (None, None), (5, "")], "id long, t string")
+    got = [sorted(map(str, tk.encode(odd, vocab, "id", "t", 3, max_broadcast=most).collect())) for most in (2, 1)]
+    assert got[0] == got[1] and len(got[0]) == 5 and "Row(id=None, ids=[2])" in got[0]
     for size, want in ((1, ["a"]), (3, ["a", "b", "c"]), (9, ["a", "b", "c", "zz"]), (0, [])):
         got = tk.build_vocab(df, "t", size).where("token_id > 1").orderBy("token_id").collect()
         assert [r["token"] for r in got] == want and [r["token_id"] for r in got] == list(range(2, 2 + len(want)))

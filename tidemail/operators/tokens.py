@@ -61,9 +61,10 @@ def encode(df: DataFrame, vocab: DataFrame, key: str, text_col: str, max_len: in
     ``out``; all other columns stay.
 
     A vocabulary of at most ``max_broadcast`` rows (counted, not assumed) is
-    sent to the tasks and looked up in Arrow batches, without a shuffle.  A
-    larger one is joined, and the ids are regrouped by ``key``, which then must
-    identify the row."""
+    sent to the tasks and looked up in Arrow batches, without a shuffle.  For a
+    larger one the rows are written with a number each, their tokens are joined,
+    and the ids are regrouped by that number.  Both give the same rows: ``key`` may be
+    null or repeat."""
     rest = [c for c in df.columns if c != text_col]
     toks = df.select(*rest, F.slice(tokens(text_col), 1, max_len).alias("__toks"))
     v = vocab.filter(F.col("token_id") > UNK).select("token", "token_id")
@@ -71,12 +72,15 @@ def encode(df: DataFrame, vocab: DataFrame, key: str, text_col: str, max_len: in
     if known.num_rows <= max_broadcast:
         schema = T.StructType([*df.select(*rest).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
         return toks.mapInArrow(_lookup(df.sparkSession.sparkContext.broadcast(known), out), schema)
-    ex = toks.select(key, F.posexplode_outer("__toks").alias("pos", "token"))
-    j = ex.join(v, "token", "left")
-    item = F.when(F.col("token").isNotNull(),
-                  F.struct("pos", F.coalesce("token_id", F.lit(UNK)).alias("id")))
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("__s"))
-    return df.select(*rest).join(g.select(key, F.transform("__s", lambda x: x["id"]).alias(out)), key)
+    path = scratch_path(df.sparkSession, "token-rows")
+    toks.withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    ex = rows.select("__row", F.posexplode("__toks").alias("pos", "token"))
+    item = F.struct("pos", F.coalesce("token_id", F.lit(UNK)).alias("id"))
+    ids = (ex.join(v, "token", "left").groupBy("__row").agg(F.array_sort(F.collect_list(item)).alias("__s"))
+           .select("__row", F.transform("__s", lambda x: x["id"]).alias(out)))
+    # a row without tokens has no ids to join
+    return rows.drop("__toks").join(ids, "__row", "left").select(*rest, F.coalesce(out, F.array().cast("array<int>")).alias(out))
 
 
 def _lookup(known_bc, out: str):

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemail.functions import json_schema as js
 from tidemail.functions.rand import uniform
 from tidemail.functions.templates import Template
 from tidemail.operators.rows import keep_rows  # noqa: F401  (re-exported)
@@ -302,11 +303,22 @@ class Text:
 
 @dataclass
 class Structured(Text):
-    """Like :class:`Text` but the output is JSON parsed into ``schema``;
-    text that does not parse gives null (the row is rejected)."""
-    schema: str = "string"
+    """Like :class:`Text` but the output is JSON of the declared ``schema`` (DDL).
+    Every field must be there and of its type, at every depth; ``rules`` bound
+    fields further or make them optional, by path (``price``, ``sub.n``,
+    ``tags[]``).  Other text gives null and the row is rejected with the first
+    complaint."""
+    schema: str = ""
+    rules: dict[str, js.Rule] = field(default_factory=dict)
     kind: str = "llm-structured"
 
+    def validate(self, name: str):
+        super().validate(name)
+        try:
+            js.validate(js.struct_type(self.schema), self.rules)
+        except js.SchemaError as ex:
+            raise PlanError(f"{name}: {ex}") from ex
+
 
 # ------------------------------------------------------------------ plan
 @dataclass
@@ -325,6 +337,10 @@ def _sql_refs(cond: str) -> set[str]:
                                                   "FALSE", "LIKE", "BETWEEN"}}
 
 
+def _why(name: str) -> str:
+    return f"__why_{name}"
+
+
 class Plan:
     """Ordered column specs → DataFrame."""
 
@@ -391,6 +407,7 @@ class Plan:
     # G11
     def build(self, base: DataFrame, key: str, seed: int = 42) -> DataFrame:
         """All columns (helpers included) on top of ``base``; no rows dropped.
+        A structured column has its complaint beside it (``__why_<name>``).
 
         Columns are added one dependency level at a time — all specs whose
         inputs exist already go into a single projection — so the plan has a
@@ -415,14 +432,13 @@ class Plan:
                 batch[s.name] = smp.column(uniform(seed, s.name, keycol), ctx)
             if batch:
                 df = df.withColumns(batch)
-            structured = {}
-            for s in (x for x in order if level[x.name] == lv and isinstance(x.sampler, Structured)):
-                # text that is not a JSON object gives null (not a struct of nulls)
-                ok = F.coalesce(F.expr(f"schema_of_variant(try_parse_json(`{s.name}`)) LIKE 'OBJECT%'"),
-                                F.lit(False))
-                structured[s.name] = F.when(ok, F.from_json(F.col(s.name), s.sampler.schema))
+            structured = [x for x in order if level[x.name] == lv and isinstance(x.sampler, Structured)]
             if structured:
-                df = df.withColumns(structured)
+                # parsed once, then judged, then taken: each a projection of its own
+                df = df.withColumns({f"__v_{x.name}": F.try_parse_json(F.col(x.name)) for x in structured})
+                df = df.withColumns({_why(x.name): js.complaint(F.col(f"__v_{x.name}"), F.col(x.name), x.sampler.schema, x.sampler.rules) for x in structured})
+                df = df.withColumns({x.name: F.when(F.col(_why(x.name)).isNull(), js.value(F.col(f"__v_{x.name}"), x.sampler.schema)) for x in structured})
+                df = df.drop(*[f"__v_{x.name}" for x in structured])
         return df
 
     def create_from(self, base: DataFrame, key: str, seed: int = 42,
@@ -430,7 +446,9 @@ class Plan:
         """One generated record per row of ``base`` (row id = ``key``).
 
         Returns ``(table, rejected)``: rows with a null generated column are
-        rejected (a failed template or generator call), helper columns dropped.
+        rejected (a failed template, generator call or structured value), helper
+        columns dropped.  ``rejected`` has ``failed_columns`` and, where columns are
+        structured, ``reasons`` (``column: complaint``).
         """
         full = self.build(base, key, seed)
         if any(isinstance(s.sampler, Text) and s.sampler.generator is not None for s in self.specs):
@@ -447,8 +465,12 @@ class Plan:
         kept = [key] + list(keep or []) + [s.name for s in self.specs if not s.drop]
         table = keep_rows(full, F.col("__ok"), kept)
         failed = [F.when(F.col(c).isNull(), F.lit(c)) for c in gen]
-        rejected = full.filter(~F.col("__ok")).select(
-            key, F.array_compact(F.array(*failed)).alias("failed_columns"))
+        out = [F.col(key), F.array_compact(F.array(*failed)).alias("failed_columns")]
+        judged = [s.name for s in self.specs if isinstance(s.sampler, Structured)]
+        if judged:
+            # (concat with a null complaint is null)
+            out.append(F.array_compact(F.array(*[F.concat(F.lit(f"{c}: "), F.col(_why(c))) for c in judged])).alias("reasons"))
+        rejected = keep_rows(full, ~F.col("__ok"), out)
         return table, rejected
 
     def create(self, spark: SparkSession, n: int, seed: int = 42,

@@ -91,7 +91,8 @@ r AS (SELECT *,
 
 
 def _base(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select(KEY, "o_orderpriority")
+    # dozens of draws a row: spread an orders table that is one partition
+    return table(spark, sf_dir, "orders", parallel=True).select(KEY, "o_orderpriority")
 
 
 def _built(spark, sf_dir):
@@ -166,6 +167,64 @@ def gen_yield(spark, sf_dir):
     return generation_yield(t, base.select(F.count(F.lit(1))).scalar())
 
 
+#: A structured notice; some are not what the schema declares.
+_TICKET = ('{"carrier": "{{ carrier }}", "parcels": {% if parcels == 2 %}"{{ parcels }}"{% elif parcels == 5 %}{{ parcels }}.5{% else %}{{ parcels }}{% endif %}'
+           '{% if language != \'sv\' %}, "stop": {"depot": "{{ depot }}"{% if notice != \'delayed\' %}, "open": true{% endif %}}{% endif %}, "lang": ["{{ language }}"]}')
+_TICKET_KIND = "carrier string, parcels bigint, stop struct<depot:string,open:boolean>, lang array<string>"
+_TICKET_RULES = {"parcels": g.js.Rule(low=1, high=4), "lang[]": g.js.Rule(choices=("en", "nl", "sv")), "carrier": g.js.Rule(high=10)}
+
+
+def _ticket_sql() -> str:
+    """The same texts, judged by DuckDB's own JSON functions."""
+    return BASE_SQL + """,
+t AS (SELECT *, '{"carrier": "' || carrier || '", "parcels": '
+    || CASE WHEN parcels = 2 THEN '"2"' WHEN parcels = 5 THEN '5.5' ELSE CAST(parcels AS VARCHAR) END
+    || CASE WHEN language <> 'sv' THEN ', "stop": {"depot": "' || depot || '"'
+         || CASE WHEN notice <> 'delayed' THEN ', "open": true' ELSE '' END || '}' ELSE '' END
+    || ', "lang": ["' || language || '"]}' AS j FROM r),
+w AS (SELECT *, CASE
+    WHEN json_type(j, '$.carrier') IS NULL THEN 'carrier: missing'
+    WHEN length(json_extract_string(j, '$.carrier')) > 10 THEN 'carrier: length over 10'
+    WHEN json_type(j, '$.parcels') IS NULL THEN 'parcels: missing'
+    WHEN json_type(j, '$.parcels') NOT IN ('UBIGINT', 'BIGINT') THEN 'parcels: not bigint'
+    WHEN CAST(json_extract(j, '$.parcels') AS BIGINT) < 1 THEN 'parcels: under 1'
+    WHEN CAST(json_extract(j, '$.parcels') AS BIGINT) > 4 THEN 'parcels: over 4'
+    WHEN json_type(j, '$.stop') IS NULL THEN 'stop: missing'
+    WHEN json_type(j, '$.stop.depot') IS NULL THEN 'stop.depot: missing'
+    WHEN json_type(j, '$.stop.open') IS NULL THEN 'stop.open: missing'
+    WHEN len(list_filter(CAST(json_extract(j, '$.lang') AS VARCHAR[]), lambda x: x NOT IN ('en', 'nl', 'sv'))) > 0 THEN 'lang[]: not a choice' END AS why FROM t)
+"""
+
+
+def _ticket_plan():
+    return order_mail_plan(TEST_DOMAIN).add("ticket", g.Structured("A ticket for order {{ o_orderkey }}.", response=_TICKET, schema=_TICKET_KIND,
+                                                                   rules=_TICKET_RULES))
+
+
+@register("gen_structured", _ticket_sql() + """
+SELECT o_orderkey, json_extract_string(j, '$.carrier') AS carrier, CAST(json_extract(j, '$.parcels') AS BIGINT) AS parcels,
+       json_extract_string(j, '$.stop.depot') AS depot, CAST(json_extract(j, '$.stop.open') AS BOOLEAN) AS open,
+       json_extract_string(j, '$.lang[0]') AS lang
+FROM w WHERE why IS NULL AND message IS NOT NULL
+""")
+def gen_structured(spark, sf_dir):
+    """Structured values that fit their declared schema."""
+    kept, _ = _ticket_plan().create_from(_base(spark, sf_dir), KEY, 42)
+    return kept.select(KEY, "ticket.carrier", "ticket.parcels", F.col("ticket.stop.depot").alias("depot"), F.col("ticket.stop.open").alias("open"),
+                       F.col("ticket.lang")[0].alias("lang"))
+
+
+@register("gen_structured_rejected", _ticket_sql() + """
+SELECT o_orderkey, coalesce('ticket: ' || why, '') AS reasons,
+       concat_ws(',', CASE WHEN message IS NULL THEN 'message' END, CASE WHEN why IS NOT NULL THEN 'ticket' END) AS failed_columns
+FROM w WHERE why IS NOT NULL OR message IS NULL
+""")
+def gen_structured_rejected(spark, sf_dir):
+    """Values that do not, with the first complaint."""
+    _, rejected = _ticket_plan().create_from(_base(spark, sf_dir), KEY, 42)
+    return rejected.select(KEY, F.array_join("reasons", ",").alias("reasons"), F.array_join("failed_columns", ",").alias("failed_columns"))
+
+
 @register("staff_email", f"""
 SELECT mail_id,
        {s.words('subject')}[1] AS first_word,
