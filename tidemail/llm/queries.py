@@ -81,6 +81,47 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 #: The words of decontamination, as SQL.
 _ITEM_WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
                r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+
+def _crc32(octets: str) -> str:
+    """SQL: the unsigned crc32 of a list of octets, a bit at a time (an octet is
+    followed by seven zeros, so that each item is one bit's step)."""
+    bits = f"flatten(list_transform({octets}, lambda o: [o, 0, 0, 0, 0, 0, 0, 0]))"
+    step = "xor(xor(c, o) >> 1, (xor(c, o) & 1) * 3988292384)"
+    return f"xor(list_reduce({bits}, lambda c, o: {step}, 4294967295::BIGINT), 4294967295)"
+
+
+#: Octets from hex digits; and those of a decimal.
+_OCTETS = "list_transform(regexp_extract_all({0}, '..'), lambda x: CAST('0x' || x AS BIGINT))"
+_DIGITS = "list_transform(string_split({0}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+
+
+def _tree_sql(nodes: str) -> str:
+    """SQL: levels (key, level, pos, digest) of the trees over ``nodes`` (key, pos,
+    digest), as the body of a recursive table named tree."""
+    return f"""
+SELECT key, 0 AS level, pos, digest, count(*) OVER (PARTITION BY key) AS n FROM {nodes}
+UNION ALL
+SELECT key, level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 7) // 8
+FROM {{0}} WHERE n > 1 GROUP BY key, level, pos // 8"""
+
+
+def _siblings_sql(tree: str) -> str:
+    """SQL: for each node of a tree below its root, the text before and after its
+    digest in its run."""
+    frame = "OVER (PARTITION BY key, level, pos // 8 ORDER BY pos ROWS BETWEEN {})"
+    return f"""SELECT key, level, pos, digest,
+       coalesce(string_agg(digest, '') {frame.format('UNBOUNDED PRECEDING AND 1 PRECEDING')}, '') AS before,
+       coalesce(string_agg(digest, '') {frame.format('1 FOLLOWING AND UNBOUNDED FOLLOWING')}, '') AS after FROM {tree} WHERE n > 1"""
+
+
+_LEAF = "sha256(concat({}))".format(", ".join(
+    "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')".format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")))
+#: Runs of one to three words of rows (r, w); a run past the end is null.
+_FEATURES = """SELECT r, f FROM (
+  SELECT r, x, x || ' ' || lead(x) OVER o AS y, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o AS z
+  FROM (SELECT r, unnest(w) AS x, unnest(range(len(w))) AS i FROM {}) WINDOW o AS (PARTITION BY r ORDER BY i)),
+  LATERAL (SELECT unnest([x, y, z]) AS f) WHERE f IS NOT NULL"""
 SQL: dict[str, str] = {"op1_quality_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
@@ -130,4 +171,43 @@ o AS (SELECT r, count(*) FILTER (WHERE gone) AS n_dropped,
 SELECT doc_id, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped, CAST(length(rest) AS BIGINT) AS chars_left,
        sha256(coalesce(rest, '')) AS text_sha256
 FROM d LEFT JOIN o USING (r)
+""", "op11_importance": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ITEM_WORDS} AS w FROM documents),
+b AS (SELECT row_number() OVER () AS r, {_ITEM_WORDS} AS w FROM benchmark),
+df AS ({_FEATURES.format('d')}), bf AS ({_FEATURES.format('b')}),
+code AS (SELECT f, {_crc32(_OCTETS.format('h'))} % 10000 AS bucket FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM df UNION SELECT f FROM bf))),
+dc AS (SELECT r, bucket, count(*) AS n FROM df JOIN code USING (f) GROUP BY r, bucket),
+s AS (SELECT bucket, sum(n) AS s FROM dc GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bf JOIN code USING (f) GROUP BY bucket),
+gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM s) + 10000) AS DOUBLE)
+    / CAST((s + 1) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000) AS DOUBLE))) AS BIGINT) AS g FROM s LEFT JOIN t USING (bucket)),
+m AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * g) AS BIGINT) AS weight FROM dc JOIN gain USING (bucket) GROUP BY r),
+x AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN m USING (r)),
+y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place,
+             count(*) OVER (PARTITION BY n_words >= 20) AS many FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * many // 100 THEN place END AS rank FROM z
+""", "op13_merkle": f"""
+WITH RECURSIVE f AS (SELECT row_number() OVER () AS r, doc_id, lang AS key, {_LEAF.format(text='text')} AS leaf,
+       CASE WHEN {_crc32(_DIGITS.format('CAST(doc_id AS VARCHAR)'))} % 3 = 0
+            THEN {_LEAF.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS other FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf, other) - 1 AS pos FROM f),
+base AS (SELECT key, pos, leaf AS digest FROM l),
+tree AS ({_tree_sql('base').format('tree')}),
+sub AS (SELECT key, digest FROM tree WHERE n = 1),
+tops AS (SELECT 0 AS key, row_number() OVER (ORDER BY key NULLS FIRST) - 1 AS pos, digest, key AS lang FROM sub),
+topbase AS (SELECT key, pos, digest FROM tops),
+toptree AS ({_tree_sql('topbase').format('toptree')}),
+root AS (SELECT digest AS root FROM toptree WHERE n = 1),
+sib AS ({_siblings_sql('tree')}), topsib AS ({_siblings_sql('toptree')}),
+step AS (SELECT r, level, before, after FROM l JOIN sib ON sib.key IS NOT DISTINCT FROM l.key AND sib.pos = l.pos // CAST(pow(8, level) AS BIGINT)
+         UNION ALL SELECT r, 1000 + level, before, after FROM l JOIN tops ON tops.lang IS NOT DISTINCT FROM l.key
+         JOIN topsib ON topsib.pos = tops.pos // CAST(pow(8, level) AS BIGINT)),
+path AS (SELECT r, list(before ORDER BY level) AS b, list(after ORDER BY level) AS a,
+                sha256(string_agg(before || after, '' ORDER BY level)) AS proof FROM step GROUP BY r),
+x AS (SELECT doc_id, leaf, sub.digest AS subroot, root, coalesce(proof, sha256('')) AS proof_sha256,
+             list_reduce(range(1, len(coalesce(b, [])) + 1), lambda h, i: sha256(b[i] || h || a[i]), coalesce(other, leaf)) AS folded
+      FROM l JOIN sub ON sub.key IS NOT DISTINCT FROM l.key CROSS JOIN root LEFT JOIN path USING (r))
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded AS folded_root, folded = root AS verified FROM x
 """}
