@@ -10,11 +10,12 @@ from tidemail.functions.text import tokens
 from tidemail.operators import pieces as pw
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+LETTERS = pw.byte_letters()
 
 
 def by_hand(word, pieces):
     """Longest match, tried from the longest piece down."""
-    letters = "".join(pw.byte_letters()[b] for b in word.encode()) if pieces.byte_level else word
+    letters = "".join(LETTERS[b] for b in word.encode()) if pieces.byte_level else word
     out, at = [], 0
     while at < len(letters):
         for end in range(len(letters), at, -1):
