@@ -260,3 +260,29 @@ def test_pipeline_runs_its_stages(spark):
     prints = [(d, brute.simhash(t)) for d, t in left.items()]
     assert all(d == c for d, c in brute.near_components(prints).items())
     assert re.fullmatch("[0-9a-f]{64}", next(iter(got.values())).ids_sha256)
+
+
+def test_lm_scores_do_not_depend_on_shards(spark, monkeypatch):
+    """A hot word holds half of all tokens; counts are added up a few bigrams at a time."""
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["hot", f"w{r.randint(0, 400)}"]) for _ in range(r.randint(0, 60))) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, key string, shard int")
+    digest = lambda df: sorted(map(str, [(*x[:5], round(x[5], 6), round(x[6], 6)) for x in df.collect()]))
+    whole = digest(lm_trie.score(docs, ~lm_trie.held_out()))
+    for size in (100, 700):
+        assert digest(lm_trie.score(docs.repartition(5), ~lm_trie.held_out(), shard_bytes=size)) == whole
+    monkeypatch.setattr(lm_trie, "PENDING", 3)
+    r = np.random.default_rng(1)
+    counts, plain = lm_trie.Counts(), collections.Counter()
+    for _ in range(40):
+        context, n = np.unique(r.integers(0, 9, 5).astype(np.uint64)), 3
+        m = {"context": context, "n_pairs": np.full(len(context), n), "word": np.sort(r.choice(50, (len(context), n)).astype(np.uint64)).ravel(),
+             "n_posts": np.ones(len(context) * n, int), "doc": np.zeros(len(context) * n, int), "times": r.integers(1, 4, len(context) * n),
+             "train": np.array([1])}
+        counts.add(m)
+        for c, w, k in zip(np.repeat(context, n), m["word"], m["times"]):
+            plain[int(c), int(w)] += int(k)
+        assert counts.pending <= max(3, counts.held)
+    trie, contexts, occurs = counts.trie()
+    assert dict(zip(contexts.tolist(), occurs.tolist())) == {c: sum(k for (a, _), k in plain.items() if a == c) for c, _ in plain}
+    assert trie.words.n == len(plain)

@@ -7,10 +7,12 @@ base's unigram estimate, and P(w) alone after an unseen h.  A text begins after
 a start mark and ends in an end token.
 
 N-grams are sharded by a hash of their context, so that everything about a
-context lies in one shard, and a shard holds a bounded share of the corpus
-however large it is.  Each block of texts sends a shard one compressed message:
-its distinct bigrams there, with the documents that hold them.  The shard's task
-builds a trie of two levels, writes it to one file and maps it into memory:
+context lies in one shard.  The number of shards follows from the measured bytes of
+text, ``SHARD_BYTES`` each, and a shard is one task.  Each block of texts sends a
+shard one compressed message: its distinct bigrams there, with the documents
+that hold them.  The shard's task puts its messages into a file of its own, adds up
+their bigram counts message by message, builds a trie of two levels, writes it to
+one file and maps it into memory:
 
 * contexts, as an Elias-Fano sequence of their hashes, with monotone pointers
   (Elias-Fano again) to their bigrams;
@@ -19,7 +21,7 @@ builds a trie of two levels, writes it to one file and maps it into memory:
   its context's own base inside its context's range;
 * log probabilities, quantised to 8 bits a level, codebooks by equal shares.
 
-The task then scores its messages and returns each document's part of the sums,
+The task then scores its messages, one at a time, and returns each document's part of the sums,
 unigram counts, and, for unseen bigrams, the words to look up.  Those are joined
 to the unigram table by a shuffle join.  Nothing grows on the driver.
 
@@ -37,7 +39,7 @@ import json
 import math
 import mmap
 import tempfile
-from itertools import groupby
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,9 @@ from pyspark.sql import functions as F
 from tidemail.llm.common import blocks, coded, row_crc_mod, split_words, text_of, written
 from tidemail.llm.elias_fano import EliasFano
 
+#: Bytes of text a shard stands for, and bigrams it adds up at once.
+SHARD_BYTES = 24 << 20
+PENDING = 1 << 20
 DISCOUNT = 0.75
 ALPHA = 0.1
 #: Hashes of the marks before and after a text; words hash with another seed.
@@ -106,22 +111,27 @@ def _messages(shards: int):
             post_doc, post_pair = doc[posts].astype(np.uint32), np.cumsum(new_pair)[posts] - 1
             pairs = pair[new_pair]
             first, second = hashes[pairs // v], hashes[pairs % v]
-            shard = (first % np.uint64(shards)).astype(np.int64)
             n_posts = np.bincount(post_pair, minlength=len(pairs)).astype(np.uint32)
+            # by shard, and in a shard by context and word as before; a pair's posts stay together
+            shard = (first % np.uint64(shards)).astype(np.int64)
+            by = np.argsort(shard, kind="stable")
+            first, second, n_of = first[by], second[by], n_posts[by]
+            post_at = (np.cumsum(n_posts.astype(np.int64)) - n_posts)[by]
+            bounds = np.searchsorted(shard[by], np.arange(shards + 1))
             key = (part << 40) + before
             before += b.num_rows
             train = b.column("train").to_numpy(zero_copy_only=False)
             out = [(-1, key, _pack(doc_id=pc.fill_null(b.column("doc_id"), 0).to_numpy(zero_copy_only=False),
                                    null=b.column("doc_id").is_null().to_numpy(zero_copy_only=False).astype(np.uint8),
                                    train=train.astype(np.uint8), n=n_words + 1))]
-            for s in range(shards):
-                mine = shard == s
-                if mine.any():
-                    p = mine[post_pair]
-                    a, c = first[mine], np.flatnonzero(np.concatenate([[True], np.diff(first[mine]) != 0]))
-                    out.append((s, key, _pack(context=a[c], n_pairs=np.diff(np.concatenate([c, [len(a)]])).astype(np.uint32),
-                                              word=second[mine], n_posts=n_posts[mine], doc=post_doc[p], times=times[p],
-                                              train=train.astype(np.uint8))))
+            for s in np.flatnonzero(np.diff(bounds)).tolist():
+                lo, hi = bounds[s], bounds[s + 1]
+                a, n = first[lo:hi], n_of[lo:hi].astype(np.int64)
+                c = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+                p = np.arange(int(n.sum())) + np.repeat(post_at[lo:hi] - (np.cumsum(n) - n), n)
+                out.append((s, key, _pack(context=a[c], n_pairs=np.diff(np.concatenate([c, [len(a)]])).astype(np.uint32),
+                                          word=second[lo:hi], n_posts=n_of[lo:hi], doc=post_doc[p], times=times[p],
+                                          train=train.astype(np.uint8))))
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary()))],
                                              names=["shard", "key", "message"])
     return run
@@ -197,24 +207,41 @@ class Trie:
         return value, seen
 
 
-def _train(parts: list[dict]) -> tuple[Trie, np.ndarray, np.ndarray]:
-    """The trie of a shard, its contexts and their counts in training."""
-    first, word, count = [], [], []
-    for m in parts:
+class Counts:
+    """Training counts of a shard's bigrams, added up message by message."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.pending = self.held = 0
+
+    def add(self, m: dict):
         pair = np.repeat(np.arange(len(m["word"])), m["n_posts"])
         n = np.bincount(pair, weights=m["times"] * m["train"][m["doc"]], minlength=len(m["word"])).astype(np.int64)
         has = n > 0
-        first.append(np.repeat(m["context"], m["n_pairs"])[has])
-        word.append(m["word"][has])
-        count.append(n[has])
-    first, word, count = np.concatenate(first), np.concatenate(word), np.concatenate(count)
-    contexts, c = np.unique(first, return_inverse=True)
-    vocabulary, w = np.unique(word, return_inverse=True)
-    code, where = np.unique(c.astype(np.int64) * max(1, len(vocabulary)) + w, return_inverse=True)
-    total = np.bincount(where, weights=count, minlength=len(code)).astype(np.int64)
-    c, w = code // max(1, len(vocabulary)), code % max(1, len(vocabulary))
-    occurs = np.bincount(c, weights=total, minlength=len(contexts)).astype(np.int64)
-    return Trie(c, vocabulary[w], total, occurs, contexts), contexts, occurs
+        self.parts.append((np.repeat(m["context"], m["n_pairs"])[has], m["word"][has], n[has]))
+        self.pending += int(has.sum())
+        if self.pending > max(PENDING, self.held):       # as many again as are held: each is added up a few times only
+            self.compact()
+
+    def compact(self):
+        if self.pending:
+            first, word, count = (np.concatenate(x) for x in zip(*self.parts))
+            self.parts.clear()
+            by = np.lexsort((word, first))
+            first, word, count = first[by], word[by], count[by]
+            new = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (word[1:] != word[:-1])]))
+            self.parts = [(first[new], word[new], np.add.reduceat(count, new))]
+            self.held, self.pending = len(new), 0
+
+    def trie(self) -> tuple[Trie, np.ndarray, np.ndarray]:
+        """The trie, its contexts and their counts."""
+        self.compact()
+        none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        first, word, count = self.parts.pop() if self.parts else none
+        contexts, c = np.unique(first, return_inverse=True)
+        del first
+        occurs = np.bincount(c, weights=count, minlength=len(contexts)).astype(np.int64)
+        return Trie(c, word, count, occurs, contexts), contexts, occurs
 
 
 _NAMES = ["kind", "key", "other", "n", "n_known", "base", "score"]
@@ -229,26 +256,35 @@ def _rows(kind, key, other=None, n=None, n_known=None, base=None, score=None):
     return pa.RecordBatch.from_arrays([pa.nulls(size, k) if c is None else pa.array(c, k) for c, k in zip(cols, _KINDS)], names=_NAMES)
 
 
-def _stream(batches):
-    for b in batches:
-        for s, k, m in zip(b.column("shard").to_pylist(), b.column("key").to_pylist(), b.column("message")):
-            yield s, k, m.as_py()
+def _messages_of(f, ends: list[int]) -> Iterator[dict]:
+    """The messages kept in a file, one at a time."""
+    f.seek(0)
+    for start, end in zip([0, *ends], ends):
+        yield _unpack(f.read(end - start))
 
 
 def _shard_task(batches):
-    for shard, group in groupby(_stream(batches), key=lambda r: r[0]):
-        if shard < 0:
-            for _, key, message in group:
+    """One shard's messages, and those of some documents."""
+    with tempfile.TemporaryFile() as f:
+        keys, ends, counts = [], [], Counts()
+        for b in batches:
+            for shard, key, message in zip(b.column("shard").to_pylist(), b.column("key").to_pylist(), b.column("message")):
+                message = message.as_buffer()
                 m = _unpack(message)
-                ids = pa.array(m["doc_id"], pa.int64(), mask=m["null"].astype(bool))
-                yield _rows(DOCUMENT, key + np.arange(len(ids)), ids, m["n"], m["train"].astype(np.int64))
-            continue
-        held = [(key, message) for _, key, message in group]
-        trie, contexts, occurs = _train([_unpack(m) for _, m in held])
+                if shard < 0:
+                    ids = pa.array(m["doc_id"], pa.int64(), mask=m["null"].astype(bool))
+                    yield _rows(DOCUMENT, key + np.arange(len(ids)), ids, m["n"], m["train"].astype(np.int64))
+                    continue
+                counts.add(m)
+                f.write(message)
+                keys.append(key)
+                ends.append(f.tell())
+        if not keys:
+            return
+        trie, contexts, occurs = counts.trie()
         real = contexts != np.uint64(START)
         yield _rows(UNIGRAM, contexts[real].view(np.int64), None, occurs[real])
-        for key, message in held:
-            m = _unpack(message)
+        for key, m in zip(keys, _messages_of(f, ends)):
             value, seen = trie.score(m["context"], m["n_pairs"], m["word"])
             at = np.searchsorted(contexts, m["context"])
             at = np.minimum(at, max(0, len(contexts) - 1))
@@ -267,16 +303,16 @@ def _shard_task(batches):
                 yield _rows(UNSEEN, key + doc[miss], m["word"][pair[miss]].view(np.int64), m["times"][miss].astype(np.int64))
 
 
-def score(docs: DataFrame, train: Column) -> DataFrame:
+def score(docs: DataFrame, train: Column, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Per row: doc_id, trains (its value of ``train``), n_tokens, n_known,
     train_tokens, base_score and score."""
-    spark = docs.sparkSession
-    shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(8, -(-size // shard_bytes))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(True)).alias("train"))
     messages = rows.mapInArrow(_messages(shards), "shard int, key long, message binary")
-    # documents' own messages go everywhere, a shard's to one task
-    place = F.when(F.col("shard") < 0, F.col("key")).otherwise(F.col("shard").cast("long"))
-    out = written(messages.repartition(shards, place).sortWithinPartitions("shard").mapInArrow(
+    # documents' own messages go everywhere, a shard's to the task of its number
+    place = F.when(F.col("shard") < 0, F.xxhash64("key") % shards).otherwise(F.col("shard").cast("long"))
+    out = written(messages.repartitionById(shards, F.pmod(place, F.lit(shards)).cast("int")).mapInArrow(
         _shard_task, "kind byte, key long, other long, n long, n_known long, base double, score double"), "lm")
     unigrams = out.where(F.col("kind") == UNIGRAM).select(F.col("key").alias("word"), F.col("n").alias("c"))
     documents = out.where(F.col("kind") == DOCUMENT).select("key", F.col("other").alias("doc_id"), F.col("n").alias("n_tokens"),
