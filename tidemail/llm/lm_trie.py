@@ -54,8 +54,10 @@ from tidemail.llm.common import blocks, coded, row_crc_mod, split_words, text_of
 from tidemail.llm.elias_fano import EliasFano
 
 #: Bytes of text a shard stands for, and bigrams it adds up at once.
-SHARD_BYTES = 24 << 20
-PENDING = 1 << 20
+SHARD_BYTES = 16 << 20
+PENDING = 1 << 19
+#: Bytes of text a task cuts into messages at once.
+MESSAGE_BYTES = 3 << 20
 DISCOUNT = 0.75
 ALPHA = 0.1
 #: Hashes of the marks before and after a text; words hash with another seed.
@@ -87,7 +89,7 @@ def _messages(shards: int):
     """Per block: one message a shard, and one (shard -1) of its documents."""
     def run(batches):
         part, before = TaskContext.get().partitionId(), 0
-        for b in blocks(batches, "text", 12 << 20):
+        for b in blocks(batches, "text", MESSAGE_BYTES):
             flat, off = split_words(pc.ascii_lower(text_of(b)))
             index, values = coded(flat)
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, values.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.uint64, len(values))
