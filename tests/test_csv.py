@@ -72,6 +72,38 @@ def test_corpus_headers_per_file(spark, tmp_dir):
     assert counts[(None, True)] == 3 and counts[(a, False)] == 2
 
 
+def test_corpus_of_many_files_is_one_scan(spark, tmp_dir):
+    heads = [["subject", "body", "label"], ["label", "body"], ["x", "body", "odd name, quoted", "label", "subject"]]
+    want = []
+    for i in range(300):
+        head = heads[i % 3]
+        values = {"subject": f"s{i}", "body": f"b{i}", "label": str(i % 2), "x": "NA", "odd name, quoted": ""}
+        quoted = [f'"{c}"' if "," in c else c for c in head]
+        bad = ",".join(["1"] * (len(head) + 1 + i % 4))            # too many fields, also as many as the widest file has
+        write(os.path.join(tmp_dir, f"d{i % 2}", f"f {i}.csv"), "\n".join([",".join(quoted), ",".join(values[c] for c in head), bad, ""]))
+        want.append(((f"s{i} " if "subject" in head else "") + f"b{i}", i % 2, f"d{i % 2}"))
+    write(os.path.join(tmp_dir, "d0", "empty.csv"), "")
+    write(os.path.join(tmp_dir, "d0", "_hidden.csv"), "nothing")
+    c = cs.read_corpus(spark, [os.path.join(tmp_dir, "d0"), os.path.join(tmp_dir, "d1")])
+    assert sorted((r["text"], r["label"], r["source"].rsplit("/", 1)[1]) for r in c.collect()) == sorted(want)
+    plan = c._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Union" not in plan
+
+
+def test_corpus_files_must_fit(spark, tmp_dir):
+    write(os.path.join(tmp_dir, "a.csv"), "subject,label\nx,1\n")
+    with pytest.raises(ValueError, match="no body column"):
+        cs.read_corpus(spark, [os.path.join(tmp_dir, "a.csv")])
+    write(os.path.join(tmp_dir, "b.csv"), "subject,body\nx,1\n")
+    with pytest.raises(ValueError, match="no label column"):
+        cs.read_corpus(spark, [os.path.join(tmp_dir, "b.csv")])
+    with pytest.raises(FileNotFoundError):
+        cs.read_corpus(spark, [os.path.join(tmp_dir, "none.csv")])
+    write(os.path.join(tmp_dir, "c.csv"), '"a\nlong ""header""",body,label\n1,"two\nlines",0\n2\n')
+    got = cs.read_corpus(spark, [os.path.join(tmp_dir, "c.csv")]).collect()
+    assert sorted((r["text"], r["label"]) for r in got) == [("", None), ("two\nlines", 0)]
+
+
 def test_merge_index(spark, tmp_dir):
     df = spark.createDataFrame([(i, f"v{i}") for i in range(20)], "k long, v string").repartition(3)
     cs.write_csv_parts(df, os.path.join(tmp_dir, "p"))

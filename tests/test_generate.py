@@ -224,3 +224,94 @@ def test_rejects_evaluate_each_draw_once(spark):
     kept, lost = plan.create_from(base, "k", 5)
     draws = [d._jdf.queryExecution().optimizedPlan().toString().count("md5(") for d in (kept, lost)]
     assert draws[1] <= draws[0]
+
+
+def _counting(folder, fail_at=None):
+    """A generator that notes every call; a mistake in its code ends the task at one prompt."""
+    import os
+    import uuid
+
+    def factory(how):
+        def fn(prompt):
+            if prompt == fail_at:
+                raise TypeError("half-way")
+            with open(os.path.join(folder, uuid.uuid4().hex), "w") as f:
+                f.write(prompt)
+            return None if prompt.endswith("3") else prompt.upper()
+        return fn
+    return factory
+
+
+def test_journal_a_lost_task_or_rerun_does_not_call_again(spark, tmp_path):
+    import os
+    from collections import Counter
+
+    from tidemail.plans.journal import Journal
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def asked():
+        return Counter(open(calls / f).read() for f in os.listdir(calls))
+
+    def plan(fail_at=None, temperature=0.9):
+        return g.Plan().add("t", g.Text("row {{ row_id }}", generator=_counting(str(calls), fail_at), max_parallel=1, temperature=temperature))
+    path = str(tmp_path / "journal")
+    with pytest.raises(Exception, match="half-way"):
+        plan("row 25").create(spark, 40, seed=1, num_partitions=1, journal=Journal(path, every=4))
+    assert asked() == Counter(f"row {i}" for i in range(25))
+    kept, lost = plan().create(spark, 40, seed=1, num_partitions=3, journal=Journal(path, every=4))
+    # of 25 answers only the last one was not yet written; three failed calls (3, 13, 23) are asked again
+    assert asked() == Counter(f"row {i}" for i in range(40)) + Counter(["row 24", "row 3", "row 13", "row 23"])
+    want = {i: f"ROW {i}" for i in range(40) if i % 10 != 3}
+    assert {r.row_id: r.t for r in kept.collect()} == want and {r.row_id for r in lost.collect()} == {3, 13, 23, 33}
+    plan().create(spark, 40, seed=1, num_partitions=2, journal=Journal(path))
+    assert sum(asked().values()) == 44 + 4
+    plan(temperature=0.1).create(spark, 2, seed=1, journal=Journal(path))           # other settings are other calls
+    assert sum(asked().values()) == 44 + 4 + 2
+
+
+def test_journal_of_a_task_run_again(tmp_path):
+    from tidemail.plans.journal import Journal
+    journal = Journal(str(tmp_path / "j"))
+    first = journal.task("t", 3)
+    first.write({"a": "A"})
+    first.write({})
+    first.write({"b": "B"})
+    assert journal.task("t", 3).held == {"a": "A", "b": "B"} and journal.task("t", 4).held == {}
+    assert Journal(str(tmp_path / "j")).task("t", 3).held == {}
+
+
+def test_table_values_draw_like_lists(spark):
+    """10,000 weighted values: the draws of a list, shares within 3 sigma, a plan that does not grow."""
+    rows = [(i, 1 + (i * 7) % 5) for i in range(10_000)]
+    sizes = []
+    for n in (40, 10_000):
+        table = spark.createDataFrame(rows[:n] + [(-1, 0), (None, 9)], "v int, w int")
+        out = g.Plan().add("c", g.CategoryTable(table, "v", "w")).create(spark, 30_000, seed=3)[0]
+        sizes.append(len(out._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+        if n == 40:
+            lists = g.Plan().add("c", g.Category([v for v, _ in rows[:n]], [w for _, w in rows[:n]])).create(spark, 30_000, seed=3)[0]
+            assert sorted(map(tuple, out.collect())) == sorted(map(tuple, lists.collect()))
+    assert sizes[0] == sizes[1]
+    counts = {r.w: r.n for r in out.join(table, out.c == table.v).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    assert sum(counts.values()) == 30_000
+    for w in range(1, 6):
+        p = w / 15                                         # 2,000 values of each weight
+        assert abs(counts[w] - 30_000 * p) < 3 * math.sqrt(30_000 * p * (1 - p)) + 1
+    with pytest.raises(g.PlanError, match="no column"):
+        g.Plan().add("c", g.CategoryTable(table, "nope")).validate()
+    with pytest.raises(g.PlanError, match="0 values"):
+        g.Plan().add("c", g.CategoryTable(table.limit(0), "v")).create(spark, 3)
+
+
+def test_table_subcategories_and_repeated_values(spark):
+    lists = {"a": ["x", "y", "z"], "b": ["q"]}
+    table = spark.createDataFrame([(k, v) for k, vs in lists.items() for v in vs], "k string, v string")
+    plan = lambda sub: g.Plan().add("p", g.Category(["a", "b", "none"])).add("s", sub)
+    kept, lost = plan(g.SubcategoryTable("p", table, "k", "v")).create(spark, 600, seed=2)
+    want = [r for r in plan(g.Subcategory("p", lists | {"none": ["?"]})).create(spark, 600, seed=2)[0].collect()]
+    assert sorted(map(tuple, kept.collect())) == sorted(tuple(r) for r in want if r.p != "none")
+    assert lost.count() == sum(r.p == "none" for r in want)
+    twice = spark.createDataFrame([("a", 1), ("b", 3), ("a", 2)], "v string, w int")
+    got = g.Plan().add("c", g.CategoryTable(twice, "v", "w")).create(spark, 500, seed=4)[0].collect()
+    assert [tuple(r) for r in sorted(got)] == [tuple(r) for r in sorted(g.Plan().add("c", g.Category(["a", "b"], [3, 3])).create(spark, 500, seed=4)[0].collect())]

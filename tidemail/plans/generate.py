@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,7 @@ from tidemail.functions import json_schema as js
 from tidemail.functions.rand import uniform
 from tidemail.functions.templates import Template
 from tidemail.operators.rows import keep_rows  # noqa: F401  (re-exported)
+from tidemail.plans.journal import Journal, call_digest
 
 
 class PlanError(ValueError):
@@ -114,6 +115,89 @@ class Subcategory:
         return F.element_at(arr, (F.floor(u * F.size(arr)) + 1).cast("int"))
 
 
+#: Most rows of a table of values (its cumulative weights are one window).
+MAX_VALUES = 5_000_000
+
+
+def _bounded(table: DataFrame, name: str) -> int:
+    n = table.count()
+    if not 0 < n <= MAX_VALUES:
+        raise PlanError(f"{name}: a table of {n} values; it must have 1 to {MAX_VALUES}")
+    return n
+
+
+@dataclass
+class CategoryTable:
+    """G1/G2 with the values in a table: drawn uniformly or by ``weight``.
+
+    The draws are those of :class:`Category` with the values in ascending order, but
+    the plan does not grow with them.  Each value holds an interval of [0, 1); a
+    guide of as many equal cells as there are values names the values of each
+    cell, so a row meets the few of its cell in an equi-join and keeps the one that
+    holds its draw.  Draws are uniform over the cells, so no cell is hot; adaptive
+    execution broadcasts the guide where it is measured to be small."""
+    table: DataFrame
+    value: str
+    weight: str | None = None
+    kind: str = "category"
+
+    def refs(self):
+        return set()
+
+    def validate(self, name: str):
+        for c in (self.value, self.weight):
+            if c is not None and c not in self.table.columns:
+                raise PlanError(f"{name}: no column {c} in its table")
+
+    def attach(self, df: DataFrame, name: str, u: Column) -> DataFrame:
+        weight = F.lit(1) if self.weight is None else F.col(self.weight)
+        # a value listed twice has the sum of its weights; without weight it is not drawn
+        values = (self.table.select(F.col(self.value).alias("__value"), weight.alias("__w"))
+                  .groupBy("__value").agg(F.sum("__w").alias("__w")).filter((F.col("__w") > 0) & F.col("__value").isNotNull()))
+        n = _bounded(values, name)
+        order = Window.orderBy("__value")
+        upto = F.sum("__w").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("double")
+        total = F.sum("__w").over(Window.partitionBy()).cast("double")
+        held = (values.withColumns({"__upto": upto, "__total": total})
+                .select("__value", (F.coalesce(F.lag("__upto").over(order), F.lit(0.0)) / F.col("__total")).alias("__low"),
+                        (F.col("__upto") / F.col("__total")).alias("__high")))
+        cell = lambda x: F.floor(x * F.lit(float(n))).cast("bigint")  # noqa: E731 — rises with x, so a draw's cell is among its value's
+        guide = held.withColumn("__cell", F.explode(F.sequence(cell(F.col("__low")), F.least(cell(F.col("__high")), F.lit(n - 1).cast("bigint")))))
+        drawn = df.withColumn("__u", u).withColumn("__at", cell(F.col("__u")))
+        met = drawn.join(guide, (F.col("__at") == F.col("__cell")) & (F.col("__u") >= F.col("__low")) & (F.col("__u") < F.col("__high")), "left")
+        return met.select(*df.columns, F.col("__value").alias(name))
+
+
+@dataclass
+class SubcategoryTable:
+    """G3 with the lists in a table: a value drawn uniformly from the rows whose
+    ``parent_column`` is the parent's value; null, so a rejected row, where there are
+    none.  Values are numbered in ascending order within their parent."""
+    parent: str
+    table: DataFrame
+    parent_column: str
+    value: str
+    kind: str = "subcategory"
+
+    def refs(self):
+        return {self.parent}
+
+    def validate(self, name: str):
+        for c in (self.parent_column, self.value):
+            if c not in self.table.columns:
+                raise PlanError(f"{name}: no column {c} in its table")
+
+    def attach(self, df: DataFrame, name: str, u: Column) -> DataFrame:
+        values = self.table.select(F.col(self.parent_column).alias("__parent"), F.col(self.value).alias("__value"))
+        _bounded(values, name)
+        numbered = values.withColumn("__i", F.row_number().over(Window.partitionBy("__parent").orderBy("__value")) - 1)
+        sizes = values.groupBy("__parent").agg(F.count(F.lit(1)).alias("__size"))
+        drawn = df.withColumn("__u", u).join(sizes, F.col(self.parent) == F.col("__parent"), "left").drop("__parent")
+        drawn = drawn.withColumn("__at", F.floor(F.col("__u") * F.col("__size")).cast("int"))
+        met = drawn.join(numbered, (F.col(self.parent) == F.col("__parent")) & (F.col("__at") == F.col("__i")), "left")
+        return met.select(*df.columns, F.col("__value").alias(name))
+
+
 @dataclass
 class Uniform:
     """Number in [low, high]; ``convert_to='int'`` rounds to an integer."""
@@ -405,8 +489,10 @@ class Plan:
         return [s.name for s in self.specs if s.drop]
 
     # G11
-    def build(self, base: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    def build(self, base: DataFrame, key: str, seed: int = 42, journal: Journal | None = None) -> DataFrame:
         """All columns (helpers included) on top of ``base``; no rows dropped.
+        With a ``journal``, calls of external generators that it knows are not
+        made again.
         A structured column has its complaint beside it (``__why_<name>``).
 
         Columns are added one dependency level at a time — all specs whose
@@ -426,7 +512,10 @@ class Plan:
                 smp = s.sampler
                 if isinstance(smp, Text) and smp.generator is not None:
                     df = df.withColumn(f"__prompt_{s.name}", smp.prompt_column())
-                    df = _generate_text(df, s.name, smp)
+                    df = _generate_text(df, s.name, smp, key, journal)
+                    continue
+                if isinstance(smp, (CategoryTable, SubcategoryTable)):
+                    df = smp.attach(df, s.name, uniform(seed, s.name, keycol))
                     continue
                 ctx = {"name": s.name, "seed": seed, "key": keycol}
                 batch[s.name] = smp.column(uniform(seed, s.name, keycol), ctx)
@@ -442,7 +531,7 @@ class Plan:
         return df
 
     def create_from(self, base: DataFrame, key: str, seed: int = 42,
-                    keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+                    keep: list[str] | None = None, journal: Journal | None = None) -> tuple[DataFrame, DataFrame]:
         """One generated record per row of ``base`` (row id = ``key``).
 
         Returns ``(table, rejected)``: rows with a null generated column are
@@ -450,7 +539,7 @@ class Plan:
         columns dropped.  ``rejected`` has ``failed_columns`` and, where columns are
         structured, ``reasons`` (``column: complaint``).
         """
-        full = self.build(base, key, seed)
+        full = self.build(base, key, seed, journal)
         if any(isinstance(s.sampler, Text) and s.sampler.generator is not None for s in self.specs):
             # calls are costly and need not repeat themselves: both outputs read the rows written once
             from tidemail.session import scratch_path
@@ -474,30 +563,63 @@ class Plan:
         return table, rejected
 
     def create(self, spark: SparkSession, n: int, seed: int = 42,
-               num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+               num_partitions: int | None = None, journal: Journal | None = None) -> tuple[DataFrame, DataFrame]:
         """``n`` records with ids ``0..n-1`` from ``spark.range``."""
         base = spark.range(0, n, 1, num_partitions).withColumnRenamed("id", "row_id")
-        return self.create_from(base, "row_id", seed)
+        return self.create_from(base, "row_id", seed, journal=journal)
 
     def preview(self, spark: SparkSession, n: int = 10, seed: int = 42) -> DataFrame:
         """O2: the first ``n`` records, generated directly (not a limit of a full job)."""
         return self.create(spark, n, seed, num_partitions=1)[0]
 
 
-def _generate_text(df: DataFrame, name: str, smp: Text) -> DataFrame:
+def _generate_text(df: DataFrame, name: str, smp: Text, key: str, journal: Journal | None) -> DataFrame:
     """Fill column ``name`` by calling the external generator per batch."""
-    schema = T.StructType(df.schema.fields + [T.StructField(name, T.StringType())])
     factory, parallel, timeout = smp.generator, max(1, smp.max_parallel), smp.timeout
     how = Inference(smp.system_prompt, smp.temperature, smp.top_p, smp.max_tokens)
-    pcol = f"__prompt_{name}"
+    pcol, call, known = f"__prompt_{name}", f"__call_{name}", f"__known_{name}"
+    if journal is None:
+        schema = T.StructType(df.schema.fields + [T.StructField(name, T.StringType())])
 
-    def run(batches):
-        fn = factory(how)  # one client per task
-        for pdf in batches:
-            pdf[name] = call_all(fn, pdf[pcol].tolist(), parallel, timeout)
-            yield pdf
+        def run(batches):
+            fn = factory(how)  # one client per task
+            for pdf in batches:
+                pdf[name] = call_all(fn, pdf[pcol].tolist(), parallel, timeout)
+                yield pdf
 
-    return df.mapInPandas(run, schema).drop(pcol)
+        return df.mapInPandas(run, schema).drop(pcol)
+
+    schema = T.StructType(df.schema.fields + [T.StructField(name, T.StringType())])
+    asked = df.withColumn(call, call_digest(name, how, F.col(key), F.col(pcol)))
+    held = journal.answers(df.sparkSession, name)
+    if held is None:
+        asked = asked.withColumn(known, F.lit(None).cast("string"))
+    else:
+        asked = asked.join(held.select(F.col("call").alias("__c"), F.col("answer").alias(known)), F.col(call) == F.col("__c"), "left").drop("__c")
+
+    def recorded(batches):
+        from pyspark import TaskContext
+        fn, mine = None, journal.task(name, TaskContext.get().partitionId())
+        for pdf in batches:
+            out = [None if k is None or k != k else k for k in pdf[known].tolist()]
+            calls, prompts = pdf[call].tolist(), pdf[pcol].tolist()
+            todo = []
+            for i, c in enumerate(calls):
+                if out[i] is None and c is not None:
+                    if c in mine.held:
+                        out[i] = mine.held[c]
+                    else:
+                        todo.append(i)
+            fn = fn or (factory(how) if todo else None)
+            for at in range(0, len(todo), journal.every):
+                some = todo[at:at + journal.every]
+                for i, text in zip(some, call_all(fn, [prompts[i] for i in some], parallel, timeout)):
+                    out[i] = text
+                mine.write({calls[i]: out[i] for i in some if out[i] is not None})
+            pdf[name] = out
+            yield pdf.drop(columns=[call, known])
+
+    return asked.mapInPandas(recorded, schema).drop(pcol)
 
 
 def call_all(fn, prompts: list[str | None], parallel: int, timeout: float) -> list[str | None]:

@@ -15,7 +15,7 @@ from tidemail.functions import text as tx
 from tidemail.functions import verdict as vd
 from tidemail.operators import metrics, sampling
 from tidemail.operators.model import TrainParams, score, train
-from tidemail.session import scratch_path
+from tidemail.session import checkpoint_dir, scratch_path
 from tidemail.sources.csv import with_text
 
 VERDICT_COLS = ["phish", "accuracy", "trusted"]
@@ -57,23 +57,12 @@ def evaluate(model: PipelineModel, df: DataFrame, key: str, test_fraction: float
             "report": metrics.classification_report(ev, "y_true", "prediction")}
 
 
-# (application id, model key) -> path of the saved model in the shared folder
-_SAVED: dict[tuple[str, str], str] = {}
-
-
-def trained_model(spark, key: str, train_fn) -> PipelineModel:
-    """Train once, serve many (S10): the first call for ``key`` in a session
-    trains and saves the model to the shared checkpoint folder; later calls
-    load it from there, as evaluation and serving load the saved model."""
+def trained_model(spark, data: DataFrame, params, train_fn) -> PipelineModel:
+    """Train once, serve many (S10): the model of these training rows and
+    parameters, from the store in the shared folder; trained where it is not there."""
+    from tidemail.plans.model_store import ModelStore
     from tidemail.sources.sinks import load_model, save_model
-    k = (spark.sparkContext.applicationId, key)
-    if k in _SAVED:
-        return load_model(_SAVED[k])
-    model = train_fn()
-    path = scratch_path(spark, "model")
-    save_model(model, path)
-    _SAVED[k] = path
-    return model
+    return ModelStore(spark, f"{checkpoint_dir(spark)}/models").train_once("logistic", data, params, train_fn, save_model, load_model)
 
 
 def train_split(df: DataFrame, key: str, params: TrainParams | None = None, test_fraction: float = 0.2,

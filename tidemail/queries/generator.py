@@ -225,6 +225,28 @@ def gen_structured_rejected(spark, sf_dir):
     return rejected.select(KEY, F.array_join("reasons", ",").alias("reasons"), F.array_join("failed_columns", ",").alias("failed_columns"))
 
 
+def _lookup_plan(spark, sf_dir):
+    return (g.Plan().add("part", g.CategoryTable(table(spark, sf_dir, "part"), "p_partkey", "p_size"))
+            .add("nation", g.CategoryTable(table(spark, sf_dir, "supplier"), "s_nationkey"))
+            .add("supplier", g.SubcategoryTable("nation", table(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey")))
+
+
+@register("gen_lookup", f"""
+WITH o AS (SELECT o_orderkey, {_u('part')} AS u1, {_u('nation')} AS u2, {_u('supplier')} AS u3 FROM orders),
+pv AS (SELECT p_partkey AS v, CAST(sum(p_size) OVER (ORDER BY p_partkey) AS DOUBLE) / CAST(sum(p_size) OVER () AS DOUBLE) AS high FROM part),
+nc AS (SELECT s_nationkey AS v, count(*) AS n FROM supplier GROUP BY ALL),
+nv AS (SELECT v, CAST(sum(n) OVER (ORDER BY v) AS DOUBLE) / CAST(sum(n) OVER () AS DOUBLE) AS high FROM nc),
+sv AS (SELECT s_nationkey AS parent, list(s_suppkey ORDER BY s_suppkey) AS vs FROM supplier GROUP BY ALL),
+a AS (SELECT o.*, pv.v AS part FROM o ASOF JOIN pv ON o.u1 < pv.high),
+b AS (SELECT a.*, nv.v AS nation FROM a ASOF JOIN nv ON a.u2 < nv.high)
+SELECT o_orderkey, part, nation, vs[CAST(floor(u3 * len(vs)) AS BIGINT) + 1] AS supplier FROM b JOIN sv ON parent = nation
+""")
+def gen_lookup(spark, sf_dir):
+    """G2, G3 from tables: a part by its size, a nation by its suppliers, one of these."""
+    kept, _ = _lookup_plan(spark, sf_dir).create_from(_base(spark, sf_dir).select(KEY), KEY, 42)
+    return kept
+
+
 @register("staff_email", f"""
 SELECT mail_id,
        {s.words('subject')}[1] AS first_word,

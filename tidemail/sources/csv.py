@@ -4,7 +4,7 @@ S1  :func:`read_mail_csv`  header, UTF-8, quoted multi-line fields; rows with
     *too many* fields are skipped, rows with too few are null-padded, blank
     lines are skipped.
 S2  :func:`na_tokens_to_null`  pandas' default missing-value strings → null.
-S3  :func:`read_corpus`  many files, header resolved per file, then union.
+S3  :func:`read_corpus`  many files in one scan, each by its own header.
 S5  :func:`write_csv_parts`  one CSV part per partition, no index.
 S6  :func:`merge_csv`  re-read parts, add a leading unnamed 0-based index
     (distributed row index, explicit order key), write.
@@ -16,6 +16,9 @@ Parquet right after ingest (:func:`ingest_to_parquet`) before heavy work.
 
 from __future__ import annotations
 
+import csv
+import io
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,12 +100,80 @@ def union_sources(dfs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
 
 
+def file_headers(spark: SparkSession, paths: list[str], threads: int = 16) -> list[tuple[str, str, list[str]]]:
+    """``(path, file, header)`` of every data file under the given files or
+    folders.  Only the beginning of a file is read, through the session's own file
+    systems; files without a header line are left out."""
+    from concurrent.futures import ThreadPoolExecutor
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def files(path: str) -> list:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        found = fs.globStatus(p)
+        if not found:
+            raise FileNotFoundError(path)
+        out = []
+        for s in found:
+            out += [x for x in fs.listStatus(s.getPath()) if x.isFile()] if s.isDirectory() else [s]
+        return [(path, s.getPath()) for s in out if s.getLen() and s.getPath().getName()[0] not in "._"]
+
+    def header(given) -> tuple[str, str, list[str]] | None:
+        path, place = given
+        size = 1 << 14
+        while True:
+            stream = place.getFileSystem(conf).open(place)
+            try:
+                raw = bytes(stream.readNBytes(size))
+            finally:
+                stream.close()
+            # whole when a line ends outside quotes, or with the file
+            lines = raw.decode("utf-8-sig", errors="ignore").lstrip("\r\n")
+            end = next((m.end() for m in re.finditer(r"[\r\n]", lines) if lines.count('"', 0, m.start()) % 2 == 0), None)
+            if end or len(raw) < size:
+                row = next(csv.reader(io.StringIO(lines[:end], newline="")), None)
+                return (path, re.sub("^file:/+", "file:/", place.toUri().toString()), row) if row else None
+            size *= 8
+
+    listed = [f for p in paths for f in files(p)]
+    with ThreadPoolExecutor(threads) as pool:
+        return [h for h in pool.map(header, listed) if h]
+
+
 def read_corpus(spark: SparkSession, paths: list[str], label_type: str = "int",
                 source_col: str = "source") -> DataFrame:
-    """S3: one scan per file (own header), P1–P4 per file, then U1."""
-    parts = [training_table(read_mail_csv(spark, p), label_type).withColumn(source_col, F.lit(p))
-             for p in paths]
-    return union_sources(parts)
+    """All files in one scan, each read by its own header.
+
+    The scan takes fields by place; a table with a row for each file says in which
+    place its ``subject``, ``body`` and ``label`` stand and how many fields it has.
+    Files with the bodies alone and files with subjects too, in any order of
+    columns, so share one plan that does not grow with them."""
+    heads = file_headers(spark, paths)
+    if not heads:
+        raise FileNotFoundError(f"no CSV file with a header under {paths}")
+    for path, file, head in heads:
+        for needed in ("body", "label"):
+            if needed not in head:
+                raise ValueError(f"{file}: no {needed} column, only {head}")
+    width = max(len(h) for _, _, h in heads)
+    kind = "__file string, __source string, __subject int, __body int, __label int, __fields int"
+    table = spark.createDataFrame([(file, path, h.index("subject") if "subject" in h else None, h.index("body"), h.index("label"), len(h))
+                                   for path, file, h in heads], kind)
+    names = [f"_c{i}" for i in range(width)]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
+    files = sorted({path for path, _, _ in heads})
+    raw = spark.read.options(**READ_OPTS).schema(schema).csv(files)
+    raw = raw.select(F.array(*names).alias("__values"), CORRUPT, F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("__at"))
+    # one row a file: small next to the data, and broadcast where it is measured to be
+    met = raw.join(table, F.col("__at") == F.col("__file"))
+    unquoted = F.regexp_replace(F.col(CORRUPT), _QUOTED, "")
+    commas = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit("")))
+    # a record as wide as the scan is not corrupt to it, but may be too wide for its file
+    too_many = F.coalesce(commas, F.lit(width - 1)) >= F.col("__fields")
+    value = lambda c: na_to_null(F.get("__values", F.col(c)), NA_TOKENS)
+    text = F.when(F.col("__subject").isNotNull(), training_text(value("__subject"), value("__body"))).otherwise(body_text(value("__body")))
+    label = value("__label").try_cast("double").try_cast(label_type)
+    return met.filter(~too_many).select(text.alias("text"), label.alias("label"), F.col("__source").alias(source_col))
 
 
 def ingest_to_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
