@@ -60,6 +60,16 @@ def row_crc_mod(col: str, mod: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(mod)), F.lit(-1))
 
 
+def sampled(docs: DataFrame, n: int, rows: int) -> DataFrame:
+    """About ``rows`` of the ``n`` rows (all, if there are no more), chosen by a
+    hash of doc_id and text, so that rows without a doc_id, or of one, are
+    thinned like others.  Copies of one row fall together; a hard limit of twice as
+    many rows holds then."""
+    if n <= rows:
+        return docs
+    return docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(rows / n * (1 << 30))).limit(2 * rows)
+
+
 # ---------------------------------------------------------------- Arrow text
 
 def blocks(batches: Iterable[pa.RecordBatch], column: str = "text",
