@@ -205,15 +205,20 @@ def samples(docs: DataFrame, labels: DataFrame, sample_rows: int, pool_rows: int
     half = sample_rows / 2
     rate = [min(1.0, max(half, sample_rows - other) / max(n, 1)) for n, other in ((n0, n1), (n1, n0))]
     rate = F.when(~labelled, min(1.0, pool_rows / max(pool, 1))).when(good, rate[1]).otherwise(rate[0])
-    chosen = each.where(fits | ~labelled).select("doc_id", "label", "fold", rate.alias("rate"))
+    chosen = each.where(fits | ~labelled).select("doc_id", "label", "fold", rate.alias("rate"), "n")
     return (chosen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < (F.col("rate") * (1 << 30)).cast("long")),
             0.5 if prior is None else prior)
 
 
 def train(docs: DataFrame, labels: DataFrame, rounds: int = 2, confident: float = 0.95, pseudo_weight: float = 0.3,
-          sample_rows: int = 10_000, pool_rows: int = 10_000) -> CoTrained:
+          sample_rows: int = 10_000, pool_rows: int = 10_000, id_rows: int = 4) -> CoTrained:
     chosen, prior = samples(docs, labels, sample_rows, pool_rows)
     sample = docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(chosen), "doc_id")
+    # of a doc_id of many rows about ``id_rows`` are taken, by a hash of their text; weights make up for it
+    thin = F.least(F.lit(1.0), F.lit(float(id_rows)) / F.col("n"))
+    sample = sample.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) < (thin * (1 << 30)).cast("long")).withColumn("rate", F.col("rate") * thin).drop("n")
+    # and never more, where these rows are copies of each other
+    sample = sample.limit(2 * (sample_rows + pool_rows))
     schema = T.StructType([sample.schema["doc_id"], *T.StructType.fromDDL(
         "label double, rate double, fold int, at array<int>, value array<float>, meta array<int>").fields])
     rows = written(sample.mapInArrow(_features, schema), "co-training")
