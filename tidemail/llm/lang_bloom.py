@@ -129,14 +129,19 @@ class Filters:
         return np.array(each).reshape(len(self.langs), n_words), np.bincount(owner, minlength=n_words)
 
 
-def train(docs: DataFrame, min_share: float = 1e-5, spread: float = 8.0, max_rows: int = 20_000) -> Filters:
+def train(docs: DataFrame, min_share: float = 1e-5, spread: float = 8.0, max_rows: int = 20_000, each_rows: int = 500) -> Filters:
     """Filters from the text and non-null lang of about ``max_rows`` labelled
-    rows (all, if there are no more), chosen by a hash of doc_id.  What reaches
-    the driver is at most 1 / min_share n-grams for each language."""
+    rows (all, if there are no more), chosen by a hash of doc_id and text, and of at
+    least about ``each_rows`` rows of each language, so that a rare language of a
+    large corpus has a filter too.  What reaches the driver is at most
+    1 / min_share n-grams for each language."""
     rows = docs.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    n = rows.count()
+    rows_of = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    n = sum(rows_of.values())
     if n > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
+        rate = {l: int(min(1.0, max(max_rows / n, each_rows / k)) * (1 << 30)) for l, k in rows_of.items()}
+        under = F.element_at(F.create_map(*[F.lit(x) for kv in rate.items() for x in kv]), F.col("lang"))
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < under)
     rows = rows.select("text", "lang")
     counts = rows.mapInArrow(_counter, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = written(counts, "ngrams")
