@@ -233,22 +233,24 @@ def links(prints: DataFrame, distance: int = 4, bucket_rows: int = 8192, block_r
              .select("bucket", F.least(F.lit(widest), F.ceil(F.log2(F.col("count") / bucket_rows))).cast("int").alias("bits")))
     rows = (rows.join(F.broadcast(heavy), "bucket", "left")
             .withColumn("home", F.expr("CASE WHEN bits IS NULL THEN 0L ELSE shiftrightunsigned(second, 64 - bits) END")))
-    # groups that stay large (near copies of one text) are cut into chunks; written, so that its size decides the join
-    crowded = written(rows.where("bits IS NOT NULL").groupBy("bucket", F.col("home").alias("grp")).count()
-                      .where(F.col("count") > 2 * bucket_rows)
-                      .select("bucket", "grp", F.ceil(F.col("count") / bucket_rows).cast("int").alias("chunks")), "simhash-crowded")
     places = F.expr("""CASE WHEN bits IS NULL THEN array(named_struct('grp', home, 'guest', 0))
         ELSE concat(array(named_struct('grp', home, 'guest', 0)),
                     transform(sequence(0, bits - 1), j -> named_struct('grp', home ^ shiftleft(1L, j), 'guest', 1))) END""")
-    rows = (rows.withColumn("g", F.explode(places)).select("fp", "ring", "bucket", "g.grp", "g.guest")
-            .join(crowded, ["bucket", "grp"], "left"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    rows = rows.withColumn("g", F.explode(places)).select("fp", "ring", "bucket", "bits", "g.grp", "g.guest")
+    # groups that stay large (near copies of one text), guests counted, are cut into chunks, and into none where no row
+    # is at home, since guests of one group meet in groups of their own; written, so that its size decides the join
+    crowded = written(rows.where("bits IS NOT NULL").groupBy("bucket", "grp").agg(F.count("*").alias("n"), F.min("guest").alias("away"))
+                      .where(F.col("n") > 2 * bucket_rows)
+                      .select("bucket", "grp", F.when(F.col("away") == 0, F.ceil(F.col("n") / bucket_rows)).otherwise(0).cast("int").alias("chunks")),
+                      "simhash-crowded")
+    rows = rows.join(crowded, ["bucket", "grp"], "left")
+    mine = F.pmod(F.xxhash64("fp"), F.greatest("chunks", F.lit(1))).cast("int")
     # cut number of chunk pair (i, j), i <= j; a row of chunk c goes to all pairs with c
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(
         (F.least(mine, o).cast("long") * F.col("chunks") + F.greatest(mine, o)).alias("pair"),
         F.when(mine == o, 2).when(mine < o, 0).otherwise(1).alias("side")))
     one = F.array(F.struct(F.lit(0).cast("long").alias("pair"), F.lit(2).alias("side")))
-    rows = rows.withColumn("p", F.explode(F.when(F.col("chunks").isNull(), one).otherwise(pairs))).select(
+    rows = rows.withColumn("p", F.explode(F.when(F.col("chunks").isNull(), one).when(F.col("chunks") > 0, pairs))).select(
         "bucket", (F.col("grp") * (1 << 40) + F.col("p.pair")).alias("cut"), F.col("ring").cast("int").alias("ring"),
         (F.col("p.side") + 3 * F.col("guest")).cast("int").alias("side"), "fp")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
