@@ -9,10 +9,10 @@ A file (one block of documents in ascending doc_id order) is, little endian:
     magic 8 bytes, SHA-256 of the dictionary 32 bytes, bytes an id u32, number of documents n u32,
     doc_id i64[n] and null flags u8[n], number of ids u32[n], offsets u64[n + 1], frames
 
-Files are stored as rows of a table (part, seq, n_tokens, file) in the shared
+Files are stored as rows of a table (with their part, number and range of ids) in the shared
 folder, since tasks can reach a shared store through Spark only; the dictionary
 is a row of a second table.  ``read_documents`` checks a file's dictionary hash
-and unpacks documents through the offset index; ``read_one`` unpacks one.
+and unpacks documents through the offset index; ``read_one`` those of one doc_id.
 
 Ids come from the tokenizers library.  A worker encodes each distinct piece of
 text once (see pieces.py); texts that hold an added token's string go to the
@@ -41,11 +41,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemail.llm.common import blocks, lists_of, shared_dir, text_of
+from tidemail.llm.common import blocks, lists_of, sampled, shared_dir, text_of
 from tidemail.llm.pieces import IdCache, encode_texts
 
 MAGIC = b"TIDTOK01"
 _HEAD = struct.Struct("<8s32sII")
+#: Rows of files: ``inside`` counts the ids of the files before it in its part.
+_FILES = "part int, seq long, inside long, n_tokens long, first_id long, last_id long, with_null boolean, file binary"
 
 
 class LibraryEncoder:
@@ -155,11 +157,9 @@ class TokenFile:
 def train_dictionary(docs: DataFrame, path: str, end_id: int, sample_rows: int = 2_000, size: int = 64 << 10,
                      max_chars: int = 50_000) -> bytes:
     """A dictionary from the ids of about ``sample_rows`` rows of at most
-    ``max_chars`` characters, chosen by a hash of doc_id."""
-    n = docs.count()
-    rows = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars)
-    if n > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(sample_rows / n * (1 << 30)))
+    ``max_chars`` characters, chosen by a hash of doc_id and text.  Longer texts are
+    compressed with it all the same."""
+    rows = sampled(docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars), docs.count(), sample_rows)
 
     def run(batches):
         e = encoder(path)
@@ -186,20 +186,24 @@ def write_files(docs: DataFrame, path: str, end_id: int = 1, block_bytes: int =
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        e, part, seq = encoder(path), TaskContext.get().partitionId(), 0
+        e, part, seq, inside = encoder(path), TaskContext.get().partitionId(), 0, 0
         for b in blocks(batches, "text", block_bytes):
             ids, counts = _with_end(*e.encode(text_of(b)), end_id)
             data = ids.astype(f"<u{e.id_bytes}").tobytes()
             ends = (np.cumsum(counts) * e.id_bytes).tolist()
             arrays = [data[x - c * e.id_bytes:x] for x, c in zip(ends, counts.tolist())]
-            file = pack_file(b.column("doc_id").to_pylist(), arrays, e.id_bytes, shared.value)
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int64()),
-                                              pa.array([int(counts.sum())], pa.int64()), pa.array([file], pa.binary())],
-                                             names=["part", "seq", "n_tokens", "file"])
-            seq += 1
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    (rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-     .mapInArrow(run, "part int, seq long, n_tokens long, file binary").write.parquet(f"{folder}/files"))
+            ids_of = b.column("doc_id").to_pylist()
+            file = pack_file(ids_of, arrays, e.id_bytes, shared.value)
+            known = [i for i in ids_of if i is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in (
+                (part, pa.int32()), (seq, pa.int64()), (inside, pa.int64()), (int(counts.sum()), pa.int64()), (known[0] if known else None, pa.int64()),
+                (known[-1] if known else None, pa.int64()), (len(known) < len(ids_of), pa.bool_()), (file, pa.binary()))],
+                names=[f.split()[0] for f in _FILES.split(", ")])
+            seq, inside = seq + 1, inside + int(counts.sum())
+    # rows of one doc_id, or of none, spread by their text, and copies of a row by their place in the table
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("place"))
+    (rows.repartitionByRange(n, "doc_id", "h", "place").sortWithinPartitions("doc_id", "h", "place").select("doc_id", "text")
+     .mapInArrow(run, _FILES).write.parquet(f"{folder}/files"))
     return folder
 
 
@@ -209,14 +213,11 @@ def _dictionary(spark: SparkSession, folder: str) -> bytes:
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
     """The files with base: the number of ids in all files before."""
-    table = spark.read.schema("part int, seq long, n_tokens long, file binary").parquet(f"{folder}/files")
-    # one row for each range partition
+    table = spark.read.schema(_FILES).parquet(f"{folder}/files")
+    # one row for each range partition, so the files themselves are not shuffled
     parts = table.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    within = table.select("part", "seq", "n_tokens").withColumn(
-        "inside", F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens"))
-    base = within.join(parts, "part").select("part", "seq", (F.col("before") + F.col("inside")).alias("base"))
-    return table.join(base, ["part", "seq"])
+    return table.join(F.broadcast(parts), "part").withColumn("base", F.col("before") + F.col("inside")).drop("before")
 
 
 def read_documents(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
@@ -237,5 +238,23 @@ def read_documents(spark: SparkSession, folder: str, with_ids: bool = False) ->
     return files(spark, folder).select("file", "base").mapInArrow(run, schema)
 
 
+def read_one(spark: SparkSession, folder: str, doc_id: int | None) -> list[np.ndarray]:
+    """The ids of the rows with this doc_id (one array a row), in the files' order.
+    Only files whose range holds it are read, and only its documents unpacked."""
+    table = spark.read.schema(_FILES).parquet(f"{folder}/files")
+    here = F.col("with_null") if doc_id is None else (F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)
+    shared = spark.sparkContext.broadcast(_dictionary(spark, folder))
+
+    def run(batches):
+        for b in batches:
+            for part, seq, file in zip(*(c.to_pylist() for c in b.columns)):
+                f = TokenFile(file, shared.value)
+                for k in [k for k, d in enumerate(f.doc_ids) if d == doc_id]:
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([k], pa.int32()),
+                                                      pa.array([f.read(k).astype("<u4").tobytes()], pa.binary())], names=["part", "seq", "k", "ids"])
+    found = table.where(here).select("part", "seq", "file").mapInArrow(run, "part int, seq long, k int, ids binary")
+    return [np.frombuffer(bytes(r.ids), "<u4") for r in found.orderBy("part", "seq", "k").collect()]
+
+
 def report(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     return read_documents(docs.sparkSession, write_files(docs, path, end_id))
