@@ -34,3 +34,35 @@ def test_iso_ts(spark):
     df = spark.createDataFrame([("2024-01-02 03:04:05.678912",)], "t string").select(
         F.to_timestamp_ntz("t").alias("t"))
     assert df.select(vd.iso_ts("t")).first()[0] == "2024-01-02T03:04:05.678Z"
+
+
+def test_pattern_table_equals_the_chain(spark):
+    import random
+
+    import pytest
+    from tidemail.operators import gates
+    r = random.Random(3)
+    labels = ["a", "b", "mail", "example", "com", "org", "co"]
+    host = lambda: ".".join(r.choice(labels) for _ in range(r.randint(1, 4)))
+    schemes, paths = ["http", "https", "*"], ["*", "x/*", "", "x/y"]
+    patterns = [f"{r.choice(schemes)}://{r.choice(['', '*.', 'm*', 'a.*.'])}{host()}/{r.choice(paths)}" for _ in range(1000)]
+    patterns += ["https://m.*/*", "http://*/x/y", "https://example.com", "*x/y?q=1", "https://a.b:80/*"]
+    urls = [f"{r.choice(['http', 'https', 'ftp'])}://{host()}{r.choice(['', ':80'])}{r.choice(['', '/', '/x/', '/x/y', '/x/z?u=a.com/'])}" for _ in range(600)]
+    urls += [None, "", "no url", "https://m.example/", "https://user@a.com/x/y", "https://a.com?x/y", urls[0], urls[0]]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "id int, url string")
+    table = spark.createDataFrame([(p,) for p in patterns + [None, patterns[0]]], "pattern string")
+    want = {r["id"]: r["ok"] for r in df.select("id", gates.match_patterns("url", patterns[:60] + patterns[1000:]).alias("ok")).collect()}
+    few = spark.createDataFrame([(p,) for p in patterns[:60] + patterns[1000:]], "pattern string")
+    got = gates.match_pattern_table(df, "url", few)
+    assert got.columns == ["id", "url", "allowed"]
+    assert {x.id: x.allowed for x in got.collect()} == want and len(set(want.values())) == 2
+    # 1,000 patterns against the regular expressions themselves, and 100,000 more
+    import re
+    rules = [re.compile(gates.pattern_regex(p)) for p in patterns]
+    whole = {i: bool(u is not None and any(x.match(u) for x in rules)) for i, u in enumerate(urls)}
+    many = table.union(spark.range(100_000).selectExpr("concat('https://h', id, '.example.net/*')"))
+    for t in (table, many):
+        assert {x.id: x.allowed for x in gates.match_pattern_table(df, "url", t).collect()} == whole
+    assert gates.match_pattern_table(df, "url", table.limit(0)).where("allowed").count() == 0
+    with pytest.raises(ValueError, match="literal end"):
+        gates.match_pattern_table(df, "url", spark.range(1001).selectExpr("concat('https://m', id, '.*/') pattern"))

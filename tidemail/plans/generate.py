@@ -572,6 +572,11 @@ class Plan:
         """O2: the first ``n`` records, generated directly (not a limit of a full job)."""
         return self.create(spark, n, seed, num_partitions=1)[0]
 
+    def preview_from(self, base: DataFrame, key: str, n: int = 10, seed: int = 42) -> DataFrame:
+        """O2: the records of the first ``n`` rows of ``base`` by key, as
+        :meth:`create_from` makes them; only those are generated."""
+        return self.create_from(base.orderBy(key).limit(n), key, seed)[0]
+
 
 def _generate_text(df: DataFrame, name: str, smp: Text, key: str, journal: Journal | None) -> DataFrame:
     """Fill column ``name`` by calling the external generator per batch."""

@@ -11,6 +11,7 @@ from tidemail.queries import sqlfrag as s
 from tidemail.registry import register
 from tidemail.session import scratch_path
 from tidemail.sources import csv as cs
+from tidemail.sources.sinks import read_pages, read_parts
 from tidemail.sources.tables import EMAILS_SQL, emails
 
 _NA = ", ".join(s.q(t) for t in NA_TOKENS)
@@ -31,6 +32,23 @@ def csv_roundtrip(spark, sf_dir):
     return back.select(F.col("mail_id").cast("bigint"), "subject", "body", F.col("label").cast("int"))
 
 
+@register("parts_scan", f"""
+SELECT mail_id, subject, body, sender, label FROM {EMAILS_SQL} e
+""")
+def parts_scan(spark, sf_dir):
+    """A folder of Parquet parts, read as one table."""
+    path = scratch_path(spark, "parts")
+    emails(spark, sf_dir).select("mail_id", "subject", "body", "sender", "label").repartition(5).write.parquet(path)
+    return read_parts(spark, path)
+
+
+@register("pages_scan", "SELECT page_id, url, CAST(length(html) AS BIGINT) AS n_chars, md5(html) AS html_md5 FROM pages")
+def pages_scan(spark, sf_dir):
+    """HTML documents as rows."""
+    pages = read_pages(spark, f"{sf_dir.rstrip('/')}/pages.parquet")
+    return pages.select("page_id", "url", F.length("html").cast("bigint").alias("n_chars"), F.md5("html").alias("html_md5"))
+
+
 @register("csv_merge_index", f"""
 SELECT row_number() OVER (ORDER BY mail_id) - 1 AS "index", mail_id, {_na('subject')} AS subject,
        {_na('body')} AS body, label

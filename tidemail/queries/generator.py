@@ -14,6 +14,8 @@ from tidemail.plans import generate as g
 from tidemail.plans.order_mail import CARRIER_SHARES, CARRIERS, LANGUAGES, NOTICE_SHARES, NOTICE_SHARES_URGENT, NOTICES, order_mail_plan
 from tidemail.queries import sqlfrag as s
 from tidemail.registry import register
+from tidemail.session import scratch_path
+from tidemail.sources.sinks import write_artifacts
 from tidemail.sources.tables import EMAILS_SQL, TEST_DOMAIN, emails, table
 
 KEY = "o_orderkey"
@@ -117,6 +119,70 @@ def gen_person(spark, sf_dir):
                            ("age", "first_name", "last_name", "birth_date", "phone_number", "ssn", "zipcode")])
 
 
+def _person_all_sql() -> str:
+    """The fields of a person that :func:`_person_sql` leaves out."""
+    c = lambda i: _list([x[i] for x in g.CITIES]) + f"[CAST(floor({_u('contact.city')} * {len(g.CITIES)}) AS BIGINT) + 1]"
+    h = f"md5('42:contact.uuid:' || CAST({KEY} AS VARCHAR))"
+    picks = {"bachelors_field": g.FIELDS, "education_level": g.EDUCATION, "ethnic_background": g.ETHNIC, "marital_status": g.MARITAL,
+             "middle_name": g.MIDDLE_NAMES, "occupation": g.OCCUPATIONS, "sex": g.SEXES, "street_name": g.STREETS}
+    unit = f"lpad(CAST(CAST(floor({_u('contact.unit_no')} * 100) AS BIGINT) AS VARCHAR), 2, '0')"
+    return ",\n".join([f"{_pick(v, 'contact.' + k)} AS {k}" for k, v in picks.items()] + [
+        f"{c(0)} AS city", f"{c(1)} AS state", f"{c(2)} AS county", "'USA' AS country", "'en_US' AS locale",
+        f"lower({_pick(g.FIRST_NAMES, 'contact.first_name')} || '.' || {_pick(g.LAST_NAMES, 'contact.last_name')} || '@example.com') AS email_address",
+        f"CAST(floor({_u('contact.street_number')} * 9000) + 100 AS BIGINT) AS street_number",
+        f"CASE WHEN {_u('contact.unit')} < '0.3'::DOUBLE THEN 'Apt ' || {unit} END AS unit",
+        "concat_ws('-', " + ", ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + ") AS uuid"])
+
+
+@register("gen_person_rest", f"SELECT {KEY}, {_person_all_sql()} FROM orders")
+def gen_person_rest(spark, sf_dir):
+    """The other 17 fields of the person struct."""
+    v = order_mail_plan(TEST_DOMAIN).build(_base(spark, sf_dir), KEY, 42)
+    shown = {"age", "first_name", "last_name", "birth_date", "phone_number", "ssn", "zipcode"}
+    return v.select(KEY, *[F.col(f"contact.{f}").alias(f) for f in v.schema["contact"].dataType.names if f not in shown])
+
+
+@register("gen_preview", BASE_SQL + """
+SELECT o_orderkey, receiver, receiver_age, carrier, depot, notice, language, parcels, title, message
+FROM r WHERE message IS NOT NULL AND o_orderkey IN (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10)
+""")
+def gen_preview(spark, sf_dir):
+    """O2: the records of the first ten orders."""
+    return order_mail_plan(TEST_DOMAIN).preview_from(_base(spark, sf_dir), KEY, 10)
+
+
+_GP_KINDS = {"receiver": "expression", "receiver_age": "expression", "carrier": "category", "depot": "subcategory", "notice": "category",
+             "language": "category", "parcels": "uniform", "title": "llm-text", "message": "llm-text"}
+#: Types as DuckDB names them, for the profile's own names.
+_GP_TYPES = ("(VALUES ('VARCHAR', 'string', 'string'), ('BIGINT', 'int64', 'int'), ('INTEGER', 'int32', 'int')) AS k(duck, pyarrow_dtype, simple_dtype)")
+
+
+@register("gen_column_types", BASE_SQL + ", t AS (" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, any_value(typeof({c})) AS duck, '{k if k not in ('category', 'subcategory', 'uniform') else 'sampler'}' AS column_type, "
+    f"{s.q(k) if k in ('category', 'subcategory', 'uniform') else 'NULL'} AS sampler_type FROM r" for c, k in _GP_KINDS.items()) + f""")
+SELECT column_name, pyarrow_dtype, simple_dtype, column_type, sampler_type FROM t JOIN {_GP_TYPES} USING (duck)
+""")
+def gen_column_types(spark, sf_dir):
+    """Engine type, simple type and declared kinds in the profile of the generated table."""
+    doc = gen_profile(spark, sf_dir)
+    c = doc.select(F.explode("column_statistics").alias("c"))
+    return c.select(*[F.col(f"c.{f}").alias(f) for f in ("column_name", "pyarrow_dtype", "simple_dtype", "column_type", "sampler_type")])
+
+
+@register("artifact_sink", BASE_SQL + """
+SELECT o_orderkey, title, (SELECT count(*) FROM r WHERE message IS NOT NULL) AS num_records, (SELECT count(*) FROM orders) AS target_num_records
+FROM r WHERE message IS NOT NULL
+""")
+def artifact_sink(spark, sf_dir):
+    """The table and its profile, both written as artifacts and read back."""
+    base, plan = _base(spark, sf_dir), order_mail_plan(TEST_DOMAIN)
+    path = scratch_path(spark, "artifacts")
+    write_artifacts(plan.create_from(base, KEY, 42)[0], gen_profile(spark, sf_dir), path)
+    profile = spark.read.json(f"{path}/analysis").select("num_records", "target_num_records")
+    # the profile is one row
+    return spark.read.parquet(f"{path}/dataset").select(KEY, "title").join(F.broadcast(profile))
+
+
 @register("gen_expressions", BASE_SQL + """
 SELECT o_orderkey, receiver, receiver_age, title, message FROM r
 """)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemail.operators.gates import gate_by_url, match_patterns
+from tidemail.operators.gates import gate_by_url, match_pattern_table, match_patterns
 from tidemail.sources.requests import parse_requests
 from tidemail.sources.tables import EMAILS_SQL, emails, table
 from tidemail.registry import register
@@ -106,3 +106,24 @@ def url_patterns(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", "url")
     return p.withColumn("allowed", match_patterns("url", PATTERNS))
 
+
+@register("url_allow_list", """
+WITH p AS (SELECT page_id, url, regexp_extract(url, '^[^:/]*://([^/]*)', 1) AS host FROM pages),
+exact AS (SELECT DISTINCT host FROM p WHERE length(host) % 3 = 0),
+inner_hosts AS (SELECT DISTINCT substr(host, strpos(host, '.') + 1) AS rest FROM p WHERE length(host) % 3 = 1),
+ok AS (SELECT DISTINCT h.host FROM (SELECT DISTINCT host FROM p) h JOIN inner_hosts i ON ends_with(h.host, '.' || i.rest))
+SELECT page_id, url, coalesce((starts_with(url, 'https://') AND host IN (SELECT host FROM exact)
+                               OR starts_with(url, 'http://') AND host IN (SELECT host FROM ok))
+                              AND regexp_matches(url, '^[^:/]*://[^/]*/'), false) AS allowed
+FROM p
+""")
+def url_allow_list(spark, sf_dir):
+    """P8 with a table of patterns, made of the pages' own hosts."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    host = F.regexp_extract("url", "^[^:/]*://([^/]*)", 1)
+    size = F.length(host) % 3
+    exact = p.where(size == 0).select(F.concat(F.lit("https://"), host, F.lit("/*")).alias("pattern"))
+    inner = p.where(size == 1).select(F.concat(F.lit("http://*."), F.expr("substring(regexp_extract(url, '^[^:/]*://([^/]*)', 1), "
+                                      "instr(regexp_extract(url, '^[^:/]*://([^/]*)', 1), '.') + 1)"), F.lit("/*")).alias("pattern"))
+    return match_pattern_table(p, "url", exact.unionByName(inner))
+

@@ -17,8 +17,9 @@ from tidemail.plans import scoring
 from tidemail.plans.model_store import ModelStore
 from tidemail.queries import sqlfrag as s
 from tidemail.registry import register
-from tidemail.session import checkpoint_dir
+from tidemail.session import checkpoint_dir, scratch_path
 from tidemail.sources.requests import parse_requests
+from tidemail.sources.sinks import write_verdicts
 from tidemail.sources.tables import EMAILS_SQL, TEST_DOMAIN, emails, table
 
 ORG = TEST_DOMAIN
@@ -220,6 +221,20 @@ def bayes_verdicts(spark, sf_dir):
                          vd.confidence("score").alias("accuracy"))
 
 
+@register("verdict_sink", f"""
+WITH {_BAYES_SQL}
+SELECT b.mail_id, predicted_label = 1 AS phish, CAST(floor(score * 100.0::DOUBLE) AS BIGINT) AS accuracy, {s.is_trusted('sender')} AS org
+FROM b JOIN (SELECT mail_id, sender FROM {EMAILS_SQL} x) m USING (mail_id)
+""")
+def verdict_sink(spark, sf_dir):
+    """Verdict records written as JSON lines and read back."""
+    senders = emails(spark, sf_dir, labelled=False).select("mail_id", snd.is_trusted("sender", TEST_DOMAIN).alias("trusted"))
+    out = bayes_verdicts(spark, sf_dir).join(senders, "mail_id")
+    path = scratch_path(spark, "verdicts")
+    write_verdicts(out, path, keep=["mail_id"], trusted_as="org")
+    return spark.read.schema("mail_id long, phish boolean, accuracy long, org boolean").json(path)
+
+
 @register("bayes_report", f"""
 WITH {_BAYES_SQL}, known AS (SELECT * FROM b WHERE label IS NOT NULL),
 {s.report_sql('known', 'label', 'predicted_label')}

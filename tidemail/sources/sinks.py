@@ -8,9 +8,6 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-VERDICT_COLS = ["phish", "accuracy", "trusted"]
-
-
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
     """Every Parquet part of a directory."""
     return spark.read.parquet(path)
@@ -25,9 +22,10 @@ def read_pages(spark: SparkSession, path: str, wholetext: bool = False) -> DataF
     return spark.read.parquet(path)
 
 
-def write_verdicts(df: DataFrame, path: str, keep: list[str] | None = None, mode: str = "overwrite") -> None:
-    """``{phish, accuracy, trusted}`` records as JSON lines (plus ``keep`` ids)."""
-    df.select(*(keep or []), *VERDICT_COLS).write.mode(mode).json(path)
+def write_verdicts(df: DataFrame, path: str, keep: list[str] | None = None, mode: str = "overwrite", trusted_as: str = "trusted") -> None:
+    """``{phish, accuracy, trusted}`` records as JSON lines (plus ``keep`` ids);
+    ``trusted_as`` names the last field (an organisation's own, say)."""
+    df.select(*(keep or []), "phish", "accuracy", F.col("trusted").alias(trusted_as)).write.mode(mode).json(path)
 
 
 def write_artifacts(df: DataFrame, profile: DataFrame | dict, path: str, mode: str = "overwrite") -> None:
