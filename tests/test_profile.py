@@ -95,3 +95,33 @@ def test_profile_counts_approx_close_to_exact(spark):
         a = approx[c]
         assert (a["num_records"], a["num_null"]) == (e["num_records"], e["num_null"])
         assert abs(a["num_unique"] - e["num_unique"]) <= max(2, 0.05 * e["num_unique"])
+
+
+def test_states_of_parts_merge_to_the_profile_of_the_union(spark):
+    import math
+    import random
+    import statistics
+
+    from tidemail.operators import profile_states as ps
+    r = random.Random(5)
+    rows = [(i, r.choice(["a", "b", None, "c" * 50]) if i % 5 else "hot", r.gauss(1e6, 3) if i % 7 else None) for i in range(9000)]
+    parts = [rows[:10], rows[10:4000], rows[4000:], [], [(None, None, None)] * 3]
+    frames = [spark.createDataFrame(p, "id int, s string, x double") for p in parts]
+    states = [ps.profile_state(f, nums=["id", "x"]) for f in frames if f.count()]
+    got = {p.column_name: p for p in ps.read_profile(ps.merge_states(*states), (0.25, 0.5), 3).collect()}
+    whole = [x for p in parts for x in p]
+    xs = sorted(x for _, _, x in whole if x is not None)
+    assert {c: (p.num_records, p.num_null) for c, p in got.items()} == {
+        "id": (9003, 3), "s": (9003, sum(v is None for _, v, _ in whole)), "x": (9003, sum(x is None for _, _, x in whole))}
+    x = got["x"]
+    assert (x.min, x.max) == (xs[0], xs[-1]) and math.isclose(x.mean, statistics.fmean(xs)) and math.isclose(x.stddev, statistics.stdev(xs), rel_tol=1e-6)
+    for q, value in ((0.25, x.q25), (0.5, x.q50)):
+        assert abs(sum(v <= value for v in xs) / len(xs) - q) < 0.01
+    assert abs(got["id"].num_unique - 9000) < 300 and got["s"].num_unique == 4 and got["s"].min is None and got["s"].q50 is None
+    counts = [(t["item"], t["count"]) for t in got["s"].top]
+    exact = {v: sum(w == v for _, w, _ in whole) for v in ("hot", "a", "b", "c" * 50)}
+    assert counts == sorted(exact.items(), key=lambda t: -t[1])[:3]
+    # in any order and any grouping
+    again = ps.merge_states(ps.merge_states(*states[1:]), states[0])
+    assert [(p.num_records, p.num_unique, p.min) for p in ps.read_profile(again).orderBy("column_name").collect()] == \
+        [(got[c].num_records, got[c].num_unique, got[c].min) for c in sorted(got)]

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemail.operators import profile as pr
+from tidemail.operators import profile_states as ps
 from tidemail.queries import sqlfrag as s
 from tidemail.registry import register
+from tidemail.session import scratch_path
 from tidemail.sources.tables import table
 
 CUSTOMER_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
@@ -84,3 +86,38 @@ def token_stats(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").filter(F.col("role").isin("system", "user", "assistant"))
     c = c.withColumn("kind", F.when(F.col("role") == "assistant", "completion").otherwise("prompt"))
     return pr.token_stats(c, "text", "kind")
+
+
+_MERGED = ["l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_orderkey"]
+_MERGED_NUMS = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+def _merged_sql() -> str:
+    rows = []
+    for c in _MERGED:
+        num = c in _MERGED_NUMS
+        values = ([f"round(min({c})::DOUBLE, 6)", f"round(max({c})::DOUBLE, 6)", f"round(avg({c})::DOUBLE, 4)", f"round(stddev_samp({c})::DOUBLE, 4)"]
+                  if num else ["NULL::DOUBLE"] * 4)
+        named = ", ".join(f"{v} AS {n}" for v, n in zip(values, ("min", "max", "mean", "stddev")))
+        rows.append(f"SELECT '{c}' AS column_name, count(*) AS num_records, count(*) - count({c}) AS num_null, {named}, "
+                    f"true AS unique_fits, {'true' if num else 'NULL::BOOLEAN'} AS median_fits FROM lineitem")
+    return "\nUNION ALL\n".join(rows)
+
+
+@register("profile_merged", _merged_sql())
+def profile_merged(spark, sf_dir):
+    """A5–A7 from the stored states of four parts: exact counts and moments, the
+    distinct values and the median within their errors of the exact ones."""
+    lines = table(spark, sf_dir, "lineitem")
+    base, states = scratch_path(spark, "profile-states"), []
+    for part in range(4):
+        rows = lines.where(F.pmod(F.xxhash64("l_orderkey"), F.lit(4)) == part)
+        ps.profile_state(rows, _MERGED, _MERGED_NUMS).write.parquet(f"{base}/{part}")
+        states.append(spark.read.parquet(f"{base}/{part}"))
+    got = ps.read_profile(ps.merge_states(*states), (0.49, 0.5, 0.51))
+    exact = pr.profile_counts(lines, _MERGED).select("column_name", F.col("num_unique").alias("__unique"))
+    middle = pr.numerical_profile(lines, _MERGED_NUMS).select("column_name", F.col("median").alias("__median"))
+    got = got.join(exact, "column_name").join(middle, "column_name", "left")
+    return got.select("column_name", "num_records", "num_null", *[F.round(c, n).alias(c) for c, n in (("min", 6), ("max", 6), ("mean", 4), ("stddev", 4))],
+                      (F.abs(F.col("num_unique") - F.col("__unique")) <= 0.04 * F.col("__unique")).alias("unique_fits"),
+                      F.col("__median").between(F.col("q49"), F.col("q51")).alias("median_fits"))
