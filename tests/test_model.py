@@ -58,6 +58,43 @@ def test_batch_equals_stream(spark, tmp_dir):
     assert spark.read.parquet(os.path.join(tmp_dir, "rej")).count() == rejected.count()
 
 
+def test_verdicts_and_rejects_appear_together(spark, tmp_dir, monkeypatch):
+    """The job ends between the two writes of a batch; its verdicts are not shown
+    before the batch is replayed."""
+    import pytest
+    from tidemail.streaming import score_stream as ss
+    model = _model(spark)
+    paths = {k: os.path.join(tmp_dir, k) for k in ("in", "out", "rej", "ck")}
+    intake_json(spark, SF001).select("payload").repartition(3).write.text(paths["in"])
+
+    def run():
+        return score_stream(spark, paths["in"], model, paths["out"], paths["rej"], paths["ck"], "example.edu", max_files_per_trigger=1)
+    split, seen = ss.split_parsed, []
+
+    def broken(parsed):
+        valid, rejected = split(parsed)
+        seen.append(1)
+        if len(seen) == 2:                         # the second batch has verdicts, and its rejects cannot be written
+            rejected = rejected.withColumn("reason", F.raise_error(F.lit("lost between the writes")))
+        return valid, rejected
+    monkeypatch.setattr(ss, "split_parsed", broken)
+    with pytest.raises(Exception, match="lost between"):
+        run().awaitTermination()
+    out, rejected = ss.read_committed(spark, paths["out"], paths["rej"])
+    assert {r.batch_id for r in out.select("batch_id").distinct().collect()} == {0} == {r.batch_id for r in rejected.select("batch_id").distinct().collect()}
+    assert os.path.isdir(os.path.join(paths["out"], "batch_id=1"))       # written, not shown
+    run().awaitTermination()
+    out, rejected = ss.read_committed(spark, paths["out"], paths["rej"])
+    assert out.select("batch_id").distinct().count() == 3
+    assert out.count() + rejected.count() == intake_json(spark, SF001).count()
+    assert out.select("url").distinct().count() == out.count()
+    commits = ss.Commits(spark, paths["out"])
+    commits.enter(2)
+    assert commits.batches() == [0, 1, 2]
+    commits.withdraw(2)
+    assert commits.batches() == [0, 1] and ss.read_committed(spark, tmp_dir, tmp_dir) == (None, None)
+
+
 def test_vocab_and_encode(spark):
     df = spark.createDataFrame([(1, "b a b c"), (2, "a zz"), (3, ""), (4, None)], "id long, t string")
     vocab = tk.build_vocab(df, "t", 2)

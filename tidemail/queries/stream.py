@@ -12,7 +12,7 @@ from tidemail.queries.verdicts import _trained
 from tidemail.registry import register
 from tidemail.session import scratch_path
 from tidemail.sources.tables import TEST_DOMAIN
-from tidemail.streaming.score_stream import score_stream
+from tidemail.streaming.score_stream import read_committed, score_stream
 
 
 def _run(spark, sf_dir):
@@ -39,7 +39,7 @@ def stream_rules(spark, sf_dir):
     """Rule columns of the streamed verdicts (exact); the model columns
     are present in the sink as well."""
     base = _run(spark, sf_dir)
-    out = spark.read.parquet(f"{base}/out")
+    out, _ = read_committed(spark, f"{base}/out", f"{base}/rejected")
     return out.select(F.regexp_extract("url", r"(\d+)$", 1).cast("bigint").alias("mail_id"),
                       "domain", "trusted", "sender_line",
                       F.length(F.concat_ws(" ", "subject", "body")).cast("bigint").alias("text_chars"))
@@ -51,5 +51,5 @@ SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY reason
 def stream_rejects(spark, sf_dir):
     """Records answered apart, counted per reason."""
     base = _run(spark, sf_dir)
-    rej = spark.read.parquet(f"{base}/rejected")
+    _, rej = read_committed(spark, f"{base}/out", f"{base}/rejected")
     return rej.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
