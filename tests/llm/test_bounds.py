@@ -106,3 +106,26 @@ def test_a_crowd_with_equal_segments_is_linked_whole(spark):
             want[high(signed[i])] = high(signed[i + 1 + j])
     same = lambda f: sorted(sorted(v) for v in {k: [x for x in signed if f(x) == k] for k in map(f, signed)}.values())
     assert same(top) == same(high)
+
+
+def test_benchmark_windows_are_flat_arrays():
+    from tidemail.llm import decontam_fm
+    r = random.Random(6)
+    items = [(r.choice(["a", "b", None, "c"]), " ".join(r.choice("xyz") for _ in range(r.choice([0, 1, 3, 5, 30])))) for _ in range(60)] + [("d", None)]
+    phrases = decontam_fm.Phrases(items, 4)
+    want = {}
+    for item, text in items:
+        w = (text or "").split()
+        for i in range(max(1, len(w) - 3) if w else 0):
+            want.setdefault(tuple(w[i:i + 4]), set()).update({item} - {None})
+    words = phrases.vocabulary.to_pylist()
+    got = {tuple(words[c - decontam_fm._FIRST] for c in row): {phrases.names[i] for i in items_of[ends[k]:ends[k + 1]]}
+           for rows, ends, items_of in phrases.by_length for k, row in enumerate(rows.tolist())}
+    assert got == want
+    # a block of 4 MB stays small
+    import tracemalloc
+    big = [(str(i), " ".join(f"w{r.randint(0, 50_000)}" for _ in range(2000))) for i in range(330)]
+    tracemalloc.start()
+    decontam_fm.Phrases(big, 13)
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()

@@ -149,24 +149,36 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
 
 
 class Phrases:
-    """The windows of one block of benchmark items."""
+    """The distinct windows of one block of benchmark items, as flat arrays: for
+    each length the windows' words, and the items of each window as a range of
+    ``items`` (places in ``names``)."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         flat, off = words_of(pa.array([t or "" for _, t in items], pa.string()))
         codes = flat.dictionary_encode()
-        self.vocabulary, ids = codes.dictionary, codes.indices.to_numpy(zero_copy_only=False).astype(np.int64) + _FIRST
-        seen: dict[tuple, set] = {}
-        for (item, _), a, b in zip(items, off, off[1:]):
-            for i in range(a, max(a + 1, b - window + 1) if b > a else a):
-                seen.setdefault(tuple(ids[i:min(b, i + window)].tolist()), set()).add(item)
-        self.by_length: list[tuple[np.ndarray, list[list[str]]]] = []
-        for n in sorted({len(p) for p in seen}):
-            rows = [p for p in seen if len(p) == n]
-            self.by_length.append((np.array(rows, np.int64), [[str(x) for x in seen[p] if x is not None] for p in rows]))
+        self.vocabulary, ids = codes.dictionary, codes.indices.to_numpy(zero_copy_only=False).astype(np.int32) + np.int32(_FIRST)
+        self.names = sorted({i for i, _ in items if i is not None})
+        place = {x: k for k, x in enumerate(self.names)}
+        code = np.array([place.get(i, -1) for i, _ in items], np.int64)
+        n_words = np.diff(off)
+        length = np.minimum(n_words, window)
+        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in np.unique(length[length > 0]).tolist():
+            mine = np.flatnonzero(length == n)
+            many = n_words[mine] - n + 1                    # one, for an item of fewer words than the window
+            of = np.repeat(mine, many)
+            start = off[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+            rows = ids[start[:, None] + np.arange(n)]
+            key = rows.view(np.dtype((np.void, rows.itemsize * n))).ravel()
+            _, first, which = np.unique(key, return_index=True, return_inverse=True)
+            pairs = np.unique(which * (len(items) + 1) + code[of] + 1)
+            pairs = pairs[pairs % (len(items) + 1) > 0]        # items without an id mark words only
+            ends = np.searchsorted(pairs // (len(items) + 1), np.arange(len(first) + 1))
+            self.by_length.append((rows[first].astype(np.int64), ends, pairs % (len(items) + 1) - 1))
 
     @property
     def shortest(self) -> int:
-        return min((p.shape[1] for p, _ in self.by_length), default=0)
+        return min((rows.shape[1] for rows, _, _ in self.by_length), default=0)
 
 
 def _shard_hits(flat: pa.StringArray, off: np.ndarray, phrases: Phrases):
@@ -195,7 +207,7 @@ def _shard_hits(flat: pa.StringArray, off: np.ndarray, phrases: Phrases):
     word = np.zeros(len(seq), np.int64)
     word[place] = at
     index = FMIndex(seq, len(phrases.vocabulary) + _FIRST)
-    for rows, items in phrases.by_length:
+    for rows, ends, items in phrases.by_length:
         which, lo, hi = index.search(rows)
         count = hi - lo
         where = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
@@ -204,7 +216,7 @@ def _shard_hits(flat: pa.StringArray, off: np.ndarray, phrases: Phrases):
         np.add.at(edge, start + rows.shape[1], -1)
         pairs = np.unique(np.stack([np.searchsorted(off, start, "right") - 1, np.repeat(which, count)], 1), axis=0)
         for d, p in pairs.tolist():
-            found[d].update(items[p])
+            found[d].update(phrases.names[i] for i in items[ends[p]:ends[p + 1]])
     return (np.cumsum(edge[:n]) > 0).astype(np.int64), found
 
 
@@ -251,7 +263,7 @@ def _searcher(phrases_bc, column: str, out: str, prior: bool, shard_bytes: int):
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, out: str = "hit", window: int = 13, text: str = "text",
-         item_id: str = "item_id", item_text: str = "text", block_bytes: int = 16 << 20,
+         item_id: str = "item_id", item_text: str = "text", block_bytes: int = 4 << 20,
          shard_bytes: int = 12 << 20) -> DataFrame:
     """``docs`` with a struct column ``out``: its number of words, the merged
     spans of words inside occurrences (``starts``, ``ends``, in words), and the
