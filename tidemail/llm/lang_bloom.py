@@ -193,7 +193,9 @@ def predict(docs: DataFrame, filters: Filters, pred: str = "lang_pred", score: s
             held: str | None = None) -> DataFrame:
     """``docs`` with two new columns: the language and its score.  ``held``
     names a third one: the share of n-grams in the language's filter, over
-    that share in its training text."""
+    that share in its training text.  The names must be new."""
+    if clash := {pred, score, held} & set(docs.columns):
+        raise ValueError(f"columns exist: {sorted(clash)}")
     bc = docs.sparkSession.sparkContext.broadcast(filters)
     schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType()),
                            *([T.StructField(held, T.DoubleType())] if held else [])])
