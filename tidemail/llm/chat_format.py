@@ -27,10 +27,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Tokenizer
@@ -96,13 +98,16 @@ class Formatter:
         offsets = np.array(e.offsets, np.int64).reshape(-1, 2)
         start, end = mask_tokens(offsets, spans)
         learn = end > start
-        merged = []
-        for a, b in zip(start[learn].tolist(), end[learn].tolist()):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(b, merged[-1][1])
-            else:
-                merged.append([a, b])
-        return np.array(e.ids, np.int64), learn, np.array(merged, np.int64).reshape(-1, 2)
+        first, upto = start[learn], np.maximum.accumulate(end[learn])
+        new = np.flatnonzero(np.concatenate([[True], first[1:] > upto[:-1]])) if len(first) else np.zeros(0, np.int64)
+        last = np.concatenate([new[1:], [len(first)]])[:len(new)] - 1
+        return np.array(e.ids, np.int32), learn, np.stack([first[new], upto[last]], 1)
+
+
+@lru_cache(maxsize=4)
+def formatter(path: str) -> Formatter:
+    """The formatter of a vocabulary file, one a worker."""
+    return Formatter(path)
 
 
 def _stream(batches):
@@ -113,7 +118,7 @@ def _stream(batches):
 
 def _formatter(path: str, learn: str, rows: int = 500):
     def run(batches):
-        f = Formatter(path)
+        f = formatter(path)
         out: list[tuple] = []
 
         def batch():
@@ -125,7 +130,7 @@ def _formatter(path: str, learn: str, rows: int = 500):
         for conv, turns in groupby(_stream(batches), key=lambda r: r[0]):
             text, spans = render([(role or "", body or "") for _, role, body in turns], learn)
             ids, mask, covered = f.encode(text, spans)
-            out.append((conv, text, ids.tolist(), mask.tolist(), covered[:, 0].tolist(), covered[:, 1].tolist()))
+            out.append((conv, text, ids, mask, covered[:, 0], covered[:, 1]))
             size += len(text)
             if len(out) >= rows or size > 1 << 20:
                 yield batch()
@@ -148,13 +153,18 @@ def format_conversations(conversations: DataFrame, path: str, learn: str = "assi
 def _digests(batches):
     for b in batches:
         rows = []
-        for r in b.to_pylist():
-            turns = parse(r["formatted"])
-            learnt = [unescape(r["formatted"][x:y]) for x, y in zip(r["starts"], r["ends"])]
+        n_tokens = pc.list_value_length(b.column("ids")).to_pylist()
+        # lists as a running sum at their ends
+        ends = np.cumsum(n_tokens)
+        learns = np.concatenate([[0], np.cumsum(b.column("learn").flatten().to_numpy(zero_copy_only=False))])
+        n_learn = (learns[ends] - learns[ends - n_tokens]).tolist()
+        for conv, formatted, starts, stops, n, k in zip(*(b.column(c).to_pylist() for c in ("conv_id", "formatted", "starts", "ends")), n_tokens, n_learn):
+            turns = parse(formatted)
+            learnt = [unescape(formatted[x:y]) for x, y in zip(starts, stops)]
             said = "".join(f"{role}\n{text}\n" for role, text in turns)
             loss = "".join(learnt)
-            rows.append((r["conv_id"], len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss),
-                         hashlib.sha256(loss.encode()).hexdigest(), len(r["formatted"]), len(r["ids"]), sum(r["learn"])))
+            rows.append((conv, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss),
+                         hashlib.sha256(loss.encode()).hexdigest(), len(formatted), n, k))
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "n_learn"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         if rows:
