@@ -75,8 +75,10 @@ class PieceCounter:
             at = self.boundary.search(text, start + self.cut_chars)
             if at is None:
                 break
-            yield text[start:at.start()], over
             alone = text[at.start()] in self.alone
+            if not alone and at.start() + 1 == len(text):     # nothing would be left, and the encoder marks no empty text
+                break
+            yield text[start:at.start()], over
             start, over = at.start() + (not alone), int(alone)
         yield text[start:], over
 
