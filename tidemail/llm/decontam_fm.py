@@ -264,7 +264,7 @@ def _searcher(phrases_bc, column: str, out: str, prior: bool, shard_bytes: int):
 
 def mark(docs: DataFrame, benchmark: DataFrame, out: str = "hit", window: int = 13, text: str = "text",
          item_id: str = "item_id", item_text: str = "text", block_bytes: int = 4 << 20,
-         shard_bytes: int = 12 << 20) -> DataFrame:
+         shard_bytes: int = 4 << 20) -> DataFrame:
     """``docs`` with a struct column ``out``: its number of words, the merged
     spans of words inside occurrences (``starts``, ``ends``, in words), and the
     ids of the items that occur, sorted as strings.  ``out`` must be new."""
