@@ -71,6 +71,15 @@ def test_bpe_query_and_round_trip(spark):
     assert bpe_transducer.report(docs.limit(0), BYTE).count() == 0
 
 
+def test_bpe_lexicon_counts_all_rows(spark):
+    words = F.translate(F.floor(F.col("id") / 2).cast("string"), "0123456789", "abcdefghij")
+    docs = spark.range(0, 12_000, 1, 3).select(F.col("id").alias("doc_id"), words.alias("text"))
+    got = bpe_transducer.frequent_words(docs, 30_000)
+    assert len(got) == 6_000 and got == sorted(" ".encode() + r[0].encode() for r in docs.select("text").distinct().collect())
+    top = docs.unionByName(spark.createDataFrame([(-1, "zz zz zz")], docs.schema))
+    assert bpe_transducer.frequent_words(top, 1) == [b" zz"]
+
+
 def test_library_encoder_equals_whole_texts():
     encoder, library = token_files.LibraryEncoder(WORD), Tokenizer.from_file(WORD)
     texts = odd_texts(3)

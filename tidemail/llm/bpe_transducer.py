@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemail.llm.common import blocks, fresh, lists_of, sampled, text_of
+from tidemail.llm.common import blocks, fresh, lists_of, text_of
 from tidemail.llm.pieces import IdCache, encode_texts, gather
 
 #: Fixed values of byte-level BPE: the splitting pattern of its vocabularies ...
@@ -252,11 +252,10 @@ def _word_counter(batches):
                                          names=["word", "n"])
 
 
-def frequent_words(docs: DataFrame, size: int, sample_rows: int) -> list[bytes]:
-    """The ``size`` most frequent words of about ``sample_rows`` rows, chosen by
-    a hash of doc_id and text.  The lexicon only decides speed, never ids."""
-    rows = sampled(docs.select("doc_id", "text"), docs.count(), sample_rows)
-    counts = rows.select("text").mapInArrow(_word_counter, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def frequent_words(docs: DataFrame, size: int) -> list[bytes]:
+    """The ``size`` most frequent words of all rows that occur twice or more,
+    counted with map-side partials.  The lexicon only decides speed, never ids."""
+    counts = docs.select("text").mapInArrow(_word_counter, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(size).select("word")
     return sorted(r.word.encode() for r in top.collect())
 
@@ -352,14 +351,14 @@ def _encode_task(bc, column: str, names: list[str], digest: bool):
     return run
 
 
-def _lexicon(docs: DataFrame, path: str, lexicon_words: int, sample_rows: int):
-    packed = compile_lexicon(Vocabulary(path), frequent_words(docs, lexicon_words, sample_rows))
+def _lexicon(docs: DataFrame, path: str, lexicon_words: int):
+    packed = compile_lexicon(Vocabulary(path), frequent_words(docs, lexicon_words))
     return docs.sparkSession.sparkContext.broadcast((path, packed))
 
 
-def encode_docs(docs: DataFrame, path: str, out: str = "ids", lexicon_words: int = 30_000, sample_rows: int = 5_000) -> DataFrame:
+def encode_docs(docs: DataFrame, path: str, out: str = "ids", lexicon_words: int = 30_000) -> DataFrame:
     """``docs`` with a new column: the text's ids as array<int>."""
-    bc = _lexicon(docs, path, lexicon_words, sample_rows)
+    bc = _lexicon(docs, path, lexicon_words)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
     return docs.mapInArrow(_encode_task(bc, "text", [out], False), schema)
 
@@ -377,18 +376,18 @@ def decode_docs(encoded: DataFrame, path: str, ids: str = "ids", out: str = "dec
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out, T.StringType())]))
 
 
-def report(docs: DataFrame, path: str, lexicon_words: int = 30_000, sample_rows: int = 5_000) -> DataFrame:
+def report(docs: DataFrame, path: str, lexicon_words: int = 30_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row."""
     docs = docs.select("doc_id", "text")
-    bc = _lexicon(docs, path, lexicon_words, sample_rows)
+    bc = _lexicon(docs, path, lexicon_words)
     names = ["n_tokens", "ids_sha256", "decoded_sha256"]
     schema = T.StructType([docs.schema["doc_id"], T.StructField(names[0], T.LongType()),
                            *(T.StructField(n, T.StringType()) for n in names[1:])])
     return docs.mapInArrow(_encode_task(bc, "text", names, True), schema)
 
 
-def round_trip(docs: DataFrame, path: str, lexicon_words: int = 30_000, sample_rows: int = 5_000) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, lexicon_words: int = 30_000) -> DataFrame:
     """``docs`` with every text encoded and decoded again; null stays null."""
     ids, text = fresh(docs, "ids", "decoded")
-    out = decode_docs(encode_docs(docs, path, ids, lexicon_words, sample_rows), path, ids, text)
+    out = decode_docs(encode_docs(docs, path, ids, lexicon_words), path, ids, text)
     return out.withColumn("text", F.when(F.col("text").isNotNull(), F.col(text))).select(*docs.columns)
