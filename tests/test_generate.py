@@ -315,3 +315,23 @@ def test_table_subcategories_and_repeated_values(spark):
     twice = spark.createDataFrame([("a", 1), ("b", 3), ("a", 2)], "v string, w int")
     got = g.Plan().add("c", g.CategoryTable(twice, "v", "w")).create(spark, 500, seed=4)[0].collect()
     assert [tuple(r) for r in sorted(got)] == [tuple(r) for r in sorted(g.Plan().add("c", g.Category(["a", "b"], [3, 3])).create(spark, 500, seed=4)[0].collect())]
+
+
+def test_unread_person_fields_are_pruned(spark):
+    base = spark.createDataFrame([(1, "1-URGENT"), (2, "5-LOW")], "o_orderkey long, o_orderpriority string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    table, rejected = order_mail_plan().create_from(base, "o_orderkey", 42)
+    built = order_mail_plan().build(base, "o_orderkey", 42)
+    for df in (table, rejected):
+        assert "contact.first_name" in plan(df) and "contact.birthday" not in plan(df)
+    assert "contact.birthday" in plan(built.select("contact.birth_date"))
+    assert set(built.columns) == {"o_orderkey", "o_orderpriority", *[c.name for c in order_mail_plan().specs]}
+    row = built.first()
+    assert row.receiver == f"{row.contact.first_name} {row.contact.last_name}" and row.receiver_age == row.contact.age
+
+
+def test_draws_of_null_keys(spark):
+    from tidemail.functions.rand import hash_hex
+    df = spark.createDataFrame([(None,), (5,), (-1,)], "k long")
+    old = F.md5(F.concat_ws(":", F.lit("42"), F.lit("a.b"), F.col("k").cast("string")))
+    assert all(a == b for a, b in df.select(hash_hex(42, "a.b", "k"), old).collect())

@@ -22,7 +22,9 @@ def _col(c) -> Column:
 
 
 def hash_hex(seed: int | str, name: str, key) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(name), _col(key).cast("string")))
+    # a null key has no part; concat with a constant head costs less than concat_ws of three
+    head = f"{seed}:{name}"
+    return F.md5(F.coalesce(F.concat(F.lit(head + ":"), _col(key).cast("string")), F.lit(head)))
 
 
 def draw_bits(seed: int | str, name: str, key) -> Column:

@@ -43,8 +43,9 @@ class Template:
         self._nodes = _parse(self.source)
         _collect_refs(self._nodes, self.refs)
 
-    def column(self) -> Column:
-        return _render(self._nodes)
+    def column(self, fields: dict[tuple[str, str], str] | None = None) -> Column:
+        """``fields`` names the columns that hold fields of structs."""
+        return _render(self._nodes, fields or {})
 
 
 def _parse(src: str):
@@ -117,7 +118,7 @@ def _collect_refs(nodes, acc: set):
                 _collect_refs(n[2], acc)
 
 
-def _value(expr: str) -> Column:
+def _value(expr: str, fields: dict) -> Column:
     base, filters = _split_filters(expr)
     lit = _literal(base)
     if lit is not None:
@@ -127,8 +128,10 @@ def _value(expr: str) -> Column:
         if not m:
             raise TemplateError(f"unsupported expression: {base}")
         name, attrs, split, idx = m.groups()
-        col = F.col(name)
-        for a in filter(None, (attrs or "").split(".")):
+        path = [a for a in (attrs or "").split(".") if a]
+        held = fields.get((name, path[0])) if path else None
+        col = F.col(held or name)
+        for a in path[1 if held else 0:]:
             col = col.getField(a)
         if split and idx is not None:
             col = word_at(col, int(idx))
@@ -166,7 +169,7 @@ def _literal(s: str):
     return None
 
 
-def _cond(cond: str) -> Column:
+def _cond(cond: str, fields: dict) -> Column:
     ors = re.split(r"\s+or\s+", cond)
     out = None
     for o in ors:
@@ -177,10 +180,10 @@ def _cond(cond: str) -> Column:
             atom = atom[4:] if neg else atom
             m = _CMP.match(atom)
             if m:
-                a, op, b = _value(m.group(1)), m.group(2), _value(m.group(3))
+                a, op, b = _value(m.group(1), fields), m.group(2), _value(m.group(3), fields)
                 c = {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b, "==": a == b, "!=": a != b}[op]
             else:
-                c = _value(atom).cast("boolean")
+                c = _value(atom, fields).cast("boolean")
             c = ~c if neg else c
             conj = c if conj is None else (conj & c)
         out = conj if out is None else (out | conj)
@@ -191,23 +194,23 @@ def _as_text(col: Column) -> Column:
     return col.cast("string")
 
 
-def _render(nodes) -> Column:
+def _render(nodes, fields: dict) -> Column:
     parts = []
     for n in nodes:
         if n[0] == "text":
             parts.append(F.lit(n[1]))
         elif n[0] == "expr":
-            parts.append(_as_text(_value(n[1])))
+            parts.append(_as_text(_value(n[1], fields)))
         else:
             branches, orelse = n[1], n[2]
-            default = _render(orelse) if orelse is not None else F.lit("")
+            default = _render(orelse, fields) if orelse is not None else F.lit("")
             expr = None
             for cond, body in branches:
-                c = _cond(cond)
+                c = _cond(cond, fields)
                 # an undecidable condition (null operand) fails the row: null result
                 expr = F.when(c.isNull(), F.lit(None).cast("string")) if expr is None else expr.when(
                     c.isNull(), F.lit(None).cast("string"))
-                expr = expr.when(c, _render(body))
+                expr = expr.when(c, _render(body, fields))
             parts.append(expr.otherwise(default))
     if not parts:
         return F.lit("")

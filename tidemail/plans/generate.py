@@ -258,6 +258,10 @@ class Person:
             raise PlanError(f"{name}: empty age range")
 
     def column(self, u: Column, ctx) -> Column:
+        return F.struct(*[c.alias(n) for n, c in self.fields(ctx).items()])
+
+    def fields(self, ctx) -> dict[str, Column]:
+        """The person's fields by name."""
         name, seed, key = ctx["name"], ctx["seed"], ctx["key"]
 
         def draw(f):
@@ -277,33 +281,33 @@ class Person:
         def digits(f, n):
             return F.lpad(F.floor(draw(f) * (10 ** n)).cast("bigint").cast("string"), n, "0")
 
-        return F.struct(
-            age.alias("age"),
-            pick("bachelors_field", FIELDS).alias("bachelors_field"),
-            F.date_format(birth, "yyyy-MM-dd").alias("birth_date"),
-            F.element_at(_lit_array([c[0] for c in CITIES]), city).alias("city"),
-            F.lit("USA").alias("country"),
-            F.element_at(_lit_array([c[2] for c in CITIES]), city).alias("county"),
-            pick("education_level", EDUCATION).alias("education_level"),
-            F.lower(F.concat(first, F.lit("."), last, F.lit("@example.com"))).alias("email_address"),
-            pick("ethnic_background", ETHNIC).alias("ethnic_background"),
-            first.alias("first_name"),
-            last.alias("last_name"),
-            F.lit(self.locale).alias("locale"),
-            pick("marital_status", MARITAL).alias("marital_status"),
-            pick("middle_name", MIDDLE_NAMES).alias("middle_name"),
-            pick("occupation", OCCUPATIONS).alias("occupation"),
-            F.concat(F.lit("555-01"), digits("phone", 2)).alias("phone_number"),
-            pick("sex", SEXES).alias("sex"),
-            F.concat(F.lit("000-"), digits("ssn_a", 2), F.lit("-"), digits("ssn_b", 4)).alias("ssn"),
-            F.element_at(_lit_array([c[1] for c in CITIES]), city).alias("state"),
-            pick("street_name", STREETS).alias("street_name"),
-            (F.floor(draw("street_number") * 9000) + 100).cast("bigint").alias("street_number"),
-            F.when(draw("unit") < 0.3, F.concat(F.lit("Apt "), digits("unit_no", 2))).alias("unit"),
-            F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
-                        F.substring(h, 17, 4), F.substring(h, 21, 12)).alias("uuid"),
-            digits("zipcode", 5).alias("zipcode"),
-        )
+        return {
+            "age": age,
+            "bachelors_field": pick("bachelors_field", FIELDS),
+            "birth_date": F.date_format(birth, "yyyy-MM-dd"),
+            "city": F.element_at(_lit_array([c[0] for c in CITIES]), city),
+            "country": F.lit("USA"),
+            "county": F.element_at(_lit_array([c[2] for c in CITIES]), city),
+            "education_level": pick("education_level", EDUCATION),
+            "email_address": F.lower(F.concat(first, F.lit("."), last, F.lit("@example.com"))),
+            "ethnic_background": pick("ethnic_background", ETHNIC),
+            "first_name": first,
+            "last_name": last,
+            "locale": F.lit(self.locale),
+            "marital_status": pick("marital_status", MARITAL),
+            "middle_name": pick("middle_name", MIDDLE_NAMES),
+            "occupation": pick("occupation", OCCUPATIONS),
+            "phone_number": F.concat(F.lit("555-01"), digits("phone", 2)),
+            "sex": pick("sex", SEXES),
+            "ssn": F.concat(F.lit("000-"), digits("ssn_a", 2), F.lit("-"), digits("ssn_b", 4)),
+            "state": F.element_at(_lit_array([c[1] for c in CITIES]), city),
+            "street_name": pick("street_name", STREETS),
+            "street_number": (F.floor(draw("street_number") * 9000) + 100).cast("bigint"),
+            "unit": F.when(draw("unit") < 0.3, F.concat(F.lit("Apt "), digits("unit_no", 2))),
+            "uuid": F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
+                                F.substring(h, 17, 4), F.substring(h, 21, 12)),
+            "zipcode": digits("zipcode", 5),
+        }
 
 
 @dataclass
@@ -321,7 +325,7 @@ class Expr:
         Template(self.template)
 
     def column(self, u: Column, ctx) -> Column:
-        c = Template(self.template).column()
+        c = Template(self.template).column(ctx.get("fields"))
         return c.try_cast(self.dtype) if self.dtype else c
 
 
@@ -382,7 +386,7 @@ class Text:
     def column(self, u: Column, ctx) -> Column:
         if self.generator is not None:
             return F.lit(None).cast("string")  # filled by the mapInPandas stage
-        return Template(self.response).column()
+        return Template(self.response).column(ctx.get("fields"))
 
 
 @dataclass
@@ -506,6 +510,9 @@ class Plan:
             level[s.name] = 1 + max(deps) if deps else 0
         df = base
         keycol = F.col(key)
+        # a person's fields are columns of their own to templates, so that Spark prunes
+        # those that nobody reads; rows that go through Python have the struct alone
+        direct, fields = not any(isinstance(s.sampler, Text) and s.sampler.generator is not None for s in order), {}
         for lv in sorted(set(level.values())):
             batch = {}
             for s in (x for x in order if level[x.name] == lv):
@@ -517,7 +524,13 @@ class Plan:
                 if isinstance(smp, (CategoryTable, SubcategoryTable)):
                     df = smp.attach(df, s.name, uniform(seed, s.name, keycol))
                     continue
-                ctx = {"name": s.name, "seed": seed, "key": keycol}
+                ctx = {"name": s.name, "seed": seed, "key": keycol, "fields": fields}
+                if direct and isinstance(smp, Person):
+                    made = {(s.name, f): (f"__{s.name}_{f}", c) for f, c in smp.fields(ctx).items()}
+                    df = df.withColumns({n: c for n, c in made.values()})
+                    batch[s.name] = F.struct(*[F.col(n).alias(f) for (_, f), (n, _) in made.items()])
+                    fields.update({k: n for k, (n, _) in made.items()})
+                    continue
                 batch[s.name] = smp.column(uniform(seed, s.name, keycol), ctx)
             if batch:
                 df = df.withColumns(batch)
@@ -528,7 +541,7 @@ class Plan:
                 df = df.withColumns({_why(x.name): js.complaint(F.col(f"__v_{x.name}"), F.col(x.name), x.sampler.schema, x.sampler.rules) for x in structured})
                 df = df.withColumns({x.name: F.when(F.col(_why(x.name)).isNull(), js.value(F.col(f"__v_{x.name}"), x.sampler.schema)) for x in structured})
                 df = df.drop(*[f"__v_{x.name}" for x in structured])
-        return df
+        return df.drop(*fields.values())
 
     def create_from(self, base: DataFrame, key: str, seed: int = 42,
                     keep: list[str] | None = None, journal: Journal | None = None) -> tuple[DataFrame, DataFrame]:
@@ -546,7 +559,8 @@ class Plan:
             path = scratch_path(base.sparkSession, "generated") + "/rows"
             full.write.parquet(path)
             full = base.sparkSession.read.schema(full.schema).parquet(path)
-        gen = [s.name for s in self.specs]
+        # a person is never null; asking whether it is would keep all its fields from being pruned
+        gen = [s.name for s in self.specs if full.schema[s.name].nullable]
         ok = F.lit(True)
         for c in gen:
             ok = ok & F.col(c).isNotNull()
@@ -554,7 +568,7 @@ class Plan:
         kept = [key] + list(keep or []) + [s.name for s in self.specs if not s.drop]
         table = keep_rows(full, F.col("__ok"), kept)
         failed = [F.when(F.col(c).isNull(), F.lit(c)) for c in gen]
-        out = [F.col(key), F.array_compact(F.array(*failed)).alias("failed_columns")]
+        out = [F.col(key), F.array_compact(F.array(*failed).cast("array<string>")).alias("failed_columns")]
         judged = [s.name for s in self.specs if isinstance(s.sampler, Structured)]
         if judged:
             # (concat with a null complaint is null)

@@ -39,6 +39,14 @@ def _tok_stats(df: DataFrame, cols: dict[str, tuple[Column, Column]]) -> DataFra
     return lng.groupBy("column_name").agg(*st("completion"), *st("prompt"))
 
 
+def profile_columns(plan: Plan) -> list[str]:
+    """The built columns that a profile of the plan reads: those that are kept,
+    and those that prompts name."""
+    named = set().union(*(Template(s.sampler.prompt).refs for s in plan.specs if isinstance(s.sampler, Text)))
+    kept = [s.name for s in plan.specs if not s.drop]
+    return kept + sorted(named - set(kept))
+
+
 def profile_document(plan: Plan, built: DataFrame, target, materialize: bool = True) -> DataFrame:
     """``built``: the generated rows that were kept, with helper columns still
     present (``Plan.build`` filtered by the caller, or ``create_from`` output

@@ -334,11 +334,11 @@ def staff_email(spark, sf_dir):
 @register("gen_profile")
 def gen_profile(spark, sf_dir):
     """A5–A10 as one profile document of the generated table (the S9 artifact)."""
-    from tidemail.plans.report import profile_document
+    from tidemail.plans.report import profile_columns, profile_document
     base = _base(spark, sf_dir)
     plan = order_mail_plan(TEST_DOMAIN)
     full = plan.build(base, KEY, 42)
-    built = g.keep_rows(full, F.col("message").isNotNull(), full.columns)
+    built = g.keep_rows(full, F.col("message").isNotNull(), profile_columns(plan))
     return profile_document(plan, built, base.select(F.count(F.lit(1))).scalar())
 
 
