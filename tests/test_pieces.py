@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +94,12 @@ def test_encode_keeps_rows_and_columns(spark):
                 ids = [x for w in want[n] for x in known[w]][:max_len]
                 assert got[n] == (key, ids), text
     assert pw.encode_pieces(df.limit(0), pieces, "text", 4).count() == 0
+
+
+def test_lists_are_handled_in_bounded_runs():
+    lists = [[1] * n if n is not None else None for n in (3, 0, 5, 2, 9, None, 1, 4, 1, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lists))), pa.array(lists, pa.list_(pa.int32()))], names=["k", "ids"])
+    runs = list(pw.list_runs([batch, batch.slice(0, 0), batch.slice(2, 3)], 6))
+    sizes = [[len(x or []) for x in r.column(1).to_pylist()] for r in runs]
+    assert sizes == [[3, 0], [5], [2], [9], [0, 1, 4, 1], [1], [5], [2], [9]]
+    assert [r for x in runs for r in x.to_pylist()] == batch.to_pylist() + batch.slice(2, 3).to_pylist()

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemail.functions.rand import draw_bits, hash_hex
-from tidemail.operators.pieces import Pieces, encode_pieces
+from tidemail.operators.pieces import Pieces, encode_pieces, list_runs
 from tidemail.session import scratch_path
 
 #: Values of a block of parameters.
@@ -216,7 +216,8 @@ def score_embedding(model: EmbeddingModel, df: DataFrame, text_col: str = "text"
     sent = df.sparkSession.sparkContext.broadcast(EmbeddingModel(None, model.labels, model.vectors, model.weights, model.bias, model.max_len))
 
     def run(batches):
-        for b in batches:
+        # each id of a run is a vector
+        for b in list_runs(batches):
             lists = b.column(b.num_columns - 1)
             p = sent.value.probabilities(lists.flatten().to_numpy(zero_copy_only=False),
                                          pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -31,6 +31,8 @@ from tidemail.operators.tokens import SPECIALS, UNK, token_counts
 MAX_PIECES = 2_000_000
 #: Distinct words a task keeps with their ids.
 CACHE_WORDS = 200_000
+#: List items of an Arrow batch handled at once inside a task.
+RUN_ITEMS = 1 << 17
 
 
 def byte_letters() -> list[str]:
@@ -127,6 +129,19 @@ def load_pieces(path: str) -> Pieces:
                   byte_level="ByteLevel" in json.dumps(held.get("pre_tokenizer")))
 
 
+def list_runs(batches, items: int = RUN_ITEMS):
+    """The batches cut into runs of rows of about ``items`` items of their last
+    column, a list (a row of more is a run of its own)."""
+    for b in batches:
+        size = pc.fill_null(pc.list_value_length(b.column(b.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(size, dtype=np.int64), 0
+        while start < b.num_rows:
+            base = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, base + items, "right")))
+            yield b.slice(start, end - start)
+            start = end
+
+
 def _matched(words: pa.Array, pieces: Pieces, cache: dict) -> tuple[np.ndarray, np.ndarray]:
     """Ids of distinct words, one after the other, and how many each has."""
     found = []
@@ -185,7 +200,7 @@ def encode_pieces(df: DataFrame, pieces: Pieces, text_col: str, max_len: int, ou
 
     def run(batches):
         cache: dict = {}
-        for b in batches:
+        for b in list_runs(batches):
             lists = b.column(b.num_columns - 1)
             size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             words = lists.flatten().dictionary_encode()
