@@ -3,6 +3,7 @@ import os
 from pyspark.sql import functions as F
 
 from tidemail.operators import tokens as tk
+from tidemail.operators.model import TrainParams, train
 from tidemail.plans import scoring
 from tidemail.queries.intake import intake_json
 from tidemail.sources.requests import parse_requests
@@ -110,3 +111,16 @@ def test_vocab_and_encode(spark):
     for size, want in ((1, ["a"]), (3, ["a", "b", "c"]), (9, ["a", "b", "c", "zz"]), (0, [])):
         got = tk.build_vocab(df, "t", size).where("token_id > 1").orderBy("token_id").collect()
         assert [r["token"] for r in got] == want and [r["token_id"] for r in got] == list(range(2, 2 + len(want)))
+
+
+def test_few_gradients_reach_the_driver(spark):
+    df = spark.range(0, 400, 1, 40).select(F.concat(F.lit("w"), F.col("id") % 7).alias("text"), (F.col("id") % 2).alias("label"))
+    sizes, sc = [], spark.sparkContext
+    sc.setJobGroup("gradients", "gradients")
+    model = train(df, TrainParams(num_features=1 << 10, max_iter=2))
+    tracker = sc.statusTracker()
+    for job in tracker.getJobIdsForGroup("gradients"):
+        stages = [tracker.getStageInfo(s) for s in tracker.getJobInfo(job).stageIds]
+        sizes.append(min(s.numTasks for s in stages if s is not None))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert model.stages[-1].getAggregationDepth() == 6 and sizes[-1] <= 4

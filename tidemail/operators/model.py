@@ -33,6 +33,7 @@ class TrainParams:
     reg_param: float = 0.1       # chosen on a validation slice of the training side
     elastic_net: float = 0.0
     max_iter: int = 50
+    depth: int = 6               # of the trees that sum gradients: few sums of all features reach the driver, however many tasks there are
     classifier: str = "logistic"     # or "naive_bayes"
     text_col: str = "text"
     label_col: str = "label"
@@ -52,7 +53,7 @@ def train(df: DataFrame, params: TrainParams | None = None) -> PipelineModel:
         clf = NaiveBayes(featuresCol="features", labelCol="__label")
     else:
         clf = LogisticRegression(featuresCol="features", labelCol="__label", regParam=p.reg_param,
-                                 elasticNetParam=p.elastic_net, maxIter=p.max_iter)
+                                 elasticNetParam=p.elastic_net, maxIter=p.max_iter, aggregationDepth=p.depth)
     # The IDF fit and the classifier each read the training set: tokenise and
     # hash it once and keep the sparse term counts (far smaller than the text).
     # A lost cached block is recomputed from its lineage.
