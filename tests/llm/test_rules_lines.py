@@ -81,6 +81,37 @@ def test_lines_of_fields_recur_by_content_only(spark):
                    5: (rows[4][1], 0), 6: (rows[5][1], 0), 7: ("", 1)}
 
 
+def test_tree_generalises_plain_words(spark):
+    rows = [(1, "Posted by Alice in Sports today\nRow of the quick table stays\nsome line that was edited once here"),
+            (2, "Posted by Bob in News today\n  own words of two\nsome line that is edited once here"),
+            (3, "Posted by Carol in Arts\ttoday\nI want to eat some cake"), (4, "Posted by Dan in Sports today\nI want to go home now"),
+            (5, "Posted by Dan in Sports yesterday\nI want to buy a car"),
+            (6, "user logged in from home page"), (7, "user logged in from work page"), (8, "user logged in from start page\nown line of eight"),
+            (9, "Chapter One of the book\nChapter Two of the book\nChapter Three of the book"), (10, "Chapter Four of the book"),
+            (11, "12 kg 14 kg 16 kg red"), (12, "12 kg 14 kg 16 kg blue"), (13, "12 kg 14 kg 16 kg green"), (None, "Posted by Eve in News today")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n) for r in lt.dedup_lines(docs, count="n").collect()}
+    want = {d: (t, 0) for d, t in rows}
+    want |= {2: (rows[1][1].split("\n", 1)[1], 1), 3: ("I want to eat some cake", 1), 4: ("I want to go home now", 1),
+             7: ("", 1), 8: ("own line of eight", 1), None: ("", 1)}
+    assert got == want
+
+
+def test_tree_parts_mixed_and_hot_nodes(spark):
+    names = ["Ann", "Bea", "Cid", "Dora", "Emil"]
+    rows = [(i, f"Notes taken by the {w} team on a {names[i % 5]} of spring") for i, w in enumerate(["red", "blue", "green"] * 5)]
+    rows += [(100 + i, "Notes taken by " + " ".join(f"w{'abcdefghij'[(i * k) % 7]}{'xyz'[i % 3]}" for k in range(2, 10))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lt.dedup_lines(docs).collect()}
+    assert got[0] == rows[0][1] and all(got[i] == "" for i in range(1, 15))
+    first = {}
+    for d, t in rows[15:]:                      # the unrelated lines go where they are equal only
+        assert got[d] == ("" if t in first else t)
+        first.setdefault(t, d)
+    every = {r.doc_id: r.text for r in lt.dedup_lines(docs, min_docs=16).collect()}
+    assert every == dict(rows)                  # the node's lines are in 15 documents
+
+
 def test_long_lines_without_spaces_recur(spark):
     long, short = "本网站所有内容版权归作者所有未经许可不得转载" * 2, "版权所有"
     rows = [(1, f"{long}\n{short}"), (2, f"{long}\n{short}\n一"), (3, "x" * 39), (4, "x" * 39)]
