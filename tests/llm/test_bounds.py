@@ -2,8 +2,11 @@
 import random
 from collections import Counter
 
+import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from tidemail.llm import common, lang_bloom, quality_classifier, simhash_pigeon, token_files
 from tokenizers import Tokenizer
@@ -129,3 +132,37 @@ def test_benchmark_windows_are_flat_arrays():
     decontam_fm.Phrases(big, 13)
     assert tracemalloc.get_traced_memory()[1] < 400 << 20
     tracemalloc.stop()
+
+
+def test_shingles_are_joined_in_runs(monkeypatch):
+    joined = []
+
+    class Arrow:
+        def __getattr__(self, name):
+            return getattr(pc, name)
+
+        def binary_join_element_wise(self, *words):
+            joined.append(len(words[0]))
+            return pc.binary_join_element_wise(*words)
+
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abcdefgh") for _ in range(n)) for n in (0, 1, 3, 4, 5, 2, 5000, 0, 3, 17, 4)]
+    monkeypatch.setattr(simhash_pigeon, "pc", Arrow())
+    monkeypatch.setattr(simhash_pigeon, "_RUN", 1000, raising=False)
+    got = simhash_pigeon._majority(*simhash_pigeon._shingle_hashes(*common.split_words(pa.array(texts)), 4))
+    assert got.tolist() == [brute.simhash(t) for t in texts]
+    assert max(joined) < 1100          # one run and the gaps between texts
+
+
+def test_near_dedup_sorts_repeated_rows_only(spark):
+    text = "some words of a text that comes more than once"
+    rows = [(i, f"{i} {i * 7} {i * 11} a text of its own {i * 13}") for i in range(20)] + \
+        [(100, text)] * 3 + [(101, text)] + [(102, "other " * 9)] * 2 + [(102, "another text of this id and its words")] + [(None, text)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = simhash_pigeon.keep_first(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    got = Counter(tuple(r) for r in kept.collect())
+    want = brute.near_components([(d, brute.simhash(t)) for d, t in rows if d is not None])
+    assert sorted(d for d, _ in got.elements() if d is not None) == sorted(set(want.values()))
+    assert got[(100, text)] == 1 and got[(None, text)] == 2

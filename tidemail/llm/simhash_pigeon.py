@@ -38,27 +38,33 @@ from tidemail.llm.common import blocks, fresh, split_words, text_of, written
 from tidemail.llm.components import components
 
 SEED = 42
+#: Text handled at once, in bytes: its words and their places take some 15 times that.
+_BLOCK = 1 << 20
+#: Shingles joined and hashed at once; each is an object of some 100 bytes.
+_RUN = 1 << 16
 
 
 def _shingle_hashes(flat: pa.StringArray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all texts' shingles, and each text's number of them."""
+    """Hashes of all texts' shingles, and each text's number of them.  Shingles
+    are joined in runs of ``_RUN``, however long a text."""
     n_words = np.diff(off)
-    count = np.where(n_words >= size, n_words - size + 1, (n_words > 0).astype(np.int64))
+    full = n_words >= size
+    count = np.where(full, n_words - size + 1, (n_words > 0).astype(np.int64))
     flat = flat.cast(pa.binary())
-    n = len(flat)
-    if n >= size:
-        whole = pc.binary_join_element_wise(*(flat.slice(i, n - size + 1) for i in range(size)), pa.scalar(b" ", pa.binary()))
-        start = np.repeat(off[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        short = np.repeat(n_words < size, count)
-        whole = whole.take(pa.array(np.where(short, 0, start)))
-        keys = whole.to_numpy(zero_copy_only=False)
-    else:
-        short, keys = np.ones(int(count.sum()), bool), np.full(int(count.sum()), b"", object)
+    hashes = np.zeros(int(count.sum()), np.uint64)
+    short = np.repeat(~full, count)
+    at = np.flatnonzero(~short)
+    start = (np.repeat(off[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(hashes)))[at]
+    sep = pa.scalar(b" ", pa.binary())
+    for i in range(0, len(at), _RUN):
+        first, last = start[i], start[min(i + _RUN, len(at)) - 1]          # ascending
+        whole = pc.binary_join_element_wise(*(flat.slice(first + j, last - first + 1) for j in range(size)), sep)
+        keys = whole.take(pa.array(start[i:i + _RUN] - first)).to_numpy(zero_copy_only=False)
+        hashes[at[i:i + _RUN]] = np.fromiter(map(xxhash.xxh64_intdigest, keys, repeat(SEED)), np.uint64, len(keys))
     if short.any():
-        words = iter([b" ".join(flat.slice(a, b - a).to_pylist()) for a, b in zip(off, off[1:]) if 0 < b - a < size])
-        for i in np.flatnonzero(short):
-            keys[i] = next(words)
-    return np.fromiter(map(xxhash.xxh64_intdigest, keys, repeat(SEED)), np.uint64, len(keys)), count
+        words = (b" ".join(flat.slice(a, b - a).to_pylist()) for a, b in zip(off, off[1:]) if 0 < b - a < size)
+        hashes[short] = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, int(short.sum()))
+    return hashes, count
 
 
 def _majority(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -80,7 +86,7 @@ def _majority(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def _fingerprinter(text: str, fp: str, shingle: int):
     def run(batches):
-        for b in blocks(batches, text):
+        for b in blocks(batches, text, _BLOCK):
             flat, off = split_words(pc.ascii_lower(text_of(b, text)))
             prints = _majority(*_shingle_hashes(flat, off, shingle)).view(np.int64)
             b = b.drop_columns([text])
@@ -284,10 +290,15 @@ def keep_first(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFram
     with the smallest doc_id; of rows that share it, the one with the smallest
     row hash; of rows equal in every column, one.  Rows without a doc_id are
     no candidates for removal and stay."""
-    digest, = fresh(docs, "row_hash")
+    digest, copies = fresh(docs, "row_hash", "copies")
     hashed = docs.withColumn(digest, F.xxhash64(*(F.col(c) for c in docs.columns)))
     prints = written(fingerprints(hashed.where("doc_id is not null"), shingle, ("doc_id", digest)), "simhash")
     best = (prints.join(_component_of(prints, distance), "fp").where(F.col("doc_id") == F.col("component_id"))
-            .groupBy("doc_id").agg(F.min(digest).alias(digest)))
-    kept = hashed.join(best, ["doc_id", digest], "left_semi").dropDuplicates(["doc_id", digest])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+            .groupBy("doc_id", digest).agg(F.count("*").alias(copies))
+            .groupBy("doc_id").agg(F.min(F.struct(digest, copies)).alias("row")).select("doc_id", "row.*"))
+    best = written(best, "simhash-best")
+    # texts stream past the keys; only rows that come more than once are sorted
+    once, more = (hashed.join(best.where(rows).select("doc_id", digest).hint("shuffle_hash"), ["doc_id", digest], "left_semi")
+                  for rows in (F.col(copies) == 1, F.col(copies) > 1))
+    return (once.select(*docs.columns).unionByName(more.dropDuplicates(["doc_id", digest]).select(*docs.columns))
+            .unionByName(docs.where("doc_id is null")))
